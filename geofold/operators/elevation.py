@@ -82,33 +82,27 @@ def dem_sample(points: DataFrame, tiles: DataFrame, point_id: Sequence[str], sid
     full = smooth if cliff_m is None else F.when(step > cliff_m, near).otherwise(smooth)
     four = four.withColumn("z", F.when(F.col("_n") == 4, full).when(F.col("_n") > 0, F.col("_mean")))
     # Only points without any valid corner look further.
-    span = F.sequence(F.lit(-8), F.lit(8))
     far = (
         four.where(F.col("_n") == 0).select(*point_id, *tile_key, "_r", "_c")
-        .withColumn("prow", F.col("_r") + F.explode(span)).withColumn("pcol", F.col("_c") + F.explode(span))
+        .withColumn("prow", F.explode(F.sequence(F.col("_r") - 8, F.col("_r") + 8)))
+        .withColumn("pcol", F.explode(F.sequence(F.col("_c") - 8, F.col("_c") + 8)))
         .join(valid, [*tile_key, "prow", "pcol"]).groupBy(*point_id).agg(F.min("_v").alias("_far"))
     )
     return four.join(far, point_id, "left").select(*point_id, F.coalesce("z", "_far", F.lit(0.0)).alias("z"))
 
 
 def dem_fill_neighbours(points: DataFrame, sample, point_id: Sequence[str], offset_m: float = 0.0) -> DataFrame:
-    """Height by ``sample(points)``; where it gives none, the mean of the samples half an arc-second away."""
+    """Height by ``sample(points, ids)``; where it gives none, the mean of the samples half an arc-second away."""
     point_id = list(point_id)
-    raw = sample(points)
+    raw = sample(points, point_id)
     missing = points.join(raw.select(*point_id), point_id, "left_anti")
     d = FILL_STEP_DEG
     shifts = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((d, 0.0), (-d, 0.0), (0.0, d), (0.0, -d))])
     around = missing.select(*point_id, "lat", "lon", F.posexplode(shifts).alias("_k", "_s")).select(
         *point_id, "_k", (F.col("lat") + F.col("_s.dy")).alias("lat"), (F.col("lon") + F.col("_s.dx")).alias("lon")
     )
-    id_k = F.struct(*point_id, "_k")
-    tagged = around.withColumn("_pk", F.to_json(id_k))
-    filled = sample_by(sample, tagged).join(tagged.select("_pk", *point_id), "_pk").groupBy(*point_id).agg(F.avg("z").alias("z"))
-    return raw.unionByName(filled).withColumn("z", F.col("z") + offset_m)
-
-
-def sample_by(sample, tagged: DataFrame) -> DataFrame:
-    return sample(tagged, ["_pk"])
+    filled = sample(around, [*point_id, "_k"]).groupBy(*point_id).agg(F.avg("z").alias("z"))
+    return raw.select(*point_id, "z").unionByName(filled).withColumn("z", F.col("z") + offset_m)
 
 
 def dem_source_priority(points: DataFrame, answers: Sequence[DataFrame], point_id: Sequence[str]) -> DataFrame:

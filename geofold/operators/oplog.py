@@ -16,13 +16,13 @@ from .spatial_join import box_pairs
 VOXEL = ["vx", "vy", "vz"]
 
 # Key types allowed per action class; None means every type.
-KEY_TYPES = ["Guest", "User", "Business", "Admin", "Relay", "Server", "Genesis", "Anonymous"]
+KEY_TYPES = ["Guest", "User", "Business", "Admin", "Relay", "Server", "Genesis", "Trial"]
 _OWNERS = ["User", "Business", "Server", "Genesis"]
 _BUILDERS = ["User", "Business", "Admin", "Server", "Genesis"]
-_NOT_GUEST = ["User", "Business", "Admin", "Server", "Genesis", "Anonymous"]
+_NOT_GUEST = ["User", "Business", "Admin", "Server", "Genesis", "Trial"]
 ACTION_CLASS = {
     "Explore": None,
-    "BuildInFreeZone": ["Guest", "User", "Business", "Admin", "Server", "Genesis", "Anonymous"],
+    "BuildInFreeZone": ["Guest", "User", "Business", "Admin", "Server", "Genesis", "Trial"],
     "BuildInOwnedParcel": _BUILDERS,
     "ClaimParcel": _OWNERS,
     "AbandonParcel": _OWNERS,

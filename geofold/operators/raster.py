@@ -289,9 +289,12 @@ def coast_distance(cells: DataFrame, cell_deg: float, region: Sequence[str] = RE
 def dilate_mask(cells: DataFrame, mark: str, radius: int, region: Sequence[str] = REGION, out: str = "dilated") -> DataFrame:
     """Square dilation: marked cells spread along rows, then along columns; only marked cells are exploded."""
     keys = list(region) + ["r", "c"]
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    wide = cells.where(F.col(mark)).select(*region, "r", (F.col("c") + F.explode(span)).alias("c")).distinct()
-    tall = wide.select(*region, (F.col("r") + F.explode(span)).alias("r"), "c").distinct()
+
+    def reach(axis):
+        return F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))
+
+    wide = cells.where(F.col(mark)).select(*region, "r", reach("c").alias("c")).distinct()
+    tall = wide.select(*region, reach("r").alias("r"), "c").distinct()
     return cells.join(tall.withColumn(out, F.lit(True)), keys, "left").withColumn(
         out, F.coalesce(F.col(out), F.lit(False))
     )

@@ -50,17 +50,17 @@ def slope_aspect(t):
     return out.select("r", "c", F.round("slope_deg", 7).alias("slope_deg"), F.round("gradient_azimuth", 6).alias("gradient_azimuth"))
 
 
-@query("tri", f"select r, c, round(tri,6) tri from {TRI_SQL} s")
+@query("tri", f"select r, c, round(tri,9) tri from {TRI_SQL} s")
 def tri(t):
-    return raster.neighbours(t.dem_cell).select("r", "c", F.round(raster.tri(), 6).alias("tri"))
+    return raster.neighbours(t.dem_cell).select("r", "c", F.round(raster.tri(), 9).alias("tri"))
 
 
-@query("tri_ragged", f"select r, c, round(({ABS_SUM})/nullif({COUNT},0),6) tri from {near_sql('(select * from dem_cell where (r*7+c*3) % 11 <> 0)')} k")
+@query("tri_ragged", f"select r, c, round(({ABS_SUM})/nullif({COUNT},0),9) tri from {near_sql('(select * from dem_cell where (r*7+c*3) % 11 <> 0)')} k")
 def tri_ragged(t):
     """Ruggedness on a grid with holes, where diagonal neighbours of a hole still count."""
     holed = t.dem_cell.where((F.col("r") * 7 + F.col("c") * 3) % 11 != 0)
     near = raster.neighbours(holed, complete=False)
-    return near.select("r", "c", F.round(raster.tri(), 6).alias("tri"))
+    return near.select("r", "c", F.round(raster.tri(), 9).alias("tri"))
 
 
 @query("d8_direction", f"select r, c, dir from {DIR_SQL} s")

@@ -785,7 +785,7 @@ def way_attributes(t):
     return way_tags(t).select("way_id", rules.way_attributes("tags").alias("a")).select("way_id", "a.*")
 
 
-ROUTES = """(select page_id, case page_id % 9 when 0 then 'worldnet://' when 1 then 'worldnet://forums' when 2 then 'worldnet://forums/thread/'||cast(page_id as varchar)
+ROUTES = """(select page_id, case page_id % 9 when 0 then 'worldnet://' when 1 then 'worldnet://forums' when 2 then 'worldnet://forums/thread/'||cast(page_id as string)
    when 3 then 'worldnet://wiki/page'||cast(page_id as string) when 4 then 'worldnet://settings/identity' when 5 then 'worldnet://admin/keys'
    when 6 then 'worldnet://world/chunk/3/'||cast(page_id as string) when 7 then 'user/'||cast(page_id as string) else 'worldnet://shop/cart' end address from pages)"""
 
