@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clocks import clock_compare
 from ..functions.geo import big, col
 from .chunks import affected_chunks
-from .skew import salted_join
+from .skew import dense_position, salted_join
 from .spatial_join import box_pairs
 
 VOXEL = ["vx", "vy", "vz"]
@@ -141,16 +141,8 @@ def replay_order(ops: DataFrame, chunk: Sequence[str], bucket: Column | None = N
     With ``bucket`` (a column that grows with ``lamport``) a hot chunk is ranked in pieces: rows are numbered inside
     each (chunk, bucket) and shifted by the count of the buckets before.
     """
-    chunk, order = list(chunk), ["lamport", "author", "op_id"]
-    if bucket is None:
-        bucket = F.floor(F.col("lamport") / 100000)
-    ops = ops.withColumn("_b", bucket)
-    sizes = ops.groupBy(*chunk, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*chunk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    local = Window.partitionBy(*chunk, "_b").orderBy(*order)
-    ranked = ops.withColumn("_rn", F.row_number().over(local)).join(sizes, [*chunk, "_b"])
-    return ranked.withColumn("pos", big(F.col("_rn") + F.col("_off"))).drop("_rn", "_off", "_b")
+    bucket = F.floor(F.col("lamport") / 100000) if bucket is None else bucket
+    return dense_position(ops, chunk, bucket, ["lamport", "author", "op_id"])
 
 
 def ops_by_chunk(ops: DataFrame) -> DataFrame:

@@ -73,3 +73,49 @@ def pick_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, out:
         .where((F.col("_cum") > F.col("_rank")) & (F.col("_cum") - F.col("_c") <= F.col("_rank")))
         .select(*keys, "n", F.col("_v").alias(out))
     )
+
+
+def prev_known(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, out: str, forward: bool = False,
+    strict: bool = True,
+) -> DataFrame:
+    """Last non-null ``value`` before each row (or next after it, with ``forward``) along ``order`` within ``keys``.
+
+    ``bucket`` must not decrease along ``order``.  Each (keys, bucket) is one window, and what earlier buckets hold
+    comes from one row per bucket, so a hot key is spread over its buckets.  ``strict`` leaves the row itself out.
+    """
+    keys, order = list(keys), list(order)
+    df = df.withColumn("_b", bucket).withColumn("_v", value)
+    asc = [F.desc(c) if forward else F.asc(c) for c in order]
+    edge = -1 if strict else 0
+    inner = Window.partitionBy(*keys, "_b").orderBy(*asc).rowsBetween(Window.unboundedPreceding, edge)
+    pick = F.min_by if forward else F.max_by
+    at = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    ends = df.groupBy(*keys, "_b").agg(pick("_v", at).alias("_end"))
+    outer = Window.partitionBy(*keys).orderBy(F.desc("_b") if forward else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_carry", F.last("_end", True).over(outer)).select(*keys, "_b", "_carry")
+    local = df.withColumn("_l", F.last("_v", True).over(inner))
+    return local.join(ends, [*keys, "_b"]).withColumn(out, F.coalesce("_l", "_carry")).drop("_b", "_v", "_l", "_carry")
+
+
+def dense_position(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], out: str = "pos") -> DataFrame:
+    """1-based position along ``order`` within ``keys``, ranked inside buckets and shifted by the buckets before."""
+    keys = list(keys)
+    df = df.withColumn("_b", bucket)
+    sizes = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = Window.partitionBy(*keys, "_b").orderBy(*order)
+    ranked = df.withColumn("_rn", F.row_number().over(local)).join(sizes, [*keys, "_b"])
+    return ranked.withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_rn", "_off", "_b")
+
+
+def pieces(df: DataFrame, keys: Sequence[str], pos: str, size: int, halo: int) -> DataFrame:
+    """Cut each key's rows (dense ``pos`` from 1) into pieces, the last ``halo`` rows repeated at the next piece's head.
+
+    Adds ``piece`` and ``is_halo``; windows of up to ``halo`` rows back can then run per (keys, piece).
+    """
+    own = F.floor((F.col(pos) - 1) / size).cast("bigint")
+    nxt = F.floor((F.col(pos) - 1 + halo) / size).cast("bigint")
+    both = df.withColumn("piece", F.explode(F.array_distinct(F.array(own, nxt))))
+    return both.withColumn("is_halo", F.col("piece") != own)

@@ -119,14 +119,14 @@ def sample_region(t):
 
 
 UP = """select x, y, round(case when step>4 then case when fi<0.5 then case when fj<0.5 then e00 else e01 end else case when fj<0.5 then e10 else e11 end end
-   else (e00*(1-fj)+e01*fj)*(1-fi)+(e10*(1-fj)+e11*fj)*fi end,6) z from (select a.r*5+p x, a.c*5+q y, p/5e0 fi, q/5e0 fj, a.z/20e0 e00, b.z/20e0 e01, c.z/20e0 e10, d.z/20e0 e11,
+   else (e00*(1-fj)+e01*fj)*(1-fi)+(e10*(1-fj)+e11*fj)*fi end,9) z from (select a.r*5+p x, a.c*5+q y, p/5e0 fi, q/5e0 fj, a.z/20e0 e00, b.z/20e0 e01, c.z/20e0 e10, d.z/20e0 e11,
    greatest(abs(a.z-b.z),abs(a.z-c.z),abs(b.z-d.z),abs(c.z-d.z))/20e0 step from dem_cell a join dem_cell b on b.r=a.r and b.c=a.c+1 join dem_cell c on c.r=a.r+1 and c.c=a.c join dem_cell d on d.r=a.r+1 and d.c=a.c+1, range(5) x(p), range(5) y(q)) k"""
 
 
 @query("upsample_grid", UP)
 def upsample_grid(t):
     samples = t.dem_cell.select("region", F.col("r").alias("i"), F.col("c").alias("j"), (F.col("z") / 20.0).alias("z"))
-    return el.upsample_grid(samples, 5).select("x", "y", F.round("z", 6).alias("z"))
+    return el.upsample_grid(samples, 5).select("x", "y", F.round("z", 9).alias("z"))
 
 
 @query("scalar_stats", """select category, min(z) z_min, max(z) z_max, round(avg(z),6) z_mean, max(case when rn=r95 then z end) p95 from (select p_type category, p_retailprice z, row_number() over (partition by p_type order by p_retailprice) rn,

@@ -193,10 +193,10 @@ NEAREST = f"""(select p.event_id, s.line_id, s.seg, d.dist_m, d.t from position
    lateral (select {dist_t_sql('p.lat', 'p.lon').replace('a_l', 's.a_l').replace('b_l', 's.b_l')}) d where d.dist_m < 300e0)"""
 
 
-@query("nearest_segment", f"select event_id, line_id, seg, round(dist_m,4) dist_m, round(t,7) t from {NEAREST} q qualify row_number() over (partition by event_id order by dist_m, line_id, seg)=1")
+@query("nearest_segment", f"select event_id, line_id, round(dist_m,4) dist_m, round(seg+t,6) pos from {NEAREST} q qualify row_number() over (partition by event_id order by dist_m, line_id, seg)=1")
 def nearest_segment(t):
     out = sj.nearest_segment(t.position, sj.explode_segments(t.lines), ["event_id"], ["line_id", "seg"], 300.0, 300.0, inclusive=False)
-    return out.select("event_id", "line_id", "seg", F.round("dist_m", 4).alias("dist_m"), F.round("t", 7).alias("t"))
+    return out.select("event_id", "line_id", F.round("dist_m", 4).alias("dist_m"), F.round(F.col("seg") + F.col("t"), 6).alias("pos"))
 
 
 @query("dedup_first_feature", f"select poly_id, min(lat0) lat from (select poly_id, round(lat0,7) lat0 from (select fid poly_id, lat0 from {FEATS} f where layer='water') a, (select 1 union all select 2) b) q group by poly_id")
@@ -285,5 +285,5 @@ def infer_objects(t):
 
     nodes = t.node.withColumn("amenity", F.when(F.col("node_id") % 5 == 0, "bench").when(F.col("node_id") % 5 == 1, "post_box"))
     tags = F.when(F.col("node_id") % 7 == 0, F.create_map(F.lit("highway"), F.lit("street_lamp"))).otherwise(F.create_map(F.lit("power"), F.lit("tower")))
-    verts = t.way_node.join(t.node.select("node_id", "lat", "lon"), "node_id").join(t.way_tag.select("way_id", rules.road_class("highway").alias("cls")), "way_id")
+    verts = t.line_vertex.select(F.col("line_id").alias("way_id"), "seq", "lat", "lon", F.when(F.col("category") % 3 == 0, "Path").otherwise("Primary").alias("cls"))
     return infer_objects(nodes.where(F.col("amenity").isNotNull()), nodes.withColumn("tags", tags), verts).select("object_id", "kind", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))

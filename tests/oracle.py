@@ -59,7 +59,7 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
         return f"columns {sorted(df.columns)} != {sorted(cols)}"
     kinds = {r[0]: KINDS.get(r[1], r[1]) for r in con.execute(f"describe {sql}").fetchall()}
     types = dict(df.dtypes)
-    odd = {c: (types[c], kinds[c]) for c in cols if types[c] != kinds[c]}
+    odd = {c: (types[c], kinds[c]) for c in cols if types[c].replace("_ntz", "") != kinds[c]}
     if odd:
         return f"types {odd}"
     if len(got) != len(want):
