@@ -18,6 +18,8 @@ from .skew import salted_join
 # Grid steps in degrees; a geometry is keyed at the finest step at which its box covers at most MAX_CELLS cells.
 LEVELS_DEG = (0.01, 0.16, 2.56, 40.96)
 MAX_CELLS = 64
+# Ways a grid cell's points are split; the geometry side is repeated as often, and adaptive execution splits further.
+SALTS = 8
 
 
 def _cell(v: Column, step: float) -> Column:
@@ -65,7 +67,7 @@ def points_in_polygons(
 ) -> DataFrame:
     """Every (point, polygon) containment.  Point columns ``lat, lon``; a hot cell is split over tasks."""
     keyed = key_boxes(polygons, bbox_of_geometry(polygon))
-    pairs = salted_join(key_points(points), keyed, ["gl", "gs", "gw"], list(point_id)).drop("gl", "gs", "gw")
+    pairs = salted_join(key_points(points), keyed, ["gl", "gs", "gw"], list(point_id), salts=SALTS).drop("gl", "gs", "gw")
     hit = point_in_polygon("lat", "lon", polygon)
     if holes:
         hit = hit & ~F.exists(F.col(holes), lambda h: point_in_polygon("lat", "lon", h))
@@ -111,7 +113,7 @@ def nearest_segment(
         (F.greatest(a["lon"], b["lon"]) + F.lit(pad) / shrink).alias("lon_max"),
     )
     keyed = key_boxes(segs, box)
-    pairs = salted_join(key_points(points.select(*point_id, "lat", "lon")), keyed, ["gl", "gs", "gw"], point_id)
+    pairs = salted_join(key_points(points.select(*point_id, "lat", "lon")), keyed, ["gl", "gs", "gw"], point_id, salts=SALTS)
     pairs = pairs.withColumn("_h", segment_hit("lat", "lon", F.col("a"), F.col("b")))
     d = F.col("_h.dist_m")
     near = pairs.where((d <= col(limit_m)) if inclusive else (d < col(limit_m)))
@@ -279,7 +281,7 @@ def box_pairs(df: DataFrame, ident: str, lo: Sequence[str], hi: Sequence[str], b
         .withColumn("_g", F.explode(cells(F.col("gl"))))
         .select(*named("a"), "gl", "_g.x", "_g.y")
     )
-    pairs = salted_join(probe, own, ["gl", "x", "y"], [f"{ident}_a"])
+    pairs = salted_join(probe, own, ["gl", "x", "y"], [f"{ident}_a"], salts=SALTS)
     keep = (F.col("_l_a") < F.col("_l_b")) | ((F.col("_l_a") == F.col("_l_b")) & (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
     for l, h in zip(lo, hi):
         keep = keep & (F.col(f"{l}_a") <= F.col(f"{h}_b")) & (F.col(f"{h}_a") >= F.col(f"{l}_b"))

@@ -56,14 +56,14 @@ def lag_motion(t):
 ASKS = "(select user_id peer, event_id ask_id, ts + interval '30' minute ts from events where event_type='click')"
 
 
-@query("as_of_states", f"""with s as (select peer, seq, epoch_ms(ts) ms, x, vx, yaw from {STATES} s0), a as (select peer, ask_id, epoch_ms(ts)-100 ms from {ASKS} a0),
+@query("as_of_states", f"""with s as (select peer, seq, epoch_us(ts)//1000 ms, x, vx, yaw from {STATES} s0), a as (select peer, ask_id, epoch_us(ts)//1000-100 ms from {ASKS} a0),
    j as (select a.peer, a.ask_id, a.ms t, p.ms pm, p.x px, p.vx pvx, p.yaw pyaw, n.ms nm, n.x nx, n.yaw nyaw from a left join lateral (select * from s where s.peer=a.peer and s.ms<=a.ms order by s.ms desc, seq desc limit 1) p on true
      left join lateral (select * from s where s.peer=a.peer and s.ms>a.ms order by s.ms, seq limit 1) n on true)
    select peer, ask_id, case when pm is not null and nm is not null then 'between' when pm is not null then 'ahead' else 'first' end how, round(case when pm is null then nx when nm is null then px+pvx*(t-pm)/1000e0 else px+(nx-px)*((t-pm)/cast(nm-pm as double)) end,6) x,
-     round(case when pm is null then nyaw when nm is null then pyaw else pyaw+(nyaw-pyaw)*((t-pm)/cast(nm-pm as double)) end,7) yaw from j""")
+     round(case when pm is null then nyaw when nm is null then pyaw else pyaw+(nyaw-pyaw)*((t-pm)/cast(nm-pm as double)) end,9) yaw from j""")
 def as_of_states(t):
     out = mo.as_of_states(states(t), t.sql(f"select * from {ASKS} a"))
-    return out.select("peer", "ask_id", "how", F.round("x", 6).alias("x"), F.round("yaw", 7).alias("yaw"))
+    return out.select("peer", "ask_id", "how", F.round("x", 6).alias("x"), F.round("yaw", 9).alias("yaw"))
 
 
 @query("region_change", """select event_id, x, y from (select event_id, x, y, lag(x) over w px, lag(y) over w py from (select *, cast(floor(lon/0.01e0) as bigint) x, cast(floor(lat/0.01e0) as bigint) y from position) p

@@ -138,20 +138,20 @@ def clock_merge_agg(t):
 
 
 @query("causality_violations", """with c as (select op_id, author, lamport, vx, vy, vz, op_id % 11 = 0 sees from op_log), o as (select *, case when op_id % 11=0 then op_id+3000 end seen from c)
-   select distinct o.vx, o.vy, o.vz, o.op_id from o join op_log p on p.vx=o.vx and p.vy=o.vy and p.vz=o.vz and p.author=o.author+1 and p.op_id<=o.seen and o.lamport<=p.lamport where o.seen is not null""")
+   select distinct o.vx, o.vy, o.vz, o.op_id from o join op_log p on p.vx=o.vx and p.vy=o.vy and p.vz=o.vz and p.author=o.author+10 and p.op_id<=o.seen and o.lamport<=p.lamport where o.seen is not null""")
 def causality_violations(t):
     own = F.create_map(F.col("author").cast("string"), F.col("op_id"))
-    other = F.create_map((F.col("author") + 1).cast("string"), F.col("op_id") + 3000)
+    other = F.create_map((F.col("author") + 10).cast("string"), F.col("op_id") + 3000)
     ops = t.op_log.withColumn("clock", F.when(F.col("op_id") % 11 == 0, F.map_concat(own, other)).otherwise(own))
     return ol.causality_violations(ops)
 
 
-@query("lww_register_causal", """with o as (select *, case when op_id % 11=0 then op_id+3000 end seen from op_log), free as (select * from op_log p where not exists (select 1 from o where o.vx=p.vx and o.vy=p.vy and o.vz=p.vz and o.author=p.author-1 and o.seen>=p.op_id)
+@query("lww_register_causal", """with o as (select *, case when op_id % 11=0 then op_id+3000 end seen from op_log), free as (select * from op_log p where not exists (select 1 from o where o.vx=p.vx and o.vy=p.vy and o.vz=p.vz and o.author=p.author-10 and o.seen>=p.op_id)
      and not exists (select 1 from op_log s where s.vx=p.vx and s.vy=p.vy and s.vz=p.vz and s.author=p.author and s.op_id>p.op_id))
    select vx, vy, vz, op_id from free qualify row_number() over (partition by vx, vy, vz order by lamport desc, author desc, op_id desc)=1""")
 def lww_register_causal(t):
     own = F.create_map(F.col("author").cast("string"), F.col("op_id"))
-    other = F.create_map((F.col("author") + 1).cast("string"), F.col("op_id") + 3000)
+    other = F.create_map((F.col("author") + 10).cast("string"), F.col("op_id") + 3000)
     ops = t.op_log.withColumn("clock", F.when(F.col("op_id") % 11 == 0, F.map_concat(own, other)).otherwise(own))
     return ol.lww_register_causal(ops).select("vx", "vy", "vz", "op_id")
 
