@@ -40,12 +40,11 @@ def _cover_count(box: Column, step: float) -> Column:
 
 def key_boxes(df: DataFrame, box: Column) -> DataFrame:
     """Explode each geometry to grid keys ``(gl, gs, gw)`` at the level that suits its size."""
-    level = None
+    out, b, level, cells = df.withColumn("_box", box), F.col("_box"), None, None
     for i, step in enumerate(LEVELS_DEG[:-1]):
-        cond = _cover_count(box, step) <= MAX_CELLS
+        cond = _cover_count(b, step) <= MAX_CELLS
         level = F.when(cond, F.lit(i)) if level is None else level.when(cond, F.lit(i))
-    out = df.withColumn("_box", box).withColumn("gl", level.otherwise(len(LEVELS_DEG) - 1).cast("int"))
-    b, cells = F.col("_box"), None
+    out = out.withColumn("gl", level.otherwise(len(LEVELS_DEG) - 1).cast("int"))
     for i, step in enumerate(LEVELS_DEG):
         cond = F.col("gl") == i
         cells = F.when(cond, _cover(b, step)) if cells is None else cells.when(cond, _cover(b, step))

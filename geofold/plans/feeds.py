@@ -1 +1,133 @@
-"""placeholder"""
+"""Streaming queries, drained over the given tables, against the SQL of their batch meaning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import oplog as ol
+from ..streaming import jobs
+from ..streaming.runner import parquet_stream, run_to_parquet
+from .catalog import query
+from .motion import DENSE, RANKS
+from .oplog import ACTION_SQL, KEYS, RESULT_SQL, WIN
+
+
+def events(t):
+    return parquet_stream(t.spark, t.dir, "events.parquet")
+
+
+def stream_sql(t, text, table="events", file=None):
+    """A projection of a streamed base table, written as SQL."""
+    return t.spark.sql(text.replace(f"from {table}", "from {src}"), src=parquet_stream(t.spark, t.dir, f"{file or table}.parquet"))
+
+
+OPS = """select event_id op_id, user_id author, cast(floor(event_id/3e0) as bigint) lamport, user_id % 10 vx, cast(floor(value) as bigint) % 10 vy, event_id % 5 vz,
+   case event_type when 'view' then 'STONE' when 'click' then 'DIRT' when 'purchase' then 'GRASS' when 'signup' then 'WATER' else 'AIR' end material, ts from events"""
+
+
+@query("stream_ops", f"select op_id, author from {RESULT_SQL} r where result='Allowed'".replace("or not coalesce(self_sig_ok,true)", ""))
+def stream_ops(t):
+    ops = stream_sql(t, f"select event_id op_id, user_id author, {ACTION_SQL} as action, event_id % 17 <> 0 sig_ok, cast(ts as timestamp) ts from events")
+    ok = jobs.stream_ops(ops, t.sql(f"select * from {KEYS} k"), F.lit(9000.0))
+    return run_to_parquet(ok.select("op_id", "author"), "stream-ops")
+
+
+@query("stream_lww", f"select * from {WIN} w")
+def stream_lww(t):
+    return jobs.stream_lww(stream_sql(t, OPS))
+
+
+@query("stream_late_ops", "select count(*) logged, count(distinct (vx, vy, vz)) voxels from op_log")
+def stream_late_ops(t):
+    log, reg = jobs.stream_late_ops(stream_sql(t, OPS))
+    one = log.agg(F.count(F.lit(1)).alias("logged")).withColumn("k", F.lit(0))
+    return one.join(reg.agg(F.count(F.lit(1)).alias("voxels")).withColumn("k", F.lit(0)), "k").drop("k")
+
+
+@query("position_delta", f"""with recursive o as materialized (select *, row_number() over (partition by peer order by seq) k from {DENSE} d),
+   run as (select peer, seq, k, true keep, x lx, yaw lyaw, mode lmode, ms lms from o where k=1
+    union all select peer, seq, k, hit, case when hit then x else lx end, case when hit then yaw else lyaw end, case when hit then mode else lmode end, case when hit then ms else lms end from
+    (select o.*, r.lx, r.lyaw, r.lmode, r.lms, abs(o.x-r.lx)>0.05e0 or abs(o.yaw-r.lyaw)>0.017e0 or o.mode<>r.lmode or o.ms-r.lms>=500 hit from run r join o on o.peer=r.peer and o.k=r.k+1) q)
+   select peer, seq from run where keep""")
+def position_delta(t):
+    return run_to_parquet(jobs.position_delta(stream_sql(t, DENSE.strip("()"))), "delta").select("peer", "seq")
+
+
+@query("position_smooth")
+def position_smooth(t):
+    pos = stream_sql(t, "select user_id peer, event_id lamport, unix_millis(cast(ts as timestamp)) ms, value x, value/2e0 y, value/3e0 z, 0.5e0 vx, 0.25e0 vy, 0e0 vz from events")
+    return run_to_parquet(jobs.position_smooth(pos), "smooth")
+
+
+@query("presence_timeout", """with s as (select peer, min(ts) as "start", max(ts) last_ts, count(*) n from (select *, sum(case when gap is null or gap>=7200000000 then 1 else 0 end) over (partition by peer order by ts, event_id) s from
+   (select user_id peer, ts, event_id, date_diff('microsecond', lag(ts) over (partition by user_id order by ts, event_id), ts) gap from events) q) z group by peer, s)
+   select * from s where last_ts + interval '2' hour < (select max(ts) - interval '10' minute from events)""")
+def presence_timeout(t):
+    pos = stream_sql(t, "select user_id peer, cast(ts as timestamp) ts from events")
+    return run_to_parquet(jobs.presence_timeout(pos, "2 hours"), "presence")
+
+
+LINK_SQL = """(select user_id link, row_number() over (partition by user_id order by event_id) seq, value/8e0 rtt_ms from events)"""
+
+
+@query("link_profile_stream", f"""with recursive c as materialized (select link, seq, case when m<5 then 'LAN' when m<50 then 'Normal' else 'Constrained' end cand from (select link, seq, v[len(v)//2+1] m from (select link, seq, list_sort(list(rtt_ms) over (partition by link order by seq rows between 4 preceding and current row)) v from {LINK_SQL} r) q) z),
+   run as (select link, cast(0 as bigint) seq, 'Auto' profile, 0 streak from (select distinct link from c) l
+    union all select c.link, c.seq, case when {RANKS.format(x='c.cand')} > {RANKS.format(x='r.profile')} then c.cand when {RANKS.format(x='c.cand')} < {RANKS.format(x='r.profile')} and r.streak=2 then c.cand else r.profile end,
+      case when {RANKS.format(x='c.cand')} < {RANKS.format(x='r.profile')} and r.streak<2 then r.streak+1 else 0 end from run r join c on c.link=r.link and c.seq=r.seq+1)
+   select link, profile, count(*) n from run where seq>0 group by link, profile""")
+def link_profile_stream(t):
+    s = stream_sql(t, "select user_id link, event_id seq, value/8e0 rtt_ms from events")
+    return run_to_parquet(jobs.link_profile(s), "links").groupBy("link", "profile").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("region_change_stream", """select seq, x, y from (select event_id seq, x, y, lag(x) over w px, lag(y) over w py from (select *, cast(floor(lon/0.01e0) as bigint) x, cast(floor(lat/0.01e0) as bigint) y from position) p
+   window w as (partition by peer order by event_id)) q where px is null or px<>x or py<>y""")
+def region_change_stream(t):
+    pos = stream_sql(t, "select user_id peer, event_id seq, -27.6e0 + (user_id % 20)*0.01e0 + value*0.0001e0 lat, 153e0 + (event_id % 97)*0.002e0 lon from events")
+    return run_to_parquet(jobs.region_change(pos), "regions").select("seq", "x", "y")
+
+
+@query("region_fanout_stream", """select s.site_id subscriber, count(*) n from (select *, cast(floor(lon/0.01e0) as bigint) x, cast(floor(lat/0.01e0) as bigint) y from site) s
+   join (select *, cast(floor(lon/0.01e0) as bigint) x, cast(floor(lat/0.01e0) as bigint) y from position) p on abs(s.x-p.x)<=1 and abs(s.y-p.y)<=1 group by s.site_id""")
+def region_fanout_stream(t):
+    pos = stream_sql(t, "select event_id, -27.6e0 + (user_id % 20)*0.01e0 + value*0.0001e0 lat, 153e0 + (event_id % 97)*0.002e0 lon from events")
+    sent = jobs.fanout(pos, t.site.select(F.col("site_id").alias("subscriber"), "lat", "lon"))
+    return run_to_parquet(sent.select("subscriber", "event_id"), "fanout").groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("content_feed", """select section, id, rank from (select role section, id, row_number() over (partition by role order by turn desc, id) rank from (select role, turn, sha256(role||chr(0)||cast(turn as varchar)||chr(0)||text||chr(0)||cast(conv_id as varchar)||chr(0)||cast(turn as varchar)) id from conversations where turn % 7<>3) q) z where rank<=200""")
+def content_feed(t):
+    from ..operators.directory import content_id
+
+    src = parquet_stream(t.spark, t.dir, "conversations.parquet")
+    items = src.select(F.col("role").alias("section"), F.col("turn").cast("string").alias("title"), F.col("text").alias("body"), F.col("conv_id").cast("string").alias("author"), F.col("turn").alias("created_at"))
+    good = content_id("section", "title", "body", "author", "created_at")
+    items = items.withColumn("id", F.when(F.col("created_at") % 7 == 3, F.lit("forged")).otherwise(good))
+    return jobs.content_feed(items).select("section", "id", "rank")
+
+
+@query("key_feed", """with k as (select user_id peer, ts updated_at, event_id seq, case when event_id % 3=0 then 'Admin' else 'User' end key_type from events where event_type<>'error' qualify row_number() over (partition by user_id order by ts desc, event_id desc)=1),
+   r as (select user_id target, case when event_id % 2=0 then user_id else user_id+1 end as by_peer from events where event_type='error')
+   select peer, seq, key_type, exists (select 1 from r left join k w on w.peer=r.by_peer where r.target=k.peer and (r.by_peer=r.target or w.key_type='Admin')) revoked from k""")
+def key_feed(t):
+    ev = stream_sql(t, """select case when event_type='error' then 'revoke' else 'record' end kind, user_id peer, event_id seq, ts updated_at, case when event_id % 3=0 then 'Admin' else 'User' end key_type,
+        case when event_id % 2=0 then user_id else user_id+1 end as `by`, 'abuse' reason from events""")
+    return jobs.key_feed(ev).select("peer", "seq", "key_type", "revoked")
+
+
+@query("op_rate_windows_stream", """select author, start_ts, count(*) n from (select user_id author, to_timestamp(floor(epoch(ts)/3600)*3600)::timestamp start_ts from events) q
+   where start_ts + interval '1' hour <= (select max(ts) - interval '10' minute from events) group by author, start_ts""")
+def op_rate_windows_stream(t):
+    ops = stream_sql(t, "select user_id author, cast(ts as timestamp) ts from events")
+    return run_to_parquet(jobs.op_rate_windows(ops, "1 hour"), "rates")
+
+
+@query("offender_block_stream", "select user_id author, count(*) denied from events where event_type='error' group by user_id having count(*)>=5")
+def offender_block_stream(t):
+    return jobs.offender_block(stream_sql(t, "select user_id author from events where event_type='error'"))
+
+
+@query("incremental_feed", "select peer, seq from (select user_id peer, event_id seq, ts from events) q qualify row_number() over (partition by peer order by ts desc, seq desc)=1")
+def incremental_feed(t):
+    rows = stream_sql(t, "select user_id peer, event_id seq, ts updated_at from events")
+    return jobs.pull_feed(rows, "peer", ["updated_at", "seq"]).select("peer", "seq")

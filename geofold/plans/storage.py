@@ -1 +1,162 @@
-"""placeholder"""
+"""Queries for stores: passes, manifests, tiles, and sources read back from files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.geo import big
+from ..session import shared_dir
+from ..sources import readers, sinks
+from .catalog import query
+from .features import element_ways, site_features, FEATS, TILES
+
+# Pass store from documents: three passes, an old version, and rows with a wrong checksum.
+STORE = """(select doc_id chunk, case doc_id % 3 when 0 then 'terrain' when 1 then 'hydro' else 'roads' end pass, case when doc_id % 11=0 then 0 else 1 end version, text payload, doc_id % 13=0 bad from documents
+   union all select doc_id, 'terrain', 1, lang, false from documents where doc_id % 3=1)"""
+
+
+def store(t):
+    df = t.sql(f"select chunk, pass, version, payload, bad from {STORE} s")
+    sum_ = F.sha2("payload", 256)
+    return df.withColumn("checksum", F.when(F.col("bad"), F.reverse(sum_)).otherwise(sum_)).drop("bad")
+
+
+@query("write_pass", "select doc_id chunk, 'hydro' pass, cast(1 as integer) version, sha256(text) checksum from documents")
+def write_pass(t):
+    path = sinks.new_folder(shared_dir(t.spark), "pass")
+    sinks.write_pass(t.documents.select(F.col("doc_id").alias("chunk"), F.col("text").alias("payload")), path, "hydro")
+    back = t.spark.read.parquet(path)
+    return back.select("chunk", "pass", "version", "checksum")
+
+
+@query("read_pass", f"select chunk from {STORE} s where pass='hydro' and version=1")
+def read_pass(t):
+    return sinks.read_pass(store(t), "hydro").select("chunk")
+
+
+@query("pass_status", f"select chunk, bool_or(pass='terrain') terrain, bool_or(pass='hydro') hydro, bool_or(pass='roads') roads from {STORE} s where version=1 group by chunk")
+def pass_status(t):
+    return sinks.pass_status(store(t)).select("chunk", "terrain", "hydro", "roads")
+
+
+@query("best_pass", f"select chunk, arg_max(pass, case pass when 'terrain' then 0 when 'hydro' then 2 else 3 end) pass from {STORE} s where version=1 group by chunk")
+def best_pass(t):
+    return sinks.best_pass(store(t)).select("chunk", "pass")
+
+
+@query("pass_coverage", f"select pass, version, count(*) n from {STORE} s group by pass, version")
+def pass_coverage(t):
+    return sinks.pass_coverage(store(t))
+
+
+@query("verify_tiles", f"select pass, count(*) total, count(*) filter (bad) corrupt from {STORE} s group by pass")
+def verify_tiles(t):
+    return sinks.verify_tiles(store(t))
+
+
+@query("good_tiles", f"select chunk, pass from {STORE} s where not bad")
+def good_tiles(t):
+    return sinks.good_tiles(store(t)).select("chunk", "pass")
+
+
+@query("purge_tiles", f"select chunk, pass from {STORE} s where pass<>'roads' and not (pass='terrain' and chunk % 10=4)")
+def purge_tiles(t):
+    s = sinks.purge_tiles(store(t), "roads")
+    return sinks.purge_tiles(s, "terrain", s.where(F.col("chunk") % 10 == 4)).select("chunk", "pass")
+
+
+@query("write_manifest", "select doc_id chunk, 'R0' region, cast(length(text) as bigint) size, sha256(text) hash from documents")
+def write_manifest(t):
+    path = sinks.new_folder(shared_dir(t.spark), "manifest")
+    sinks.write_manifest(t.documents.select(F.col("doc_id").alias("chunk"), F.col("text").alias("payload")), path, "R0")
+    return t.spark.read.schema("chunk bigint, region string, size bigint, hash string").json(path)
+
+
+@query("write_tiles", f"select tile_s, tile_w, count(*) n from (select fid, layer, lat0, lat1, lon0, lon1 from {FEATS} f) f, {TILES} group by tile_s, tile_w")
+def write_tiles(t):
+    from ..operators.features import features_to_tiles
+
+    path = sinks.new_folder(shared_dir(t.spark), "tiles")
+    tiled = features_to_tiles(site_features(t))
+    sinks.write_tiles(tiled.where(F.col("tile_s") % 2 == 0), path)
+    sinks.write_tiles(tiled, path, skip_existing=True)
+    back = t.spark.read.parquet(path)
+    return back.groupBy(big(F.col("tile_s")).alias("tile_s"), big(F.col("tile_w")).alias("tile_w")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("feature_stage_filter", f"select chunk from {STORE} s where version=1 and pass='hydro'")
+def feature_stage_filter(t):
+    return sinks.read_pass(store(t), sinks.preferred_output_pass(skip_roads=True)).select("chunk")
+
+
+@query("read_overpass_elements", "select p_partkey way_id, cast(case when p_partkey % 2=0 then 5 else 4 end as bigint) n from part")
+def read_overpass_elements(t):
+    """Ways written out as element JSON, one document per folder, and read back."""
+    path = sinks.new_folder(shared_dir(t.spark), "elements")
+    w = element_ways(t).select(F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), F.transform("geom", lambda p, i: F.col("way_id") * 10 + i).alias("nodes"), "tags").alias("e"), F.floor(F.col("way_id") / 500).alias("doc"))
+    docs = w.groupBy("doc").agg(F.to_json(F.struct(F.lit(0.6).alias("version"), F.collect_list("e").alias("elements"))).alias("value"))
+    docs.write.partitionBy("doc").text(path)
+    tables = readers.read_overpass_elements(t.spark, path)
+    return tables["way"].select(F.col("id").alias("way_id"), big(F.size("nodes")).alias("n"))
+
+
+@query("read_osm_tables", "select l_orderkey way_id, count(*) n from lineitem group by l_orderkey")
+def read_osm_tables(t):
+    path = sinks.new_folder(shared_dir(t.spark), "osm")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    t.node.select(F.col("node_id").alias("id"), "lat", "lon", none.alias("tags")).write.parquet(f"{path}/node")
+    nodes = F.transform(F.sort_array(F.collect_list(F.struct("seq", "node_id"))), lambda x: x["node_id"])
+    ways = t.way_node.groupBy(F.col("way_id").alias("id")).agg(nodes.alias("nodes")).withColumn("tags", none)
+    ways.write.parquet(f"{path}/way")
+    ways.select("id", F.array().cast("array<struct<type:string,ref:bigint,role:string>>").alias("members"), "tags").limit(0).write.parquet(f"{path}/relation")
+    tables = readers.read_osm_tables(t.spark, path)
+    return readers.way_nodes(tables["way"]).groupBy("way_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_control_atlas", "select site_id, category, window_m from (select 's'||cast(s_suppkey as varchar) site_id, cast(s_nationkey as varchar) category, case when s_suppkey % 3=0 then 100e0 else 240e0 end window_m, row_number() over (partition by s_nationkey order by s_suppkey) rn from supplier) q where rn<=3")
+def read_control_atlas(t):
+    """Suppliers written as a nested control atlas and read back, three sites per category."""
+    path = sinks.new_folder(shared_dir(t.spark), "atlas")
+    site = F.struct(F.concat(F.lit("s"), F.col("site_id").cast("string")).alias("id"), "lat", "lon", F.when(F.col("site_id") % 3 == 0, 100.0).alias("window_m"), F.lit("survey").alias("reference_status"))
+    cats = t.site.groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("site_id", site.alias("s")))), lambda x: x["s"]).alias("controls"))
+    doc = cats.agg(F.collect_list(F.struct(F.col("category").cast("string").alias("id"), F.lit(3).cast("bigint").alias("expected_min_controls"), "controls")).alias("categories"))
+    doc.select(F.to_json(F.struct(F.lit("atlas").alias("name"), F.lit(240.0).alias("default_window_m"), F.lit(64).cast("bigint").alias("default_image_size"), "categories")).alias("value")).write.text(path)
+    return readers.read_control_atlas(t.spark, path, per_category=3).select("site_id", "category", "window_m")
+
+
+@query("read_dem_hgt", "select cast(-28 as integer) tile_lat, cast(153 as integer) tile_lon, k//33 prow, k % 33 pcol, cast(v as smallint) elev_m from (select o_orderkey % 1089 k, max(cast(o_totalprice/1000e0 as bigint)) v from orders group by 1) q".replace("k//33 prow, k % 33 pcol", "cast(k//33 as integer) prow, cast(k % 33 as integer) pcol").replace("cast(o_totalprice/1000e0 as bigint)", "cast(floor(o_totalprice/1000e0) as bigint)"))
+def read_dem_hgt(t):
+    """A 33 x 33 tile packed from order prices, then decoded."""
+    px = t.orders.groupBy((F.col("o_orderkey") % 1089).alias("k")).agg(F.max(big(F.floor(F.col("o_totalprice") / 1000))).alias("v"))
+    hexes = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: F.lpad(F.hex(x["v"]), 4, "0"))
+    files = px.agg(F.unhex(F.array_join(hexes, "")).alias("content")).withColumn("path", F.lit("dem/S28E153.hgt"))
+    return readers.decode_hgt(files, sides=(33,))
+
+
+@query("read_coastline", "select cast(c_custkey as bigint) poly_id, cast(4 as bigint) n, round(c_custkey % 90+0.25e0,6) lat, round(case when c_custkey % 360>180 then c_custkey % 360-360 else c_custkey % 360 end+0e0,6) lon from customer where c_custkey % 2=0")
+def read_coastline(t):
+    """Square shorelines of customers packed as binary records and decoded; odd ids are of another level."""
+    k = F.col("c_custkey")
+
+    def i32(v):
+        return F.lpad(F.right(F.hex(big(v)), F.lit(8)), 8, "0")
+
+    lon, lat = (k % 360) * 1000000, (k % 90) * 1000000
+    head = [k, F.lit(4), F.when(k % 2 == 0, 1).otherwise(2), lon, lon, lat, lat, F.lit(0), F.lit(0), F.lit(0), F.lit(0)]
+    pts = [lon, lat, lon + 250000, lat, lon + 250000, lat + 250000, lon, lat + 250000]
+    rec = t.customer.select(k.alias("k"), F.concat(*[i32(v) for v in head + pts]).alias("h"), F.floor(k / 1000).cast("string").alias("part"))
+    rows = rec.groupBy("part").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")).alias("content"))
+    out = readers.decode_coastline(rows.select("content")).where("level = 1")
+    return out.select("poly_id", big(F.size("pts")).alias("n"), F.round(F.element_at("pts", -1)["lat"], 6).alias("lat"), F.round(F.element_at("pts", 1)["lon"], 6).alias("lon"))
+
+
+@query("export_control_report", "select cast(s_nationkey as integer) category, count(*) n from supplier group by s_nationkey")
+def export_control_report(t):
+    from ..operators.report import control_metrics
+    from ..sources.report_files import export_control_report as export
+    from .report import sites, windows
+
+    folder = sinks.new_folder(shared_dir(t.spark), "report")
+    export(control_metrics(sites(t), windows(t)), folder)
+    back = t.spark.read.csv(f"{folder}/summary", header=True, schema="site_id bigint, category int, span_m string, p95_m string, changed bigint, coverage string")
+    return back.groupBy("category").agg(F.count(F.lit(1)).alias("n"))

@@ -37,7 +37,12 @@ def tile_corner(path):
 
 def read_dem_hgt(spark: SparkSession, path: str, sides: tuple[int, ...] = HGT_SIDES) -> DataFrame:
     """Pixels of every HGT tile in a folder; row 0 is north.  One tile is decoded at a time, a row block per batch."""
-    files = spark.read.format("binaryFile").load(path).select(tile_corner(F.col("path")).alias("k"), "content")
+    return decode_hgt(spark.read.format("binaryFile").load(path).select("path", "content"), sides)
+
+
+def decode_hgt(files: DataFrame, sides: tuple[int, ...] = HGT_SIDES) -> DataFrame:
+    """Pixels of tile files given as ``path, content``."""
+    files = files.select(tile_corner(F.col("path")).alias("k"), "content")
     files = files.where(F.col("k.lat").isNotNull() & F.col("k.lon").isNotNull()).select("k.lat", "k.lon", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +101,16 @@ def read_coastline(spark: SparkSession, path: str, box: tuple[float, float, floa
 
     Records are an 11-integer header and micro-degree (x, y) pairs, big-endian; longitudes above 180 wrap.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    polys = decode_coastline(spark.read.format("binaryFile").load(path).select("content")).where(F.col("level") == level)
+    if box is None:
+        return polys
+    s, n, w, e = box
+    want = F.struct(F.lit(s).alias("lat_min"), F.lit(n).alias("lat_max"), F.lit(w).alias("lon_min"), F.lit(e).alias("lon_max"))
+    return polys.where((F.size("pts") >= 3) & bbox_overlap(bbox_of_geometry("pts"), want))
+
+
+def decode_coastline(files: DataFrame) -> DataFrame:
+    """Polygons of all levels of shoreline files given as ``content``."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -111,12 +125,7 @@ def read_coastline(spark: SparkSession, path: str, box: tuple[float, float, floa
                     pts = [{"lat": float(a), "lon": float(b)} for a, b in zip(xy[:, 1], lon)]
                     yield pd.DataFrame({"poly_id": [head[0]], "level": [head[2] & 255], "pts": [pts]})
 
-    polys = files.mapInPandas(decode, COAST_SCHEMA).where(F.col("level") == level)
-    if box is None:
-        return polys
-    s, n, w, e = box
-    want = F.struct(F.lit(s).alias("lat_min"), F.lit(n).alias("lat_max"), F.lit(w).alias("lon_min"), F.lit(e).alias("lon_max"))
-    return polys.where((F.size("pts") >= 3) & bbox_overlap(bbox_of_geometry("pts"), want))
+    return files.mapInPandas(decode, COAST_SCHEMA)
 
 
 ATLAS_SCHEMA = """name string, default_window_m double, default_image_size bigint, categories array<struct<id:string, name:string,
