@@ -50,10 +50,11 @@ def gps_to_ecef(lat, lon, alt) -> Column:
 
 
 def ecef_to_gps(x, y, z) -> Column:
-    """Bowring's closed form; under a micrometre from the surface to low orbit."""
+    """Bowring's closed form with his start for heights; under a micrometre from the surface to low orbit."""
     x, y, z = col(x), col(y), col(z)
     p = F.sqrt(x * x + y * y)
-    theta = F.atan2(z * F.lit(WGS84_A), p * F.lit(WGS84_B))
+    r = F.sqrt(x * x + y * y + z * z)
+    theta = F.atan2(z * F.lit(WGS84_B) * (F.lit(1.0) + F.lit(_EP2 * WGS84_B) / r), p * F.lit(WGS84_A))
     lat = F.atan2(
         z + F.lit(_EP2 * WGS84_B) * F.pow(F.sin(theta), F.lit(3.0)),
         p - F.lit(_E2 * WGS84_A) * F.pow(F.cos(theta), F.lit(3.0)),

@@ -45,8 +45,8 @@ def ring_edges(geom) -> Column:
     ).otherwise(F.array().cast("array<struct<a:struct<lat:double,lon:double>,b:struct<lat:double,lon:double>>>"))
 
 
-def point_in_polygon(lat, lon, polygon) -> Column:
-    """Even-odd rule: an odd number of ring edges cross the ray from the point."""
+def edges_contain(lat, lon, edges) -> Column:
+    """Even-odd rule on ring edges: an odd number of them cross the ray from the point."""
     lat, lon = col(lat), col(lon)
 
     def crosses(e):
@@ -55,17 +55,30 @@ def point_in_polygon(lat, lon, polygon) -> Column:
         at = (b["lat"] - a["lat"]) * (lon - a["lon"]) / span + a["lat"]
         return ((a["lon"] > lon) != (b["lon"] > lon)) & (lat < at)
 
-    return (F.size(col(polygon)) >= 3) & (F.size(F.filter(ring_edges(polygon), crosses)) % 2 == 1)
+    return F.size(F.filter(col(edges), crosses)) % 2 == 1
+
+
+def point_in_polygon(lat, lon, polygon) -> Column:
+    """Whether a point is inside a ring; fewer than three points hold nothing."""
+    return (F.size(col(polygon)) >= 3) & edges_contain(lat, lon, ring_edges(polygon))
 
 
 def point_in_water(lat, lon, polygon, holes) -> Column:
     return point_in_polygon(lat, lon, polygon) & ~F.exists(col(holes), lambda h: point_in_polygon(lat, lon, h))
 
 
-def segment_hit(lat, lon, a: Column, b: Column, floor_cos: bool = False) -> Column:
-    """Distance in metres, fraction along the segment and closest point, in a flat frame at the point."""
+def lon_scale(lat) -> Column:
+    """Metres per degree of longitude."""
+    return F.cos(F.radians(col(lat))) * M_PER_DEG
+
+
+def segment_hit(lat, lon, a: Column, b: Column, floor_cos: bool = False, scale: Column | None = None) -> Column:
+    """Distance in metres, fraction along the segment and closest point, in a flat frame at the point.
+
+    ``scale`` is the point's ``lon_scale`` when it is at hand.
+    """
     lat, lon = col(lat), col(lon)
-    sz = flat_scale_lon(lat) if floor_cos else F.cos(F.radians(lat)) * M_PER_DEG
+    sz = scale if scale is not None else flat_scale_lon(lat) if floor_cos else lon_scale(lat)
     px, pz = (lat - a["lat"]) * M_PER_DEG, (lon - a["lon"]) * sz
     dx, dz = (b["lat"] - a["lat"]) * M_PER_DEG, (b["lon"] - a["lon"]) * sz
     len2 = dx * dx + dz * dz
@@ -185,15 +198,20 @@ def segments_intersect(a0: Column, a1: Column, b0: Column, b1: Column) -> Column
     )
 
 
-def polygon_hits_cell(polygon, box: Column) -> Column:
-    """Cell centre or a corner inside, a vertex in the cell, or a ring edge crossing a cell side."""
+def polygon_hits_cell(polygon, box: Column, edges: Column | None = None) -> Column:
+    """Cell centre or a corner inside, a vertex in the cell, or a ring edge crossing a cell side.
+
+    ``edges`` are the polygon's ``ring_edges`` when they are at hand.
+    """
     poly = col(polygon)
+    edges = ring_edges(poly) if edges is None else edges
     lat0, lat1, lon0, lon1 = box["lat_min"], box["lat_max"], box["lon_min"], box["lon_max"]
     corners = [point(lat0, lon0), point(lat0, lon1), point(lat1, lon1), point(lat1, lon0)]
     sides = list(zip(corners, corners[1:] + corners[:1]))
-    inside = point_in_polygon((lat0 + lat1) * 0.5, (lon0 + lon1) * 0.5, poly)
+    inside = edges_contain((lat0 + lat1) * 0.5, (lon0 + lon1) * 0.5, edges)
+    inside = inside | F.exists(poly, lambda p: in_bbox(p["lat"], p["lon"], box))
     for c in corners:
-        inside = inside | point_in_polygon(c["lat"], c["lon"], poly)
+        inside = inside | edges_contain(c["lat"], c["lon"], edges)
 
     def edge_hits(e):
         hit = segments_intersect(e["a"], e["b"], *sides[0])
@@ -201,11 +219,7 @@ def polygon_hits_cell(polygon, box: Column) -> Column:
             hit = hit | segments_intersect(e["a"], e["b"], *side)
         return hit
 
-    return (F.size(poly) >= 3) & (
-        inside
-        | F.exists(poly, lambda p: in_bbox(p["lat"], p["lon"], box))
-        | F.exists(ring_edges(poly), edge_hits)
-    )
+    return (F.size(poly) >= 3) & (inside | F.exists(edges, edge_hits))
 
 
 def polygons_intersect(a, b) -> Column:

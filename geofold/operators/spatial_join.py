@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import M_PER_DEG, big, col
 from ..functions.geometry import (
-    bbox_of_geometry, point_in_polygon, point_polyline_distance_m, polygon_hits_cell, polygons_intersect, segment_hit,
+    bbox_of_geometry, edges_contain, in_bbox, lon_scale, point_in_polygon, point_polyline_distance_m, polygon_hits_cell,
+    polygons_intersect, ring_edges, segment_hit,
 )
 from ..session import cut_lineage
 from .skew import salted_join
@@ -39,7 +40,7 @@ def _cover_count(box: Column, step: float) -> Column:
 
 
 def key_boxes(df: DataFrame, box: Column) -> DataFrame:
-    """Explode each geometry to grid keys ``(gl, gs, gw)`` at the level that suits its size."""
+    """Explode each geometry to grid keys ``(gl, gs, gw)`` at the level that suits its size; keeps the box as ``_box``."""
     out, b, level, cells = df.withColumn("_box", box), F.col("_box"), None, None
     for i, step in enumerate(LEVELS_DEG[:-1]):
         cond = _cover_count(b, step) <= MAX_CELLS
@@ -48,7 +49,7 @@ def key_boxes(df: DataFrame, box: Column) -> DataFrame:
     for i, step in enumerate(LEVELS_DEG):
         cond = F.col("gl") == i
         cells = F.when(cond, _cover(b, step)) if cells is None else cells.when(cond, _cover(b, step))
-    return out.withColumn("_g", F.explode(cells)).select("*", "_g.gs", "_g.gw").drop("_g", "_box")
+    return out.withColumn("_g", F.explode(cells)).select("*", "_g.gs", "_g.gw").drop("_g")
 
 
 def key_points(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -65,12 +66,13 @@ def points_in_polygons(
     points: DataFrame, polygons: DataFrame, point_id: Sequence[str], polygon: str = "polygon", holes: str | None = None
 ) -> DataFrame:
     """Every (point, polygon) containment.  Point columns ``lat, lon``; a hot cell is split over tasks."""
-    keyed = key_boxes(polygons, bbox_of_geometry(polygon))
+    ready = polygons.where(F.size(polygon) >= 3).withColumn("_edges", ring_edges(polygon))
+    keyed = key_boxes(ready, bbox_of_geometry(polygon))
     pairs = salted_join(key_points(points), keyed, ["gl", "gs", "gw"], list(point_id), salts=SALTS).drop("gl", "gs", "gw")
-    hit = point_in_polygon("lat", "lon", polygon)
+    hit = in_bbox("lat", "lon", F.col("_box")) & edges_contain("lat", "lon", "_edges")
     if holes:
         hit = hit & ~F.exists(F.col(holes), lambda h: point_in_polygon("lat", "lon", h))
-    return pairs.where(hit)
+    return pairs.where(hit).drop("_box", "_edges")
 
 
 def explode_segments(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -112,8 +114,10 @@ def nearest_segment(
         (F.greatest(a["lon"], b["lon"]) + F.lit(pad) / shrink).alias("lon_max"),
     )
     keyed = key_boxes(segs, box)
-    pairs = salted_join(key_points(points.select(*point_id, "lat", "lon")), keyed, ["gl", "gs", "gw"], point_id, salts=SALTS)
-    pairs = pairs.withColumn("_h", segment_hit("lat", "lon", F.col("a"), F.col("b")))
+    placed = points.select(*point_id, "lat", "lon", lon_scale("lat").alias("_sz"))
+    pairs = salted_join(key_points(placed), keyed, ["gl", "gs", "gw"], point_id, salts=SALTS)
+    pairs = pairs.where(in_bbox("lat", "lon", F.col("_box")))
+    pairs = pairs.withColumn("_h", segment_hit("lat", "lon", F.col("a"), F.col("b"), scale=F.col("_sz")))
     d = F.col("_h.dist_m")
     near = pairs.where((d <= col(limit_m)) if inclusive else (d < col(limit_m)))
     best = near.groupBy(*point_id).agg(
@@ -188,13 +192,13 @@ def _candidate_cells(df: DataFrame, grid: Grid, box: Column, block: int = 64) ->
 
 def rasterize_polygons(polygons: DataFrame, grid: Grid, mode: str = "touch", polygon: str = "polygon") -> DataFrame:
     """Cells touched by each polygon, or with their centre inside it (``mode='centre'``)."""
-    cells = _candidate_cells(polygons.where(F.size(polygon) >= 3), grid, bbox_of_geometry(polygon))
+    ready = polygons.where(F.size(polygon) >= 3).withColumn("_edges", ring_edges(polygon))
+    cells = _candidate_cells(ready, grid, bbox_of_geometry(polygon))
     if mode == "touch":
-        cells = cells.withColumn("_cell", grid.cell_box(F.col("r"), F.col("c")))
-        return cells.where(polygon_hits_cell(polygon, F.col("_cell"))).drop("_cell")
-    lat, lon = grid.centre(F.col("r"), F.col("c"))
-    cells = cells.withColumn("_lat", lat).withColumn("_lon", lon)
-    return cells.where(point_in_polygon("_lat", "_lon", polygon)).drop("_lat", "_lon")
+        hit = polygon_hits_cell(polygon, grid.cell_box(F.col("r"), F.col("c")), F.col("_edges"))
+    else:
+        hit = edges_contain(*grid.centre(F.col("r"), F.col("c")), "_edges")
+    return cells.where(hit).drop("_edges")
 
 
 def line_box(line: str, half_width_m) -> Column:
