@@ -168,15 +168,16 @@ def chunk_of_voxel(vx, vy, vz) -> Column:
 def chunk_gps_box(chunk_x, chunk_z, origin_y, pad_deg: float = 0.00015) -> Column:
     """Footprint in degrees from the four corner columns of a chunk, padded on each side."""
     x0, z0 = col(chunk_x) * CHUNK_X, col(chunk_z) * CHUNK_Z
-    corners = [
-        column_gps(x0 + dx, z0 + dz, origin_y) for dx in (0, CHUNK_X - 1) for dz in (0, CHUNK_Z - 1)
-    ]
-    lats, lons = [c["lat"] for c in corners], [c["lon"] for c in corners]
+    corners = F.array(
+        *[F.struct((x0 + dx).alias("x"), (z0 + dz).alias("z")) for dx in (0, CHUNK_X - 1) for dz in (0, CHUNK_Z - 1)]
+    )
+    at = F.transform(corners, lambda c: column_gps(c["x"], c["z"], origin_y))
+    lats, lons = F.transform(at, lambda g: g["lat"]), F.transform(at, lambda g: g["lon"])
     return F.struct(
-        (F.least(*lats) - pad_deg).alias("lat_min"),
-        (F.greatest(*lats) + pad_deg).alias("lat_max"),
-        (F.least(*lons) - pad_deg).alias("lon_min"),
-        (F.greatest(*lons) + pad_deg).alias("lon_max"),
+        (F.array_min(lats) - pad_deg).alias("lat_min"),
+        (F.array_max(lats) + pad_deg).alias("lat_max"),
+        (F.array_min(lons) - pad_deg).alias("lon_min"),
+        (F.array_max(lons) + pad_deg).alias("lon_max"),
     )
 
 

@@ -62,13 +62,19 @@ def key_points(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return df.withColumn("_g", F.explode(keys)).select("*", "_g.gl", "_g.gs", "_g.gw").drop("_g")
 
 
+def key_points_for(points: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Point keys at the levels some geometry uses; the table of levels has at most one row per step."""
+    levels = keyed.select("gl").distinct()
+    return key_points(points).join(F.broadcast(levels), "gl", "left_semi")
+
+
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, point_id: Sequence[str], polygon: str = "polygon", holes: str | None = None
 ) -> DataFrame:
     """Every (point, polygon) containment.  Point columns ``lat, lon``; a hot cell is split over tasks."""
     ready = polygons.where(F.size(polygon) >= 3).withColumn("_edges", ring_edges(polygon))
     keyed = key_boxes(ready, bbox_of_geometry(polygon))
-    pairs = salted_join(key_points(points), keyed, ["gl", "gs", "gw"], list(point_id), salts=SALTS).drop("gl", "gs", "gw")
+    pairs = salted_join(key_points_for(points, keyed), keyed, ["gl", "gs", "gw"], list(point_id), salts=SALTS).drop("gl", "gs", "gw")
     hit = in_bbox("lat", "lon", F.col("_box")) & edges_contain("lat", "lon", "_edges")
     if holes:
         hit = hit & ~F.exists(F.col(holes), lambda h: point_in_polygon("lat", "lon", h))
@@ -115,7 +121,7 @@ def nearest_segment(
     )
     keyed = key_boxes(segs, box)
     placed = points.select(*point_id, "lat", "lon", lon_scale("lat").alias("_sz"))
-    pairs = salted_join(key_points(placed), keyed, ["gl", "gs", "gw"], point_id, salts=SALTS)
+    pairs = salted_join(key_points_for(placed, keyed), keyed, ["gl", "gs", "gw"], point_id, salts=SALTS)
     pairs = pairs.where(in_bbox("lat", "lon", F.col("_box")))
     pairs = pairs.withColumn("_h", segment_hit("lat", "lon", F.col("a"), F.col("b"), scale=F.col("_sz")))
     d = F.col("_h.dist_m")

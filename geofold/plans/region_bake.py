@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import big
 from ..operators import columns as co, hydrology as hy, roads as rd
 from ..operators.columns import COLUMN
+from ..session import cut_lineage
 from ..sources import sinks
 
 
@@ -37,17 +38,18 @@ def surfaces(runs: DataFrame) -> DataFrame:
 
 def hydro_pass(runs: DataFrame, columns: DataFrame, water: DataFrame, rivers: DataFrame, lines: DataFrame, origin: Origin) -> DataFrame:
     """Flat water first, then channels on the result."""
-    placed = columns.select(*COLUMN, "lat", "lon").join(surfaces(runs), COLUMN)
-    flooded = co.overlay(runs, hy.water_runs(hy.water_polygon_fill(placed, water, lines)))
-    placed = columns.select(*COLUMN, "lat", "lon").join(surfaces(flooded), COLUMN)
+    placed = cut_lineage(columns.select(*COLUMN, "lat", "lon").join(surfaces(runs), COLUMN))
+    flooded = cut_lineage(co.overlay(runs, hy.water_runs(hy.water_polygon_fill(placed, water, lines))))
+    placed = cut_lineage(columns.select(*COLUMN, "lat", "lon").join(surfaces(flooded), COLUMN))
     profile = hy.channel_profile(placed, rivers, lines, water)
     return co.overlay(flooded, hy.hydro_runs(hy.channel_pass(placed, profile, origin.alt, origin.vy)))
 
 
 def road_pass(runs: DataFrame, columns: DataFrame, roads: DataFrame, sample, origin: Origin) -> DataFrame:
     top = surfaces(runs)
-    hits = rd.road_grade(rd.road_columns(columns, roads), sample, origin.alt, origin.vy).join(top, COLUMN)
-    wet = rd.water_range(runs)
+    near = cut_lineage(rd.road_columns(columns, roads))
+    hits = cut_lineage(rd.road_grade(near, sample, origin.alt, origin.vy).join(top, COLUMN))
+    wet = cut_lineage(rd.water_range(runs))
     none = wet.select("vx", "vz").where(F.lit(False))
     mode = rd.road_crossing_mode(hits, wet, columns, none)
     tunnels = wet.select(*COLUMN, F.col("floor_y").alias("water_floor"))

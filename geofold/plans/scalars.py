@@ -32,7 +32,7 @@ def gps_sql(source: str) -> str:
     return (
         f"(select *, degrees(la) lat, degrees(atan2(y,x)) lon, p*cos(la)+z*sin(la)-{A!r}*sqrt(1e0-{E2!r}*sin(la)*sin(la)) alt "
         f"from (select *, atan2(z+{EP2 * B!r}*power(sin(th),3e0), p-{E2 * A!r}*power(cos(th),3e0)) la "
-        f"from (select *, atan2(z*{A!r}, p*{B!r}) th from (select *, sqrt(x*x+y*y) p from {source}) q1) q2) q3)"
+        f"from (select *, atan2(z*{B!r}*(1e0+{EP2 * B!r}/sqrt(x*x+y*y+z*z)), p*{A!r}) th from (select *, sqrt(x*x+y*y) p from {source}) q1) q2) q3)"
     )
 
 
