@@ -24,7 +24,7 @@ HALO_MAX_DELTA_M = 8.0
 def landuse_raster(areas: DataFrame, grid: Grid) -> DataFrame:
     """Land use per touched cell: highest priority, then the latest area.  ``areas``: poly_id, seq, area_type, polygon."""
     typed = first_feature(areas, "poly_id").withColumn("landuse", rules.landuse_class("area_type")).where(F.col("landuse").isNotNull())
-    cells = rasterize_polygons(typed, grid)
+    cells = rasterize_polygons(typed, grid, carry=["landuse", "seq"])
     rank = F.struct(rules.landuse_priority("landuse"), "seq")
     return cells.groupBy(*CELL).agg(F.max_by("landuse", rank).alias("landuse"))
 
@@ -49,7 +49,7 @@ def reservoir_surface(water: DataFrame, heights: DataFrame, grid: Grid) -> DataF
     area = (box["lat_max"] - box["lat_min"]) * (box["lon_max"] - box["lon_min"]) * M_PER_DEG * M_PER_DEG / 1e6
     standing = standing.where(F.col("explicit") | (F.size("polygon") >= 4)).withColumn("km2", area)
     inside = cut_lineage(
-        rasterize_polygons(standing, grid, "centre").select("poly_id", "explicit", "km2", *CELL).join(heights, CELL)
+        rasterize_polygons(standing, grid, "centre", carry=["explicit", "km2"]).join(heights, CELL)
     )
     level = pick_rank(inside, ["poly_id"], "z", F.floor(F.col("n") * 0.4), "_level")
     mean = inside.groupBy("poly_id", "explicit", "km2").agg(F.avg("z").alias("_mean"))

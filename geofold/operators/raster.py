@@ -48,8 +48,9 @@ def neighbours(
     filled in first, so diagonal neighbours of a gap are still found.
     """
     region = list(region)
-    block_keys = region + ["br", "bc"]
-    placed = with_block(cells, block).repartition(*block_keys)
+    # One hash column names the block, so the windows below find the rows already clustered by it.
+    placed = with_block(cells, block).withColumn("bk", F.xxhash64(*region, "br", "bc")).repartition("bk")
+    block_keys = ["bk"] + region + ["br", "bc"]
     keep = [c for c in cells.columns if c not in region + ["r", "c", value]]
     body = F.struct(F.col(value).alias("v"), *[F.col(c) for c in keep])
     if complete:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import M_PER_DEG, big, col
 from ..functions.geometry import (
-    bbox_of_geometry, edges_contain, in_bbox, lon_scale, point_in_polygon, point_polyline_distance_m, polygon_hits_cell,
-    polygons_intersect, ring_edges, segment_hit,
+    bbox_of_geometry, edges_contain, in_bbox, lon_scale, point_in_polygon, point_polyline_distance_m, polygons_intersect,
+    ring_edges, segment_hit, segments_intersect,
 )
 from ..session import cut_lineage
 from .skew import salted_join
@@ -193,18 +193,52 @@ def _candidate_cells(df: DataFrame, grid: Grid, box: Column, block: int = 64) ->
     r0, r1 = F.greatest("_r0", F.col("_br") * block), F.least(F.col("_r1"), F.col("_br") * block + block - 1)
     c0, c1 = F.greatest("_c0", F.col("_bc") * block), F.least(F.col("_c1"), F.col("_bc") * block + block - 1)
     out = out.withColumn("r", F.explode(F.sequence(r0, r1))).withColumn("c", F.explode(F.sequence(c0, c1)))
-    return out.drop("_box", "_r0", "_r1", "_c0", "_c1", "_br", "_bc")
+    return out.drop("_box", "_r0", "_r1", "_c0", "_c1")
 
 
-def rasterize_polygons(polygons: DataFrame, grid: Grid, mode: str = "touch", polygon: str = "polygon") -> DataFrame:
-    """Cells touched by each polygon, or with their centre inside it (``mode='centre'``)."""
-    ready = polygons.where(F.size(polygon) >= 3).withColumn("_edges", ring_edges(polygon))
-    cells = _candidate_cells(ready, grid, bbox_of_geometry(polygon))
-    if mode == "touch":
-        hit = polygon_hits_cell(polygon, grid.cell_box(F.col("r"), F.col("c")), F.col("_edges"))
+def rasterize_polygons(
+    polygons: DataFrame, grid: Grid, mode: str = "touch", polygon: str = "polygon", ident: str = "poly_id", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Cells touched by each polygon, or with their centre inside it (``mode='centre'``): ident, r, c and ``carry``.
+
+    A cell meets a polygon when its centre or a corner is inside, a vertex lies in it, or a ring edge crosses a side.
+    Each (cell, edge) is one row of plain numbers; the crossings of a cell are summed where its block already is.
+    """
+    ready = polygons.where(F.size(polygon) >= 3)
+    cells = _candidate_cells(ready.select(ident, ring_edges(polygon).alias("_edges"), bbox_of_geometry(polygon).alias("_bb")), grid, F.col("_bb"))
+    cells = cells.select(ident, "_br", "_bc", "r", "c", F.explode("_edges").alias("_e"))
+    ends = cells.select(
+        ident, "_br", "_bc", "r", "c", *[F.col(f"_e.{p}.{x}").alias(f"{p}_{x}") for p in "ab" for x in ("lat", "lon")]
+    )
+    a, b = [{x: F.col(f"{p}_{x}") for x in ("lat", "lon")} for p in "ab"]
+
+    def crossings(lat, lon):
+        at = (b["lat"] - a["lat"]) * (lon - a["lon"]) / F.nullif(b["lon"] - a["lon"], F.lit(0.0)) + a["lat"]
+        return F.sum(F.when(((a["lon"] > lon) != (b["lon"] > lon)) & (lat < at), 1).otherwise(0)) % 2 == 1
+
+    group = [ident, "_br", "_bc", "r", "c"]
+    if mode == "centre":
+        hit = ends.groupBy(*group).agg(crossings(*grid.centre(F.col("r"), F.col("c"))).alias("_hit"))
     else:
-        hit = edges_contain(*grid.centre(F.col("r"), F.col("c")), "_edges")
-    return cells.where(hit).drop("_edges")
+        box = grid.cell_box(F.col("r"), F.col("c"))
+        ends = ends.select("*", *[box[k].alias(k) for k in ("lat_min", "lat_max", "lon_min", "lon_max")])
+        lat0, lat1, lon0, lon1 = (F.col(k) for k in ("lat_min", "lat_max", "lon_min", "lon_max"))
+        corners = [{"lat": y, "lon": x} for y, x in ((lat0, lon0), (lat0, lon1), (lat1, lon1), (lat1, lon0))]
+        vertex = a["lat"].between(lat0, lat1) & a["lon"].between(lon0, lon1)
+        # An edge whose box misses the cell cannot cross its sides.
+        near = (F.greatest(a["lat"], b["lat"]) >= lat0 - 1e-9) & (F.least(a["lat"], b["lat"]) <= lat1 + 1e-9)
+        near = near & (F.greatest(a["lon"], b["lon"]) >= lon0 - 1e-9) & (F.least(a["lon"], b["lon"]) <= lon1 + 1e-9)
+        side = F.lit(False)
+        for p, q in zip(corners, corners[1:] + corners[:1]):
+            side = side | segments_intersect(a, b, p, q)
+        votes = ends.groupBy(*group).agg(
+            crossings((lat0 + lat1) * 0.5, (lon0 + lon1) * 0.5).alias("_m"),
+            *[crossings(p["lat"], p["lon"]).alias(f"_c{i}") for i, p in enumerate(corners)],
+            F.max(vertex | (near & side)).alias("_v"),
+        )
+        hit = votes.withColumn("_hit", F.col("_m") | F.col("_c0") | F.col("_c1") | F.col("_c2") | F.col("_c3") | F.col("_v"))
+    out = hit.where("_hit").select(ident, "r", "c")
+    return out.join(ready.select(ident, *carry), ident) if carry else out
 
 
 def line_box(line: str, half_width_m) -> Column:
@@ -230,7 +264,7 @@ def rasterize_line_buffer(lines: DataFrame, grid: Grid, half_width_m, line: str
     lat, lon = grid.centre(F.col("r"), F.col("c"))
     cells = cells.withColumn("_lat", lat).withColumn("_lon", lon)
     near = cells.where(point_polyline_distance_m("_lat", "_lon", line) <= F.col("_reach"))
-    return near.drop("_lat", "_lon", "_reach", "_hw", "_lb")
+    return near.drop("_lat", "_lon", "_reach", "_hw", "_lb", "_br", "_bc")
 
 
 def rasterize_lines(segs: DataFrame, grid: Grid) -> DataFrame:

@@ -185,7 +185,12 @@ def rasterize_polygons(t):
 
 @query("polygon_hits_cell", f"select poly_id, count(*) n from {TOUCH} t group by poly_id")
 def polygon_hits_cell(t):
-    return sj.rasterize_polygons(t.polygons, GRID).groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"))
+    """The single-cell predicate on the cells the rasteriser found."""
+    from ..functions.geometry import polygon_hits_cell as hits
+
+    cells = sj.rasterize_polygons(t.polygons, GRID, carry=["polygon"])
+    met = cells.where(hits("polygon", GRID.cell_box(F.col("r"), F.col("c"))))
+    return met.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rasterize_centres", f"select poly_id, r, c from {CENTRE} t")
