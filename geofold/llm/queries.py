@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, media, mixing, packing, quality_nbsvm, quality_rules
+from . import html_text, language, licenses, media, mixing, ngram_join, packing, quality_nbsvm, quality_rules
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op3_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = [op1_mix_sources, op2_media_containers, op3_pack_windows, op6_license_digests, op7_html_differences, op8_quality_nbsvm, op10_quality_rules]
+QUERIES = [op1_mix_sources, op2_media_containers, op3_pack_windows, op4_language_unigrams, op5_ngram_jaccard, op6_license_digests, op7_html_differences, op8_quality_nbsvm, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
