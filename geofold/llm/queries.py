@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, licenses, media, mixing, ngram_join, packing, quality_nbsvm, quality_rules
+from . import html_text, language, licenses, media, mixing, ngram_join, packing, quality_nbsvm, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -42,12 +42,16 @@ def op8_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
-QUERIES = [op1_mix_sources, op2_media_containers, op3_pack_windows, op4_language_unigrams, op5_ngram_jaccard, op6_license_digests, op7_html_differences, op8_quality_nbsvm, op10_quality_rules]
+QUERIES = [op1_mix_sources, op2_media_containers, op3_pack_windows, op4_language_unigrams, op5_ngram_jaccard, op6_license_digests, op7_html_differences, op8_quality_nbsvm, op9_suffix_merge, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
