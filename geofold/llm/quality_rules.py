@@ -85,10 +85,10 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when((n > 0) & (k < n * p), F.least(tail, F.lit(1.0))).otherwise(1.0)
 
 
-def _above(measure: str, cutoffs: Sequence[float]) -> Column:
-    """How many of the cutoffs, from the loosest on, still reject the document; an undefined measure is never rejected."""
+def _first_level(measure: str, cutoffs: Sequence[float]) -> Column:
+    """The loosest cutoff (its number) that rejects the document; their count if none does or the measure is undefined."""
     value = F.expr(f"try_divide(double({measure.split(' / ')[0]}), double({measure.split(' / ')[1]}))")
-    return sum((F.coalesce(value > c, F.lit(False)).cast("int") for c in cutoffs), F.lit(0))
+    return F.lit(len(cutoffs)) - sum((F.coalesce(value > c, F.lit(False)).cast("int") for c in cutoffs), F.lit(0))
 
 
 def certify(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", risk: float = 0.05, error: float = 0.05,
@@ -104,16 +104,15 @@ def certify(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label:
     of = free_name(measured, "_of")
     good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(of)).agg(F.max(label).alias("_label")).where(F.col("_label") == 1).select(of)
     rows = measured.where(~base_failed()).join(good, measured[key] == F.col(of), "left_semi")
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), _above(m, c).alias("above")) for n, (m, c) in rules.items()]))
-    counts = rows.select("stratum", each.alias("_e")).groupBy("stratum", "_e.rule", "_e.above").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), _first_level(m, c).alias("first")) for n, (m, c) in rules.items()]))
+    counts = rows.select("stratum", each.alias("_e")).groupBy("stratum", "_e.rule", "_e.first").agg(F.count(F.lit(1)).alias("n"))
     # One row a stratum, rule and level from here on.
     ladder = F.create_map(*[x for n, (_, c) in rules.items() for x in (F.lit(n), F.array(*[F.lit(float(v)) for v in c]))])
-    totals = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"), F.map_from_entries(F.collect_list(F.struct("above", "n"))).alias("_at"))
+    totals = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"), F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("_at"))
     totals = totals.withColumn("_cutoffs", F.element_at(ladder, F.col("rule")))
     totals = totals.withColumn("_tests", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     levels = totals.select("*", F.posexplode("_cutoffs").alias("level", "cutoff"))
-    # A document is rejected at a level if at least level + 1 cutoffs reject it.
-    rejected = F.aggregate(F.map_entries("_at"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] > F.col("level"), e["value"]).otherwise(0))
+    rejected = F.aggregate(F.map_entries("_at"), F.lit(0).cast("long"), lambda a, e: a + F.when(e["key"] <= F.col("level"), e["value"]).otherwise(0))
     levels = levels.withColumn("n_rejected", rejected).withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), risk / len(rules)))
     so_far = Window.partitionBy("stratum", "rule").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     levels = levels.withColumn("_ok", F.min((F.col("p_value") <= F.lit(error) / F.col("_tests")).cast("int")).over(so_far) == 1)
@@ -127,7 +126,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, rules: dict[str, tuple[str, S
     # One row a stratum.
     per = cutoffs.groupBy(F.coalesce(F.concat(F.lit("s"), "stratum"), F.lit("n")).alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "level"))).alias("_levels"))
     df = measured.withColumn("_k", F.coalesce(F.concat(F.lit("s"), "stratum"), F.lit("n"))).join(F.broadcast(per), "_k", "left")
-    hits = [F.when(_above(m, c) > F.nullif(F.element_at("_levels", F.lit(n)), F.lit(-1)), F.lit(n)) for n, (m, c) in rules.items()]
+    hits = [F.when(_first_level(m, c) <= F.element_at("_levels", F.lit(n)), F.lit(n)) for n, (m, c) in rules.items()]
     df = df.withColumn("rejected_by", F.array_compact(F.array(*hits))).withColumn("base_failed", base_failed())
     return df.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("_k", "_levels")
 
