@@ -70,7 +70,8 @@ def mix(
     Columns: key, ``size`` (words), ``source_size``, ``target``, ``rounds`` (times the whole document is taken),
     ``ranges`` (word ranges taken once more) and ``taken``.  Documents are dealt to shards by hash, laid end to end in
     a seeded order per source and shard, and cut into blocks of ``block`` words.  Quotas of blocks go to sources, then
-    to the shards of a source, by highest quotients; a quota is met by whole rounds and a seeded choice of blocks.
+    to the shards of a source, by highest quotients; a quota is met by whole rounds and a seeded choice of blocks, the
+    last of them cut where the quota ends.
 
     Null or empty texts have size 0 and nothing is taken.  Null sources are one source, sorted last.  A null key or
     repeated rows are documents of their own; equal rows share a place in the order, so swapping them changes nothing.
@@ -90,23 +91,23 @@ def mix(
     by_source = sainte_lague(by_source, ["_all"], "target", "_blocks", ["_src"], "_quota").select("_src", "source_size", "target", "_quota")
     by_shard = sizes.groupBy("_src", "_shard").agg(F.sum("size").alias("_votes")).join(by_source, "_src")
     by_shard = sainte_lague(by_shard, ["_src"], "_votes", "_quota", ["_shard"], "_seats")
-    count = F.ceil(F.col("_votes") / block)
-    seats = F.least(F.col("_seats"), count * cap)
+    votes = F.col("_votes")
+    words = F.least(F.col("_seats") * block, votes * cap)
     by_shard = by_shard.select(
-        "_src", "_shard", "source_size", "target", count.alias("_count"),
-        F.when(count > 0, F.floor(seats / count)).otherwise(0).alias("rounds"), F.when(count > 0, seats % count).otherwise(0).alias("_more"),
+        "_src", "_shard", "source_size", "target", F.floor(votes / block).alias("_full"),
+        F.when(votes > 0, F.floor(words / votes)).otherwise(0).alias("rounds"), F.when(votes > 0, words % votes).otherwise(0).alias("_more"),
         F.pmod(F.xxhash64("_src", "_shard", F.lit(seed + 2)), F.lit(STEP)).alias("_shift"),
     )
     w = Window.partitionBy("_src", "_shard").orderBy("_order", F.col("_id").asc_nulls_first())
     laid = sizes.withColumn("_end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     laid = laid.withColumn("_start", F.col("_end") - F.col("size")).join(by_shard, ["_src", "_shard"])
-    blocks = F.filter(
-        F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block)),
-        lambda b: F.pmod(b * STEP + F.col("_shift"), F.col("_count")) < F.col("_more"),
-    )
-    ranges = F.transform(blocks, lambda b: F.struct(
-        F.greatest(b * block - F.col("_start"), F.lit(0)).alias("lo"), F.least((b + 1) * block - F.col("_start"), F.col("size")).alias("hi"),
-    ))
+    # Full blocks in their seeded order, the last of them in part; the short block at the end comes after all others.
+    rank = lambda b: F.when(b < F.col("_full"), F.pmod(b * STEP + F.col("_shift"), F.col("_full"))).otherwise(b)
+    taken = lambda b: F.greatest(F.lit(0), F.least(F.lit(block), F.col("_more") - rank(b) * block))
+    blocks = F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))
+    ranges = F.filter(F.transform(blocks, lambda b: F.struct(
+        F.greatest(b * block - F.col("_start"), F.lit(0)).alias("lo"), F.least(b * block + taken(b) - F.col("_start"), F.col("size")).alias("hi"),
+    )), lambda r: r["hi"] > r["lo"])
     laid = laid.withColumn("ranges", F.when((F.col("size") > 0) & (F.col("_more") > 0), ranges).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>")))
     once = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"])
     return laid.select(
