@@ -48,7 +48,8 @@ class Encoder(dict):
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        text = text.replace("Σ", "σ").lower()  # the tokenizer lowers each character by itself
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
