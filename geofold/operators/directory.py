@@ -115,27 +115,32 @@ def revoke_keys(keys: DataFrame, revocations: DataFrame) -> DataFrame:
     )
 
 
-def trust_chain(keys: DataFrame, max_hops: int = 16) -> DataFrame:
-    """Hops from each key to the end of its ``issued_by`` chain, and whether every hop is counter-signed.
+def trust_chain(keys: DataFrame) -> DataFrame:
+    """Hops from each key to the end of its ``issued_by`` chain, that end, and whether every hop is counter-signed.
 
-    ``keys``: peer, issued_by (null at a root), issuer_ok.  Walks with pointer doubling: after i rounds, 2^i hops.
+    ``keys``: peer, issued_by (null at a root), issuer_ok.  Walks with pointer doubling until no pointer is left, so
+    chains have any length in log rounds.  Keys still walking after more hops than there are keys run into a cycle:
+    ``cycle`` is true, ``ok`` false, and hops and root are null.
     """
     from ..session import cut_lineage
 
-    state = keys.select(
+    state = cut_lineage(keys.select(
         "peer", F.col("issued_by").alias("at"), F.when(F.col("issued_by").isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
         F.coalesce(F.col("issued_by").isNull() | F.col("issuer_ok"), F.lit(False)).alias("ok"),
         F.coalesce("issued_by", "peer").alias("root"),
-    )
-    hop = 1
-    while hop < max_hops:
+    ))
+    hop, count = 1, state.count()
+    while hop <= 2 * count and state.where(F.col("at").isNotNull()).limit(1).count():
         nxt = state.select(F.col("peer").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_h"), F.col("ok").alias("_ok"), F.col("root").alias("_root"))
         state = state.join(nxt, "at", "left").select(
             "peer", F.col("_at").alias("at"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"),
             (F.col("ok") & F.coalesce("_ok", F.lit(True))).alias("ok"), F.coalesce("_root", "root").alias("root"),
         )
         state, hop = cut_lineage(state), hop * 2
-    return state.drop("at")
+    ends = F.col("at").isNull()
+    return state.select(
+        "peer", F.when(ends, F.col("hops")).alias("hops"), (F.col("ok") & ends).alias("ok"), F.when(ends, F.col("root")).alias("root"), (~ends).alias("cycle"),
+    )
 
 
 def node_directory(nodes: DataFrame, as_of) -> DataFrame:

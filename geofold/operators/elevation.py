@@ -28,7 +28,10 @@ def grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:
 
 
 def dem_bilinear(points: DataFrame, cells: DataFrame, grid: Grid, point_id: Sequence[str]) -> DataFrame:
-    """Bilinear height at points ``lat, lon``; the grid's edge cells are repeated outside it."""
+    """Bilinear height at points ``lat, lon``; the grid's edge cells are repeated outside it.
+
+    Where a corner has no height the result is the mean of those that have one; without any, the point gets no row.
+    """
     point_id = list(point_id)
     fr, fc = (F.col("lat") - grid.lat_min) / grid.step, (F.col("lon") - grid.lon_min) / grid.step
     r0, c0 = F.floor(fr), F.floor(fc)
@@ -43,8 +46,9 @@ def dem_bilinear(points: DataFrame, cells: DataFrame, grid: Grid, point_id: Sequ
         ]
     )
     asked = points.select(*point_id, F.explode(corners).alias("k")).select(*point_id, "k.r", "k.c", "k.w")
-    found = salted_join(asked, cells.select("r", "c", "z"), ["r", "c"], point_id)
-    return found.groupBy(*point_id).agg(F.sum(F.col("z") * F.col("w")).alias("z"))
+    found = salted_join(asked, cells.select("r", "c", "z").where(F.col("z").isNotNull()), ["r", "c"], point_id)
+    four = F.count(F.lit(1)) == 4
+    return found.groupBy(*point_id).agg(F.when(four, F.sum(F.col("z") * F.col("w"))).otherwise(F.avg("z")).alias("z"))
 
 
 def dem_sample(points: DataFrame, tiles: DataFrame, point_id: Sequence[str], side: int, cliff_m: float | None = CLIFF_M) -> DataFrame:

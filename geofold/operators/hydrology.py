@@ -132,7 +132,7 @@ def _local(df: DataFrame) -> DataFrame:
 
 def _around(df: DataFrame, value: str) -> tuple[DataFrame, Column, Column, Column]:
     """Neighbours of ``value`` inside the chunk; with their minimum, maximum and count."""
-    near = neighbours(_local(df), value, CHUNK, block=32, complete=False)
+    near = neighbours(_local(df), value, CHUNK, block=32)
     cols = [F.col(f"{value}_{d}") for d in D8_NAMES]
     count = None
     for c in cols:

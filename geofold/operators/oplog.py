@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clocks import clock_compare
 from ..functions.geo import big, col
-from .chunks import affected_chunks
+from .chunks import CHUNK_X, CHUNK_Z, affected_chunks
 from .skew import dense_position, salted_join
 from .spatial_join import box_pairs
 
@@ -164,17 +164,20 @@ def state_catch_up(ops: DataFrame, requests: DataFrame, page_size: int = 100) ->
     return ranked.withColumn("page", big(F.floor((F.col("pos") - 1) / page_size)))
 
 
-def fill_region(ops: DataFrame, max_volume: int) -> DataFrame:
-    """Expand fill ops ``box_min, box_max`` to voxels when no larger than ``max_volume``; larger ones are rejected."""
+def fill_region(ops: DataFrame, chunk_x: int = CHUNK_X, chunk_z: int = CHUNK_Z) -> DataFrame:
+    """Fill ops ``box_min, box_max`` as vertical runs ``vx, vz, y0, y1``, for boxes of any size.
+
+    A box is first split by chunk and then by column inside its chunk; heights are never expanded.  Empty boxes give
+    no run.
+    """
     lo, hi = F.col("box_min"), F.col("box_max")
-    size = F.lit(1).cast("bigint")
-    for a in "xyz":
-        size = size * (hi[a] - lo[a] + 1)
-    out = ops.withColumn("rejected", size > max_volume)
-    ok = out.where(~F.col("rejected"))
-    for a in "xyz":
-        ok = ok.withColumn(f"v{a}", F.explode(F.sequence(lo[a], hi[a])))
-    return ok.drop("rejected")
+    out = ops.where((lo["x"] <= hi["x"]) & (lo["y"] <= hi["y"]) & (lo["z"] <= hi["z"]))
+    for a, size in (("x", chunk_x), ("z", chunk_z)):
+        out = out.withColumn(f"c{a}", F.explode(F.sequence(big(F.floor(lo[a] / size)), big(F.floor(hi[a] / size)))))
+    for a, size in (("x", chunk_x), ("z", chunk_z)):
+        c = F.col(f"c{a}") * size
+        out = out.withColumn(f"v{a}", F.explode(F.sequence(F.greatest(lo[a], c), F.least(hi[a], c + size - 1))))
+    return out.withColumn("y0", lo["y"]).withColumn("y1", hi["y"])
 
 
 # ---------------------------------------------------------------------------------------------------------

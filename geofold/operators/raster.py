@@ -39,13 +39,11 @@ def with_block(cells: DataFrame, block: int, rim: int = 1) -> DataFrame:
     )
 
 
-def neighbours(
-    cells: DataFrame, value: str = "z", region: Sequence[str] = REGION, block: int = 256, complete: bool = True
-) -> DataFrame:
-    """Add the eight neighbour values ``z_n .. z_nw`` (null outside the grid).
+def neighbours(cells: DataFrame, value: str = "z", region: Sequence[str] = REGION, block: int = 256) -> DataFrame:
+    """Add the eight neighbour values ``z_n .. z_nw`` (null where there is no cell), for grids with or without holes.
 
-    ``complete`` declares that every region is a full rectangle.  Otherwise columns missing in the middle row are
-    filled in first, so diagonal neighbours of a gap are still found.
+    Beside each gap of a row an empty place is put in, so that the rows above and below still find their diagonal
+    neighbours across it.  A full grid gets such places at the ends of its rows only.
     """
     region = list(region)
     # One hash column names the block, so the windows below find the rows already clustered by it.
@@ -53,28 +51,23 @@ def neighbours(
     block_keys = ["bk"] + region + ["br", "bc"]
     keep = [c for c in cells.columns if c not in region + ["r", "c", value]]
     body = F.struct(F.col(value).alias("v"), *[F.col(c) for c in keep])
-    if complete:
-        row = Window.partitionBy(*block_keys, "r").orderBy("c")
-        wide = placed.select(
-            *block_keys, "r", "c", "rim", body.alias("_own"),
-            F.lag(value).over(row).alias("_w"), F.lead(value).over(row).alias("_e"),
-        )
-    else:
-        spread = placed.select(
-            *block_keys, "r", "c", "rim", body.alias("_own"),
-            F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_d"),
-        )
-        own, west, east = F.col("_d") == 0, F.col("_d") == 1, F.col("_d") == -1
-        wide = (
-            spread.withColumn("c", F.col("c") + F.col("_d"))
-            .groupBy(*block_keys, "r", "c")
-            .agg(
-                F.max(F.when(own, F.col("rim"))).alias("rim"),
-                F.max(F.when(own, F.col("_own"))).alias("_own"),
-                F.max(F.when(west, F.col("_own.v"))).alias("_w"),
-                F.max(F.when(east, F.col("_own.v"))).alias("_e"),
-            )
-        )
+    row = Window.partitionBy(*block_keys, "r").orderBy("c")
+    wide = placed.select(
+        *block_keys, "r", "c", "rim", body.alias("_own"), F.col(value).alias("_v"), F.lag("c").over(row).alias("_pc"), F.lead("c").over(row).alias("_nc"),
+        F.lag(value).over(row).alias("_pv"), F.lead(value).over(row).alias("_nv"),
+    )
+    c, before, after = F.col("c"), F.col("_pc"), F.col("_nc")
+
+    def place(at, west, east, own=False):
+        mine = F.lit(own)
+        return F.struct(at.alias("c"), F.when(mine, F.col("rim")).alias("rim"), F.when(mine, F.col("_own")).alias("own"), west.alias("w"), east.alias("e"))
+
+    none = F.when(F.lit(False), F.col("_v"))
+    here = place(c, F.when(before == c - 1, F.col("_pv")), F.when(after == c + 1, F.col("_nv")), own=True)
+    east_gap = F.when(after.isNull() | (after > c + 1), place(c + 1, F.col("_v"), F.when(after == c + 2, F.col("_nv"))))
+    west_gap = F.when(before.isNull() | (before < c - 2), place(c - 1, none, F.col("_v")))
+    wide = wide.select(*block_keys, "r", F.explode(F.array_compact(F.array(here, east_gap, west_gap))).alias("_p"))
+    wide = wide.select(*block_keys, "r", "_p.c", "_p.rim", F.col("_p.own").alias("_own"), F.col("_p.w").alias("_w"), F.col("_p.e").alias("_e"))
     column = Window.partitionBy(*block_keys, "c").orderBy("r")
     line = F.struct(F.col("r").alias("r"), F.col("_w").alias("w"), F.col("_own.v").alias("v"), F.col("_e").alias("e"))
     wide = wide.withColumn("_s", F.lag(line).over(column)).withColumn("_n", F.lead(line).over(column))
@@ -142,9 +135,9 @@ def twi(acc, slope_deg) -> Column:
     return F.log(F.greatest(col(acc).cast("double"), F.lit(1.0)) / F.tan(F.greatest(F.radians(col(slope_deg)), F.lit(0.001))))
 
 
-def terrain(cells: DataFrame, cell_deg: float, region: Sequence[str] = REGION, complete: bool = True) -> DataFrame:
+def terrain(cells: DataFrame, cell_deg: float, region: Sequence[str] = REGION) -> DataFrame:
     """Slope, gradient azimuth, ruggedness and D8 direction from one shuffle."""
-    near = neighbours(cells, "z", region, complete=complete)
+    near = neighbours(cells, "z", region)
     near = near.withColumn("tri", tri()).withColumn("dir", d8_direction(cell_deg))
     return drop_neighbours(with_slope_aspect(near, cell_deg))
 

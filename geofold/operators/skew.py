@@ -30,8 +30,7 @@ def salted_join(
     keys = list(keys)
     if salts is not None:
         left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-        # Spread by the join's own keys: no extra shuffle for a sort-merge join, and even work under a broadcast one.
-        left = left.repartition(*keys, "_salt")
+        # No repartition here: it would keep adaptive execution from broadcasting a small side or splitting a skewed one.
         right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return left.join(right, keys + ["_salt"], how).drop("_salt")
     hot = (

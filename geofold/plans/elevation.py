@@ -11,20 +11,19 @@ from ..operators.skew import pick_rank
 from ..operators.spatial_join import Grid
 from .catalog import query
 
-# Height cells as a grid in degrees under the positions.
-DEM = Grid(-27.7, 152.9, 0.002, 120, 125)
+# Height cells as a grid in degrees under the positions; its rows follow the table.
 BILINEAR = """with p as (select event_id, (lat+27.7e0)/0.002e0 fr, (lon-152.9e0)/0.002e0 fc from position),
-   k as (select event_id, least(greatest(floor(fr)+i,0),119) r, least(greatest(floor(fc)+j,0),124) c, (case when i=1 then fr-floor(fr) else 1-(fr-floor(fr)) end)*(case when j=1 then fc-floor(fc) else 1-(fc-floor(fc)) end) w from p, range(2) a(i), range(2) b(j))
-   select event_id, round(sum(z*w),6) z from k join dem_cell d on d.r=k.r and d.c=k.c group by event_id"""
+   k as (select event_id, least(greatest(floor(fr)+i,0),(select max(r) from dem_cell)) r, least(greatest(floor(fc)+j,0),124) c, (case when i=1 then fr-floor(fr) else 1-(fr-floor(fr)) end)*(case when j=1 then fc-floor(fc) else 1-(fc-floor(fc)) end) w from p, range(2) a(i), range(2) b(j))
+   select event_id, round(case when count(*)=4 then sum(z*w) else avg(z) end,6) z from k join dem_cell d on d.r=k.r and d.c=k.c group by event_id"""
 
 
-def cells(t):
-    return t.dem_cell.where((F.col("r") < DEM.rows) & (F.col("c") < DEM.cols))
+def grid(t):
+    return Grid(-27.7, 152.9, 0.002, (t.dem_cell.agg(F.max("r")).first()[0] or 0) + 1, 125)
 
 
 @query("dem_bilinear", BILINEAR)
 def dem_bilinear(t):
-    return el.dem_bilinear(t.position, cells(t), DEM, ["event_id"]).select("event_id", F.round("z", 6).alias("z"))
+    return el.dem_bilinear(t.position, t.dem_cell, grid(t), ["event_id"]).select("event_id", F.round("z", 6).alias("z"))
 
 
 # Elevation tiles of 41 x 41 pixels from order prices, with voids; two tiles, one is left out.

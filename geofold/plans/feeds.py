@@ -25,7 +25,7 @@ OPS = """select event_id op_id, user_id author, cast(floor(event_id/3e0) as bigi
    case event_type when 'view' then 'STONE' when 'click' then 'DIRT' when 'purchase' then 'GRASS' when 'signup' then 'WATER' else 'AIR' end material, ts from events"""
 
 
-@query("stream_ops", f"select op_id, author from {RESULT_SQL} r where result='Allowed'".replace("or not coalesce(self_sig_ok,true)", ""))
+@query("stream_ops", f"select op_id, author from {RESULT_SQL} r where result='Allowed'")
 def stream_ops(t):
     ops = stream_sql(t, f"select event_id op_id, user_id author, {ACTION_SQL} as action, event_id % 17 <> 0 sig_ok, cast(ts as timestamp) ts from events")
     ok = jobs.stream_ops(ops, t.sql(f"select * from {KEYS} k"), F.lit(9000.0))

@@ -187,14 +187,15 @@ def read_op_log(t):
     return unseen_ops(t.op_log, known).select("op_id", "author")
 
 
-@query("fill_region", """select o_orderkey op_id, x vx, z vz from orders, lateral (select unnest(range(o_orderkey % 50, o_orderkey % 50 + o_orderkey % 4 + 1)) x) a, lateral (select unnest(range(o_custkey % 50, o_custkey % 50 + o_custkey % 3 + 1)) z) b
-   where (o_orderkey % 4+1)*(o_custkey % 3+1) <= 6""")
+@query("fill_region", """select o_orderkey op_id, x vx, z vz, cast(5 as bigint) y0, 5+o_orderkey % 300 y1 from orders, lateral (select unnest(range(o_orderkey % 50, o_orderkey % 50 + o_orderkey % 4 + 1)) x) a,
+   lateral (select unnest(range(o_custkey % 50, o_custkey % 50 + o_custkey % 3 + 1)) z) b""")
 def fill_region(t):
-    def v(dx, dz):
-        return F.struct((F.col("o_orderkey") % 50 + dx).alias("x"), F.lit(5).cast("bigint").alias("y"), (F.col("o_custkey") % 50 + dz).alias("z"))
+    def v(dx, y, dz):
+        return F.struct((F.col("o_orderkey") % 50 + dx).alias("x"), y.cast("bigint").alias("y"), (F.col("o_custkey") % 50 + dz).alias("z"))
 
-    ops = t.orders.select(F.col("o_orderkey").alias("op_id"), v(F.lit(0), F.lit(0)).alias("box_min"), v(F.col("o_orderkey") % 4, F.col("o_custkey") % 3).alias("box_max"))
-    return ol.fill_region(ops, 6).select("op_id", "vx", "vz")
+    tall = F.col("o_orderkey") % 300
+    ops = t.orders.select(F.col("o_orderkey").alias("op_id"), v(F.lit(0), F.lit(5), F.lit(0)).alias("box_min"), v(F.col("o_orderkey") % 4, tall + 5, F.col("o_custkey") % 3).alias("box_max"))
+    return ol.fill_region(ops).select("op_id", "vx", "vz", "y0", "y1")
 
 
 @query("material_histogram", f"select material, count(*) n from {WIN} w where material <> 'AIR' group by material")

@@ -58,11 +58,28 @@ def tri(t):
 @query("tri_ragged", f"select r, c, round(({ABS_SUM})/nullif({COUNT},0),9) tri from {near_sql('(select * from dem_cell where (r*7+c*3) % 11 <> 0)')} k")
 def tri_ragged(t):
     """Ruggedness on a grid with holes, where diagonal neighbours of a hole still count."""
-    holed = t.dem_cell.where((F.col("r") * 7 + F.col("c") * 3) % 11 != 0)
-    near = raster.neighbours(holed, complete=False)
+    near = raster.neighbours(holed(t))
     return near.select("r", "c", F.round(raster.tri(), 9).alias("tri"))
 
 
+HOLED = "(select * from dem_cell where (r*7+c*3) % 11 <> 0)"
+
+
+def holed(t):
+    return t.dem_cell.where((F.col("r") * 7 + F.col("c") * 3) % 11 != 0)
+
+
+@query("slope_aspect_ragged", "select r, c, round(slope_deg,7) slope_deg, round(gradient_azimuth,6) gradient_azimuth from " + SLOPE_SQL.replace(near_sql(), near_sql(HOLED)) + " s")
+def slope_aspect_ragged(t):
+    out = raster.with_slope_aspect(raster.neighbours(holed(t)), STEP)
+    return out.select("r", "c", F.round("slope_deg", 7).alias("slope_deg"), F.round("gradient_azimuth", 6).alias("gradient_azimuth"))
+
+
+@query("d8_direction_ragged", "select r, c, dir from " + DIR_SQL.replace(near_sql(), near_sql(HOLED)) + " s")
+def d8_direction_ragged(t):
+    return raster.neighbours(holed(t)).select("r", "c", raster.d8_direction(STEP).alias("dir"))
+
+
 @query("d8_direction", f"select r, c, dir from {DIR_SQL} s")
 def d8_direction(t):
     return raster.neighbours(t.dem_cell).select("r", "c", raster.d8_direction(STEP).alias("dir"))
@@ -254,8 +271,7 @@ def coast_cells(t):
 # Reservoirs, ground and components
 # ---------------------------------------------------------------------------------------------------------
 WATER_KIND = "(case poly_id % 5 when 0 then 'lake' when 1 then 'reservoir' when 2 then 'river' when 3 then 'pond' else 'stream' end)"
-# Heights for the raster window: a smooth field, then shifted by the data through each cell's index.
-HEIGHTS = "(select r, c, z/10e0 z from dem_cell where r < 180 and c < 140)"
+HEIGHTS = "(select r, c, z/10e0 z from dem_cell)"
 WET = f"""(select k.poly_id, k.r, k.c, h.z, {WATER_KIND.replace('poly_id', 'k.poly_id')} kind, (b.lat1-b.lat0)*(b.lon1-b.lon0)*111320e0*111320e0/1e6 km2, row_number() over (partition by k.poly_id order by h.z) rn,
    count(*) over (partition by k.poly_id) n, avg(h.z) over (partition by k.poly_id) zm from {CENTRE} k join {HEIGHTS} h on h.r=k.r and h.c=k.c join {BOXES} b on b.poly_id=k.poly_id)"""
 LEVELS = f"""(select poly_id, greatest(z,0.1e0) level_m from {WET} w where n>=5 and rn=cast(floor(n*0.4e0) as bigint)+1 and kind not in ('river','stream')
@@ -263,7 +279,7 @@ LEVELS = f"""(select poly_id, greatest(z,0.1e0) level_m from {WET} w where n>=5
 
 
 def heights(t):
-    return t.dem_cell.where((F.col("r") < 180) & (F.col("c") < 140)).select("r", "c", (F.col("z") / 10.0).alias("z"))
+    return t.dem_cell.select("r", "c", (F.col("z") / 10.0).alias("z"))
 
 
 @query("reservoir_surface", f"select k.r, k.c, round(max(l.level_m),6) level_m from {CENTRE} k join {HEIGHTS} h on h.r=k.r and h.c=k.c join {LEVELS} l on l.poly_id=k.poly_id where h.z <= l.level_m+2 group by k.r, k.c")

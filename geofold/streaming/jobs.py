@@ -17,18 +17,21 @@ from .runner import run_to_parquet, run_upserts
 LATE = "10 minutes"
 
 
-def stream_ops(ops: DataFrame, keys: DataFrame, as_of, late: str = LATE) -> DataFrame:
-    """Allowed ops of a stream, each signature once within the watermark.
+def stream_ops(ops: DataFrame, keys: DataFrame, as_of, late: str | None = None) -> DataFrame:
+    """Allowed ops of a stream, each once, by the checks of the batch operator.
 
-    ``ops``: op_id, author, action, sig_ok, ts, ...; ``keys`` is a static table.
+    ``ops``: op_id, author, action, sig_ok, ts, ...; ``keys`` is a static table with self_sig_ok.  All ids are
+    remembered, so late ops count however the input is cut into batches; ``late`` bounds that memory and gives up ops
+    that come later.
     """
-    k = keys.select(F.col("peer").alias("author"), "key_type", "expires_at", "revoked")
-    j = ops.withWatermark("ts", late).dropDuplicatesWithinWatermark(["op_id"]).join(k, "author", "left")
+    k = keys.select(F.col("peer").alias("author"), "key_type", "expires_at", "revoked", "self_sig_ok")
+    once = ops.dropDuplicates(["op_id"]) if late is None else ops.withWatermark("ts", late).dropDuplicatesWithinWatermark(["op_id"])
+    j = once.join(k, "author", "left")
     ok = (
-        F.col("sig_ok") & ~F.coalesce("revoked", F.lit(False)) & ~F.coalesce(F.col("expires_at") < as_of, F.lit(False))
+        F.col("sig_ok") & F.coalesce("self_sig_ok", F.lit(True)) & ~F.coalesce("revoked", F.lit(False)) & ~F.coalesce(F.col("expires_at") < as_of, F.lit(False))
         & ol.class_allows(F.coalesce("key_type", F.lit("Guest")), ol.action_class("action"))
     )
-    return j.where(ok).drop("key_type", "expires_at", "revoked")
+    return j.where(ok).drop("key_type", "expires_at", "revoked", "self_sig_ok")
 
 
 def stream_lww(ops: DataFrame, name: str = "lww") -> DataFrame:
@@ -208,19 +211,23 @@ def key_feed(events: DataFrame, name: str = "keys") -> DataFrame:
     """Key table from a stream of records and revocations: newest record per peer, revocations stick.
 
     ``events``: kind ('record' or 'revoke'), peer, seq, updated_at, key_type, by, reason.  A record older than the one
-    held is ignored; a revocation by the key itself or an authority becomes a tombstone.
+    held is ignored; a revocation by the key itself or an authority becomes a tombstone.  Revocations are kept beside
+    the records and judged against the newest ones, so one that comes before its record, or before the record that
+    makes its sender an authority, waits for it, and the result does not depend on how the input is cut into batches.
     """
+    columns = ["kind", "peer", "updated_at", "seq", "key_type", "by", "reason"]
 
     def merge(table, batch):
-        rec = batch.where("kind = 'record'").select("peer", "updated_at", "seq", "key_type", F.lit(False).alias("revoked"))
-        held = table.select("peer", "updated_at", "seq", "key_type", "revoked") if table is not None else rec.limit(0)
-        latest = dr.latest_key_record(held.unionByName(rec))
-        gone = held.where("revoked").select("peer").distinct()
-        marked = latest.drop("revoked").join(gone.withColumn("revoked", F.lit(True)), "peer", "left").withColumn("revoked", F.coalesce("revoked", F.lit(False)))
-        rev = batch.where("kind = 'revoke'").select(F.col("peer").alias("target"), "by", F.col("seq").alias("at"), "reason")
-        return dr.revoke_keys(marked, rev).select("peer", "updated_at", "seq", "key_type", "revoked")
-
-    return run_upserts(events, name, merge)
+        rows = batch.select(*columns) if table is None else table.unionByName(batch.select(*columns))
+        latest = dr.latest_key_record(rows.where("kind = 'record'")).select(*columns)
+        # Of one sender's revocations of a key the first is enough.
+        first = rows.where("kind = 'revoke'").groupBy("peer", "by").agg(F.min_by(F.struct("kind", "updated_at", "seq", "key_type", "reason"), "seq").alias("_r")).select("peer", "by", "_r.*")
+        return latest.unionByName(first)
+
+    table = run_upserts(events, name, merge)
+    records = table.where("kind = 'record'").select("peer", "updated_at", "seq", "key_type", F.lit(False).alias("revoked"))
+    sent = table.where("kind = 'revoke'").select(F.col("peer").alias("target"), "by", F.col("seq").alias("at"), "reason")
+    return dr.revoke_keys(records, sent).select("peer", "updated_at", "seq", "key_type", "revoked")
 
 
 def pull_feed(rows: DataFrame, key: str, order: list[str], name: str = "pull") -> DataFrame:

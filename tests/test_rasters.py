@@ -50,7 +50,7 @@ def test_ragged_neighbours_match_brute_force(spark):
     rnd = random.Random(3)
     cells = {(r, c): rnd.random() for r in range(14) for c in range(11) if rnd.random() < 0.6}
     df = spark.createDataFrame([("A", r, c, z) for (r, c), z in cells.items()], "region string, r bigint, c bigint, z double")
-    for row in raster.neighbours(df, block=4, complete=False).collect():
+    for row in raster.neighbours(df, block=4).collect():
         for name, (dr, dc) in zip(raster.D8_NAMES, raster.D8):
             assert row[f"z_{name}"] == cells.get((row["r"] + dr, row["c"] + dc))
 
