@@ -333,3 +333,28 @@ def message_gate(messages: DataFrame) -> DataFrame:
 
     ok = lookup("priority", PRIORITY) <= lookup("profile", MAX_PRIORITY)
     return messages.where(ok).withColumn("position_hz", lookup("profile", POSITION_HZ))
+
+
+#: States that smoothing looks back on.
+HISTORY = 10
+
+
+def position_smooth(positions: DataFrame, delay_ms: int = 100) -> DataFrame:
+    """Position ``delay_ms`` before the newest time sent, at each state, from the last ``HISTORY`` states by Lamport time.
+
+    Between the last state before that moment and the first after it the position is interpolated; with none after it,
+    it moves on by velocity; with none before it, it is the first one.
+    """
+    fields = ["lamport", "ms", "x", "y", "z", "vx", "vy", "vz"]
+    w = Window.partitionBy("peer").orderBy("lamport", "ms").rowsBetween(1 - HISTORY, 0)
+    df = positions.select("peer", "lamport", F.collect_list(F.struct(*fields)).over(w).alias("_h"))
+    df = df.withColumn("ms", F.array_max(F.transform("_h", lambda e: e["ms"])) - delay_ms)
+    df = df.withColumn("_a", F.try_element_at(F.filter("_h", lambda e: e["ms"] <= F.col("ms")), F.lit(-1)))
+    df = df.withColumn("_b", F.try_element_at(F.filter("_h", lambda e: e["ms"] > F.col("ms")), F.lit(1)))
+    a, b, past = F.col("_a"), F.col("_b"), (F.col("ms") - F.col("_a.ms")).cast("double")
+
+    def along(c):
+        between = a[c] + (b[c] - a[c]) * (past / F.greatest((b["ms"] - a["ms"]).cast("double"), F.lit(1.0)))
+        return F.when(a.isNotNull() & b.isNotNull(), between).when(a.isNotNull(), a[c] + a[f"v{c}"] * (past / 1000.0)).otherwise(b[c]).alias(c)
+
+    return df.select("peer", "lamport", "ms", *[along(c) for c in "xyz"])

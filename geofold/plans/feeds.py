@@ -53,10 +53,25 @@ def position_delta(t):
     return run_to_parquet(jobs.position_delta(stream_sql(t, DENSE.strip("()"))), "delta").select("peer", "seq")
 
 
-@query("position_smooth")
+SMOOTH_SQL = """with h as (select peer, lamport, list({'ms': ms, 'x': x, 'y': y, 'vx': 0.5e0, 'vy': 0.25e0}) over (partition by peer order by lamport rows between 9 preceding and current row) l from
+     (select user_id peer, event_id lamport, epoch_ms(ts) ms, value x, value/2e0 y from events) e),
+   m as (select peer, lamport, l, list_max(list_transform(l, lambda e: e.ms))-100 ms from h), q as (select peer, lamport, ms, list_filter(l, lambda e: e.ms<=m.ms)[-1] a, list_filter(l, lambda e: e.ms>m.ms)[1] b from m)
+   select peer, lamport, ms, round(case when a is null then b.x when b is null then a.x+a.vx*((ms-a.ms)/1000e0) else a.x+(b.x-a.x)*((ms-a.ms)/greatest(b.ms-a.ms,1)) end,6) x,
+     round(case when a is null then b.y when b is null then a.y+a.vy*((ms-a.ms)/1000e0) else a.y+(b.y-a.y)*((ms-a.ms)/greatest(b.ms-a.ms,1)) end,6) y from q"""
+STATES = "select user_id peer, event_id lamport, unix_millis(cast(ts as timestamp)) ms, value x, value/2e0 y, value/3e0 z, 0.5e0 vx, 0.25e0 vy, 0e0 vz from events"
+
+
+@query("position_smooth", SMOOTH_SQL)
 def position_smooth(t):
-    pos = stream_sql(t, "select user_id peer, event_id lamport, unix_millis(cast(ts as timestamp)) ms, value x, value/2e0 y, value/3e0 z, 0.5e0 vx, 0.25e0 vy, 0e0 vz from events")
-    return run_to_parquet(jobs.position_smooth(pos), "smooth")
+    out = run_to_parquet(jobs.position_smooth(stream_sql(t, STATES)), "smooth")
+    return out.select("peer", "lamport", "ms", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("position_smooth_batch", SMOOTH_SQL)
+def position_smooth_batch(t):
+    from ..operators.motion import position_smooth
+
+    return position_smooth(t.sql(STATES)).select("peer", "lamport", "ms", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("presence_timeout", """with s as (select peer, min(ts) as "start", max(ts) last_ts, count(*) n from (select *, sum(case when gap is null or gap>=7200000000 then 1 else 0 end) over (partition by peer order by ts, event_id) s from

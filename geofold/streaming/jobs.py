@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import region_id
 from ..operators import directory as dr, oplog as ol
-from ..operators.motion import PROFILES, STALE_MS, START, TRANSITION, UPGRADE_AFTER, needs_send, region_fanout, rtt_class
+from ..operators.motion import HISTORY, PROFILES, STALE_MS, START, TRANSITION, UPGRADE_AFTER, needs_send, region_fanout, rtt_class
 from .runner import run_to_parquet, run_upserts
 
 LATE = "10 minutes"
@@ -98,36 +99,35 @@ def _plain(v):
     return v.item() if hasattr(v, "item") else v
 
 
-SMOOTH_OUT = "peer bigint, ms bigint, x double, y double, z double"
-HISTORY = 10
+SMOOTH_OUT = "peer bigint, lamport bigint, ms bigint, x double, y double, z double"
 
 
 def position_smooth(positions: DataFrame, delay_ms: int = 100) -> DataFrame:
-    """Position of each peer ``delay`` before its newest arrival, after every batch.
+    """Position of each peer ``delay_ms`` before the newest time it has sent, at each of its states.
 
-    State is the last ten positions by Lamport time.  Between two states it interpolates; after the last it moves on by
-    velocity.  ``positions``: peer, lamport, ms, x, y, z, vx, vy, vz.
+    One row a state, from the last ``HISTORY`` states up to it by Lamport time, as ``motion.position_smooth`` gives it;
+    with states in order the result does not depend on how the input is cut into batches.  ``positions``: peer,
+    lamport, ms, x, y, z, vx, vy, vz.
     """
     fields = ["lamport", "ms", "x", "y", "z", "vx", "vy", "vz"]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = [list(r) for r in zip(*state.get)] if state.exists else []
-        new = pd.concat(batches)[fields].values.tolist()
-        hist = sorted(old + new)[-HISTORY:]
-        state.update(tuple([float(r[i]) for r in hist] for i in range(len(fields))))
-        at = max(r[1] for r in hist) - delay_ms
-        before = [r for r in hist if r[1] <= at]
-        after = [r for r in hist if r[1] > at]
-        if before and after:
-            a, b = before[-1], after[0]
-            t = (at - a[1]) / max(b[1] - a[1], 1.0)
-            xyz = [a[i] + (b[i] - a[i]) * t for i in (2, 3, 4)]
-        elif before:
-            a = before[-1]
-            xyz = [a[i] + a[i + 3] * (at - a[1]) / 1000.0 for i in (2, 3, 4)]
-        else:
-            xyz = after[0][2:5]
-        yield pd.DataFrame({"peer": [key[0]], "ms": [int(at)], "x": [xyz[0]], "y": [xyz[1]], "z": [xyz[2]]})
+        new = pd.concat(batches)[fields].sort_values(["lamport", "ms"]).to_numpy(dtype=float)
+        old = np.array(state.get).T if state.exists else np.zeros((0, len(fields)))
+        rows = np.concatenate([old, new])
+        state.update(tuple(c.tolist() for c in rows[-HISTORY + 1:].T))
+        seen = np.arange(len(old), len(rows))[:, None] + np.arange(1 - HISTORY, 1)
+        there = seen >= 0
+        h = rows[np.maximum(seen, 0)]
+        at = np.where(there, h[:, :, 1], -np.inf).max(1) - delay_ms
+        before, after = there & (h[:, :, 1] <= at[:, None]), there & (h[:, :, 1] > at[:, None])
+        each = np.arange(len(h))
+        a, b = h[each, HISTORY - 1 - before[:, ::-1].argmax(1)], h[each, after.argmax(1)]
+        t = ((at - a[:, 1]) / np.maximum(b[:, 1] - a[:, 1], 1.0))[:, None]
+        between, onward = a[:, 2:5] + (b[:, 2:5] - a[:, 2:5]) * t, a[:, 2:5] + a[:, 5:8] * ((at - a[:, 1]) / 1000.0)[:, None]
+        some, more = before.any(1)[:, None], after.any(1)[:, None]
+        xyz = np.where(some & more, between, np.where(some, onward, b[:, 2:5]))
+        yield pd.DataFrame({"peer": key[0], "lamport": new[:, 0].astype("int64"), "ms": at.astype("int64"), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
     schema = ", ".join(f"{f} array<double>" for f in fields)
     return positions.groupBy("peer").applyInPandasWithState(step, SMOOTH_OUT, schema, "append", GroupStateTimeout.NoTimeout)

@@ -112,3 +112,28 @@ def test_lww_ignores_arrival_order(spark, seed):
     first = {tuple(r) for r in oplog.lww_register(spark.createDataFrame(ops, schema)).collect()}
     rnd.shuffle(ops)
     assert {tuple(r) for r in oplog.lww_register(spark.createDataFrame(ops + ops[:100], schema).repartition(7)).collect()} == first
+
+
+def test_trust_chains_of_any_length_and_cycles(spark):
+    from geofold.operators import directory as dr
+
+    rows = [(i, i - 1 if i else None, i != 20) for i in range(40)] + [(100, 101, True), (101, 102, True), (102, 100, True), (103, 100, True), (104, 999, True)]
+    got = {r["peer"]: tuple(r)[1:] for r in dr.trust_chain(spark.createDataFrame(rows, "peer bigint, issued_by bigint, issuer_ok boolean")).select("peer", "hops", "ok", "root", "cycle").collect()}
+    assert all(got[i] == (i, i < 20, 0, False) for i in range(40))
+    assert all(got[i] == (None, False, None, True) for i in (100, 101, 102, 103)) and got[104] == (1, True, 999, False)
+
+
+def test_large_fills_are_runs(spark):
+    rows = [(1, (-35, -10**9, 2), (40, 10**9, 65)), (2, (0, 5, 0), (0, 4, 0))]
+    point = "struct<x:bigint,y:bigint,z:bigint>"
+    out = oplog.fill_region(spark.createDataFrame(rows, f"op_id bigint, box_min {point}, box_max {point}")).collect()
+    assert {(r["vx"], r["vz"]) for r in out} == {(x, z) for x in range(-35, 41) for z in range(2, 66)} and len(out) == 76 * 64
+    assert all((r["y0"], r["y1"]) == (-10**9, 10**9) and (r["cx"], r["cz"]) == (r["vx"] // 30, r["vz"] // 30) for r in out)
+
+
+def test_bilinear_height_with_missing_corners(spark):
+    from geofold.operators.elevation import dem_bilinear
+
+    cells = spark.createDataFrame([(0, 0, 100.0), (0, 1, 100.0), (1, 0, 100.0), (5, 5, None)], "r bigint, c bigint, z double")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 5.0, 5.0)], "p bigint, lat double, lon double")
+    assert [tuple(r) for r in dem_bilinear(points, cells, sj.Grid(0.0, 0.0, 1.0, 8, 8), ["p"]).collect()] == [(1, 100.0)]

@@ -56,3 +56,38 @@ def test_key_feed_keeps_tombstones_and_ignores_stale(spark, tmp_path):
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
     out = {r["peer"]: (r["key_type"], r["revoked"]) for r in jobs.key_feed(parquet_stream(spark, path, files_per_trigger=1)).collect()}
     assert out == {1: ("User", True), 2: ("Admin", False)}
+
+
+def test_key_feed_waits_for_the_record_of_a_revocation(spark, tmp_path):
+    schema = "kind string, peer bigint, seq bigint, updated_at bigint, key_type string, `by` bigint, reason string"
+    rows = [("revoke", 1, 1, 0, None, 2, "abuse"), ("record", 1, 2, 10, "User", None, None), ("record", 2, 3, 10, "Admin", None, None), ("revoke", 3, 4, 0, None, 3, "lost"), ("record", 3, 5, 5, "User", None, None)]
+    for name, cut in (("one", [rows]), ("each", [[r] for r in rows]), ("back", [[r] for r in rows[::-1]])):
+        path = str(tmp_path / name)
+        for b in cut:
+            spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(path)
+        out = jobs.key_feed(parquet_stream(spark, path, files_per_trigger=1))
+        assert {r["peer"]: r["revoked"] for r in out.collect()} == {1: True, 2: False, 3: True}
+
+
+def test_stream_ops_takes_late_ops_and_checks_the_key(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    keys = spark.createDataFrame([(1, "Admin", None, False, True), (2, "Admin", None, False, False)], "peer bigint, key_type string, expires_at double, revoked boolean, self_sig_ok boolean")
+    start, path = datetime(2024, 1, 1), str(tmp_path / "o")
+    rows = [(1, 1, start + timedelta(days=2)), (2, 1, start), (3, 2, start + timedelta(days=3)), (1, 1, start + timedelta(days=2)), (4, 1, start + timedelta(hours=1))]
+    for i, a, ts in rows:
+        spark.createDataFrame([(i, a, "SetVoxel", True, ts)], "op_id bigint, author bigint, action string, sig_ok boolean, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    ok = jobs.stream_ops(parquet_stream(spark, path, files_per_trigger=1), keys, F.lit(0.0))
+    assert sorted(r["op_id"] for r in run_to_parquet(ok.select("op_id", "author"), "ops").collect()) == [1, 2, 4]
+
+
+def test_smoothing_does_not_depend_on_batches(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(p, i, i * 60 + rnd.randrange(50), rnd.random(), rnd.random(), 0.0, 1.0, 2.0, 0.0) for p in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "peer bigint, lamport bigint, ms bigint, x double, y double, z double, vx double, vy double, vz double")
+    want = sorted(tuple(round(v, 9) for v in r) for r in motion.position_smooth(df).collect())
+    path = str(tmp_path / "s")
+    for lo, hi in ((0, 3), (3, 25), (25, 40)):
+        df.where((F.col("lamport") >= lo) & (F.col("lamport") < hi)).coalesce(1).write.mode("append").parquet(path)
+    got = run_to_parquet(jobs.position_smooth(parquet_stream(spark, path, files_per_trigger=1)), "smooth")
+    assert sorted(tuple(round(v, 9) for v in r) for r in got.collect()) == want
