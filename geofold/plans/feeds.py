@@ -54,7 +54,7 @@ def position_delta(t):
 
 
 SMOOTH_SQL = """with h as (select peer, lamport, list({'ms': ms, 'x': x, 'y': y, 'vx': 0.5e0, 'vy': 0.25e0}) over (partition by peer order by lamport rows between 9 preceding and current row) l from
-     (select user_id peer, event_id lamport, epoch_ms(ts) ms, value x, value/2e0 y from events) e),
+     (select user_id peer, event_id lamport, epoch_us(ts)//1000 ms, value x, value/2e0 y from events) e),
    m as (select peer, lamport, l, list_max(list_transform(l, lambda e: e.ms))-100 ms from h), q as (select peer, lamport, ms, list_filter(l, lambda e: e.ms<=m.ms)[-1] a, list_filter(l, lambda e: e.ms>m.ms)[1] b from m)
    select peer, lamport, ms, round(case when a is null then b.x when b is null then a.x+a.vx*((ms-a.ms)/1000e0) else a.x+(b.x-a.x)*((ms-a.ms)/greatest(b.ms-a.ms,1)) end,6) x,
      round(case when a is null then b.y when b is null then a.y+a.vy*((ms-a.ms)/1000e0) else a.y+(b.y-a.y)*((ms-a.ms)/greatest(b.ms-a.ms,1)) end,6) y from q"""
