@@ -182,7 +182,7 @@ def proximity_pairs(observers: DataFrame, peers: DataFrame, radius_m: float = TI
     for c in "xyz":
         probe = probe.withColumn("_d", F.explode(span)).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_d")).drop("_d")
     placed = _named(peers, "peer", "p").select("*", *_cell_keys("p", radius_m))
-    pairs = salted_join(placed, probe, ["gx", "gy", "gz"], ["peer"], salts=8).withColumn("dist_m", _distance("o", "p"))
+    pairs = placed.join(probe, ["gx", "gy", "gz"]).withColumn("dist_m", _distance("o", "p"))
     near = pairs.where((F.col("dist_m") <= radius_m) & (F.col("observer") != F.col("peer")))
     return near.select("observer", "peer", "dist_m", tier_of("dist_m").alias("tier"))
 
@@ -228,7 +228,7 @@ def tiered_top_k(observers: DataFrame, peers: DataFrame, k: int = 5, base_m: flo
     probe = level.select("*", *_cell_keys("o", size))
     for c in "xyz":
         probe = probe.withColumn("_d", F.explode(span)).withColumn(f"g{c}", F.col(f"g{c}") + F.col("_d")).drop("_d")
-    hits = salted_join(placed, probe, ["gl", "gx", "gy", "gz"], ["peer"], salts=8).withColumn("dist_m", _distance("o", "p"))
+    hits = placed.join(probe, ["gl", "gx", "gy", "gz"]).withColumn("dist_m", _distance("o", "p"))
     hits = hits.where(F.col("observer") != F.col("peer")).withColumn("tier", tier_of("dist_m"))
     w = Window.partitionBy("observer").orderBy("tier", "dist_m", "peer")
     ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -17,22 +17,16 @@ def salted_join(
     spread: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join whose hot keys are split over several tasks.
 
     ``spread`` names columns of ``big`` that identify a row; the salt is a hash of them, so a retried task gives
     the same salt.  ``how`` is one of the joins that may repeat the right side: inner, left, left_semi, left_anti.
-    By default keys with more than ``hot_rows`` rows in ``big`` are found by a count and split as far as needed;
-    the table of hot keys has at most rows / hot_rows entries.  With ``salts`` every key is split that many ways
-    without a count, for a ``big`` that is costly to compute twice and a ``small`` that may be repeated.
+    Keys with more than ``hot_rows`` rows in ``big`` are found by a count and split as far as needed; the table of hot
+    keys has at most rows / hot_rows entries.  Where ``big`` is costly to compute twice, a plain join does: adaptive
+    execution broadcasts a small side and splits skewed partitions.
     """
     keys = list(keys)
-    if salts is not None:
-        left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-        # No repartition here: it would keep adaptive execution from broadcasting a small side or splitting a skewed one.
-        right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return left.join(right, keys + ["_salt"], how).drop("_salt")
     hot = (
         big.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))

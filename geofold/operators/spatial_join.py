@@ -14,13 +14,10 @@ from ..functions.geometry import (
     ring_edges, segment_hit, segments_intersect,
 )
 from ..session import cut_lineage
-from .skew import salted_join
 
 # Grid steps in degrees; a geometry is keyed at the finest step at which its box covers at most MAX_CELLS cells.
 LEVELS_DEG = (0.01, 0.16, 2.56, 40.96)
 MAX_CELLS = 64
-# Ways a grid cell's points are split; the geometry side is repeated as often, and adaptive execution splits further.
-SALTS = 8
 
 
 def _cell(v: Column, step: float) -> Column:
@@ -71,10 +68,10 @@ def key_points_for(points: DataFrame, keyed: DataFrame) -> DataFrame:
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, point_id: Sequence[str], polygon: str = "polygon", holes: str | None = None
 ) -> DataFrame:
-    """Every (point, polygon) containment.  Point columns ``lat, lon``; a hot cell is split over tasks."""
+    """Every (point, polygon) containment.  Point columns ``lat, lon``; adaptive execution splits a hot cell."""
     ready = polygons.where(F.size(polygon) >= 3).withColumn("_edges", ring_edges(polygon))
     keyed = key_boxes(ready, bbox_of_geometry(polygon))
-    pairs = salted_join(key_points_for(points, keyed), keyed, ["gl", "gs", "gw"], list(point_id), salts=SALTS).drop("gl", "gs", "gw")
+    pairs = key_points_for(points, keyed).join(keyed, ["gl", "gs", "gw"]).drop("gl", "gs", "gw")
     hit = in_bbox("lat", "lon", F.col("_box")) & edges_contain("lat", "lon", "_edges")
     if holes:
         hit = hit & ~F.exists(F.col(holes), lambda h: point_in_polygon("lat", "lon", h))
@@ -121,7 +118,7 @@ def nearest_segment(
     )
     keyed = key_boxes(segs, box)
     placed = points.select(*point_id, "lat", "lon", lon_scale("lat").alias("_sz"))
-    pairs = salted_join(key_points_for(placed, keyed), keyed, ["gl", "gs", "gw"], point_id, salts=SALTS)
+    pairs = key_points_for(placed, keyed).join(keyed, ["gl", "gs", "gw"])
     pairs = pairs.where(in_bbox("lat", "lon", F.col("_box")))
     pairs = pairs.withColumn("_h", segment_hit("lat", "lon", F.col("a"), F.col("b"), scale=F.col("_sz")))
     d = F.col("_h.dist_m")
@@ -324,7 +321,7 @@ def box_pairs(df: DataFrame, ident: str, lo: Sequence[str], hi: Sequence[str], b
         .withColumn("_g", F.explode(cells(F.col("gl"))))
         .select(*named("a"), "gl", "_g.x", "_g.y")
     )
-    pairs = salted_join(probe, own, ["gl", "x", "y"], [f"{ident}_a"], salts=SALTS)
+    pairs = probe.join(own, ["gl", "x", "y"])
     keep = (F.col("_l_a") < F.col("_l_b")) | ((F.col("_l_a") == F.col("_l_b")) & (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
     for l, h in zip(lo, hi):
         keep = keep & (F.col(f"{l}_a") <= F.col(f"{h}_b")) & (F.col(f"{h}_a") >= F.col(f"{l}_b"))

@@ -115,22 +115,40 @@ def read_osm_tables(t):
 
 @query("read_control_atlas", "select site_id, category, window_m from (select 's'||cast(s_suppkey as varchar) site_id, cast(s_nationkey as varchar) category, case when s_suppkey % 3=0 then 100e0 else 240e0 end window_m, row_number() over (partition by s_nationkey order by s_suppkey) rn from supplier) q where rn<=3")
 def read_control_atlas(t):
-    """Suppliers written as a nested control atlas and read back, three sites per category."""
+    """Suppliers written as control atlases, a document per category, and read back, three sites per category."""
     path = sinks.new_folder(shared_dir(t.spark), "atlas")
     site = F.struct(F.concat(F.lit("s"), F.col("site_id").cast("string")).alias("id"), "lat", "lon", F.when(F.col("site_id") % 3 == 0, 100.0).alias("window_m"), F.lit("survey").alias("reference_status"))
     cats = t.site.groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("site_id", site.alias("s")))), lambda x: x["s"]).alias("controls"))
-    doc = cats.agg(F.collect_list(F.struct(F.col("category").cast("string").alias("id"), F.lit(3).cast("bigint").alias("expected_min_controls"), "controls")).alias("categories"))
-    doc.select(F.to_json(F.struct(F.lit("atlas").alias("name"), F.lit(240.0).alias("default_window_m"), F.lit(64).cast("bigint").alias("default_image_size"), "categories")).alias("value")).write.text(path)
+    one = F.array(F.struct(F.col("category").cast("string").alias("id"), F.lit(3).cast("bigint").alias("expected_min_controls"), "controls"))
+    doc = cats.select("category", F.to_json(F.struct(F.lit("atlas").alias("name"), F.lit(240.0).alias("default_window_m"), F.lit(64).cast("bigint").alias("default_image_size"), one.alias("categories"))).alias("value"))
+    doc.write.partitionBy("category").text(path)
     return readers.read_control_atlas(t.spark, path, per_category=3).select("site_id", "category", "window_m")
 
 
-@query("read_dem_hgt", "select cast(-28 as integer) tile_lat, cast(153 as integer) tile_lon, k//33 prow, k % 33 pcol, cast(v as smallint) elev_m from (select o_orderkey % 1089 k, max(cast(o_totalprice/1000e0 as bigint)) v from orders group by 1) q".replace("k//33 prow, k % 33 pcol", "cast(k//33 as integer) prow, cast(k % 33 as integer) pcol").replace("cast(o_totalprice/1000e0 as bigint)", "cast(floor(o_totalprice/1000e0) as bigint)"))
+# One tile of 33 x 33 pixels for every 1089 order keys; pixels without an order are void.
+HGT_TILES = """(select cast(-60+tile % 120 as integer) tile_lat, cast(-170+tile//120 as integer) tile_lon, cast(k//33 as integer) prow, cast(k % 33 as integer) pcol, cast(coalesce(v,-32768) as smallint) elev_m
+   from (select distinct o_orderkey//1089 tile from orders) a cross join (select range k from range(1089)) b left join (select o_orderkey//1089 tile, o_orderkey % 1089 k, max(cast(floor(o_totalprice/1000e0) as bigint)) v from orders group by 1, 2) q using (tile, k))"""
+
+
+@query("read_dem_hgt", f"select * from {HGT_TILES} h")
 def read_dem_hgt(t):
-    """A 33 x 33 tile packed from order prices, then decoded."""
-    px = t.orders.groupBy((F.col("o_orderkey") % 1089).alias("k")).agg(F.max(big(F.floor(F.col("o_totalprice") / 1000))).alias("v"))
-    hexes = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: F.lpad(F.hex(x["v"]), 4, "0"))
-    files = px.agg(F.unhex(F.array_join(hexes, "")).alias("content")).withColumn("path", F.lit("dem/S28E153.hgt"))
-    return readers.decode_hgt(files, sides=(33,))
+    """Tiles packed from order prices, stored as files' contents, and decoded; their number follows the table."""
+    pixel = F.struct((F.col("o_orderkey") % 1089).alias("k"), big(F.floor(F.col("o_totalprice") / 1000)).alias("v"))
+    px = t.orders.select(big(F.floor(F.col("o_orderkey") / 1089)).alias("tile"), pixel.alias("p")).groupBy("tile", "p.k").agg(F.max("p.v").alias("v"))
+    have = px.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # at most 1089 pixels
+    hexes = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(1088).cast("bigint")), lambda k: F.coalesce(F.lpad(F.hex(F.try_element_at("m", k)), 4, "0"), F.lit("8000")))
+    lat, lon = F.col("tile") % 120 - 60, F.floor(F.col("tile") / 120) - 170
+    name = F.format_string("dem/%s%02d%s%03d.hgt", F.when(lat < 0, "S").otherwise("N"), F.abs(lat), F.when(lon < 0, "W").otherwise("E"), F.abs(lon))
+    path = sinks.new_folder(shared_dir(t.spark), "hgt")
+    have.select(name.alias("path"), F.unhex(F.array_join(hexes, "")).alias("content")).write.parquet(path)
+    return readers.decode_hgt(t.spark.read.parquet(path), sides=(33,))
+
+
+@query("dem_tile_totals", f"""select tile_lat, tile_lon, count(*) n, cast(sum(elev_m) as bigint) total from {HGT_TILES} h where elev_m<>-32768 group by tile_lat, tile_lon""")
+def dem_tile_totals(t):
+    """Valid pixels and their sum for each decoded tile."""
+    px = read_dem_hgt(t).where(F.col("elev_m") != -32768)
+    return px.groupBy("tile_lat", "tile_lon").agg(F.count(F.lit(1)).alias("n"), F.sum("elev_m").alias("total"))
 
 
 @query("read_coastline", "select cast(c_custkey as bigint) poly_id, cast(4 as bigint) n, round(c_custkey % 90+0.25e0,6) lat, round(case when c_custkey % 360>180 then c_custkey % 360-360 else c_custkey % 360 end+0e0,6) lon from customer where c_custkey % 2=0")
