@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions import geo
 from ..functions.geo import big
 from ..operators import aggregates as ag, chunks as ck, columns as co, hydrology as hy, roads as rd
 from ..session import shared_dir
@@ -24,7 +25,11 @@ def cols(t, src=COLS):
     return t.sql(f"select * from {src} c")
 
 
-@query("enumerate_chunks")
+@query("enumerate_chunks", f"""with r as (select cast(category as varchar) region, min(lat) lat0, min(lat)+0.01e0 lat1, min(lon) lon0, min(lon)+0.01e0 lon1, min(alt)/100 z0, max(alt)/100 z1 from site group by category),
+   k as (select r.*, radians(unnest([lat0,lat1])) la from r), k2 as (select k.*, radians(unnest([lon0,lon1])) lo from k), k3 as (select k2.*, unnest(case when abs(z1-z0)<2.3e-16 then [20e0] else [z0,20e0,z1] end) h from k2),
+   n as (select *, {geo.WGS84_A!r}/sqrt(1-{geo._E2!r}*sin(la)*sin(la)) n from k3), v as (select region, z0, z1, floor(((n+h)*cos(la)*cos(lo)+{geo.WORLD_OFFSET_M!r})/30e0) x, floor((floor((n*(1-{geo._E2!r})+h)*sin(la)+{geo.WORLD_OFFSET_M!r}))/30e0) z from n),
+   s as (select region, min(x) x0, max(x) x1, min(z) cz0, max(z) cz1, min(floor(floor(6400000+z0-20)/200e0))-1 y0, max(floor(ceil(6400000+z1-20)/200e0))+1 y1 from v group by region)
+   select region, cast((x1-x0+1)*(cz1-cz0+1)*(y1-y0+1) as bigint) n, cast(x0 as bigint) cx0, cast(cz1 as bigint) cz1, cast(y0 as bigint) cy0, cast(y1 as bigint) cy1 from s""")
 def enumerate_chunks(t):
     reg = t.site.groupBy(F.col("category").cast("string").alias("region")).agg(
         F.min("lat").alias("lat_min"), (F.min("lat") + 0.01).alias("lat_max"), F.min("lon").alias("lon_min"), (F.min("lon") + 0.01).alias("lon_max"),

@@ -749,7 +749,7 @@ def stable_object_id(t):
     return t.site.select("site_id", stable_object_id(F.lit("bench"), "lat", "lon").alias("object_id"))
 
 
-@query("synthetic_member_id")
+@query("synthetic_member_id", "select way_id, seq, -cast('0x'||substr(md5(cast(way_id as varchar)||':'||cast(seq as varchar)),1,15) as bigint)-1 member_id from way_node")
 def synthetic_member_id(t):
     from ..operators.inference import synthetic_member_id
 
