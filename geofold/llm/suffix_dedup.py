@@ -25,7 +25,7 @@ SEED = 26
 #: Bytes before an anchor that a window with this anchor may reach; windows start 0 to BACK bytes before it.
 BACK = LENGTH - SEED
 #: Text of one sorted run, and of one step of the anchor search, in bytes.
-RUN_BYTES, STEP_BYTES = 24 << 20, 2 << 20
+RUN_BYTES, STEP_BYTES = 14 << 20, 1 << 20
 #: Suffixes of one merge, about; fingerprints of one bucket, about.
 MERGE, BUCKET = 250_000, 1_500_000
 #: Bits of the filter of repeated fingerprints, at most (128 MB); past it more unique suffixes take part, nothing is lost.
@@ -227,10 +227,13 @@ def _context(chunk: Chunk, place: np.ndarray, owner: np.ndarray):
     data = np.frombuffer(b"".join(chunk.texts) + bytes(LENGTH), np.uint8)
     at = starts[owner] + place
     rlen, llen = np.minimum(LENGTH, sizes[owner] - place), np.minimum(BACK, place)
-    right = data[at[:, None] + np.arange(LENGTH)]
-    right[np.arange(LENGTH) >= rlen[:, None]] = 0
-    left = data[np.maximum(at[:, None] - 1 - np.arange(BACK), 0)]
-    left[np.arange(BACK) >= llen[:, None]] = 0
+    right, left = np.empty((len(at), LENGTH), np.uint8), np.empty((len(at), BACK), np.uint8)
+    for lo in range(0, len(at), 20_000):  # place numbers take eight times the room of the bytes they fetch
+        part = slice(lo, lo + 20_000)
+        right[part] = data[at[part, None] + np.arange(LENGTH)]
+        right[part][np.arange(LENGTH) >= rlen[part, None]] = 0
+        left[part] = data[np.maximum(at[part, None] - 1 - np.arange(BACK), 0)]
+        left[part][np.arange(BACK) >= llen[part, None]] = 0
     return right, rlen, left, llen
 
 
