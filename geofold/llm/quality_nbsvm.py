@@ -18,6 +18,7 @@ from .common import batches, fold, free_name, remembered
 SPACE = 1 << 18
 #: Labelled rows the model is fitted on, at most, of each class: those with the smallest hashes.
 SAMPLE = 6_000
+SHARES = (0.02, 0.1, 0.3)
 TOKEN = re.compile(r"[A-Z]{2,}|[A-Z]?[^\W\d_A-Z]+|[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 
 
@@ -32,7 +33,11 @@ class Codes(dict):
 
 
 def features(text: str, space: int = SPACE) -> np.ndarray:
-    """Sorted distinct feature numbers of a text: its words and marks, and pairs of them."""
+    """Sorted distinct feature numbers of a text: its words and marks, pairs of them, and how many pairs are a word twice.
+
+    The first numbers stand for the shares of such pairs in ``SHARES``, as a word that is said over and over is a pair
+    no training text may have had.
+    """
     tokens = TOKEN.findall(text)
     if not tokens:
         return np.zeros(0, np.int32)
@@ -43,7 +48,9 @@ def features(text: str, space: int = SPACE) -> np.ndarray:
     h = np.concatenate(parts)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((h >> np.uint64(40)).astype(np.int64) % space).astype(np.int32)
+    found = (h >> np.uint64(40)).astype(np.int64) % (space - len(SHARES)) + len(SHARES)
+    same = float((c[1:] == c[:-1]).mean()) if len(c) > 1 else 0.0
+    return np.unique(np.concatenate([found, [i for i, share in enumerate(SHARES) if same > share]])).astype(np.int32)
 
 
 @dataclass
