@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, stored
+from .common import WORD, batches, free_name, stored
 
 #: A prime above any number of blocks in a shard, so multiplying by it permutes the block numbers.
 STEP = 1_000_000_007
@@ -131,15 +131,13 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", **option
     rows = docs.join(plan, docs[key].eqNullSafe(plan[took]))
     whole = rows.where((F.col(rounds) > 0) | (F.col(size) == 0)).withColumn(
         number, F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col(rounds) / F.col(number))).cast("int")))).select(*docs.columns)
-    names, schema = docs.columns, docs.schema
-    part = rows.where(F.size(ranges) > 0).select(*docs.columns, ranges)
+    names = docs.columns
 
-    def cut(frames):
-        for f in frames:
-            f[text] = [_cut(t, r) for t, r in zip(f[text], f[ranges])]
-            yield f[names]
+    def cut(cols) -> Iterator[pa.RecordBatch]:
+        texts = pa.array([_cut(t.as_py(), r.as_py()) for t, r in zip(cols[text], cols[ranges])], pa.string())
+        yield pa.RecordBatch.from_arrays([texts if n == text else cols[n] for n in names], names)
 
-    return whole.unionByName(part.mapInPandas(cut, schema))
+    return whole.unionByName(batches(rows.where(F.size(ranges) > 0).select(*names, ranges), cut, docs.schema))
 
 
 def _cut(text: str, ranges) -> str:
