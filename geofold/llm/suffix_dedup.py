@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, stored
+from .common import batches, released, stored
 
 LENGTH = 50
 SEED = 26
 #: Bytes before an anchor that a window with this anchor may reach; windows start 0 to BACK bytes before it.
 BACK = LENGTH - SEED
 #: Text of one sorted run, and of one step of the anchor search, in bytes.
-RUN_BYTES, STEP_BYTES = 14 << 20, 1 << 20
+RUN_BYTES, STEP_BYTES = 8 << 20, 1 << 20
 #: Suffixes of one merge, about; fingerprints of one bucket, about.
-MERGE, BUCKET = 250_000, 1_500_000
+MERGE, BUCKET = 150_000, 500_000
 #: Bits of the filter of repeated fingerprints, at most (128 MB); past it more unique suffixes take part, nothing is lost.
 FILTER_BITS = 1 << 30
 FINGERPRINT = np.uint64(24)
@@ -99,16 +99,16 @@ class Chunk:
         data = np.frombuffer(b"".join(texts), np.uint8)
         at, codes = anchors(data, ends)
         owner = np.searchsorted(ends, at, side="right")
-        self.places.append((at - (ends - sizes)[owner]).astype(np.int64) if len(at) else at)
+        self.places.append((at - (ends - sizes)[owner]).astype(np.int32) if len(at) else at.astype(np.int32))
         self.codes.append(codes)
-        self.owners.append(owner + self._from)
+        self.owners.append((owner + self._from).astype(np.int32))
         self._from = len(self.texts)
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self._from < len(self.texts):
             self.step()
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate([z, *x]) for z, x in ((none, self.places), (none.view(np.uint64), self.codes), (none, self.owners)))
+        parts = ((np.int32, self.places), (np.uint64, self.codes), (np.int32, self.owners))
+        return tuple(np.concatenate([np.zeros(0, kind), *x]) for kind, x in parts)
 
 
 def _chunks(it, make):
@@ -193,6 +193,7 @@ def repeated(docs: DataFrame, buckets: int, hot: int) -> tuple[bytes, int, int,
     for b, bits in zip(blocks["bucket"].to_pylist(), blocks["bits"]):
         out[b] = np.frombuffer(bits.as_buffer(), np.uint8)
     hots = np.frombuffer(b"".join(x.as_py() for x in met.where(F.length("hot") > 0).select("hot").toArrow()["hot"]), np.uint64)
+    released(met)
     return out.tobytes(), block, total, np.sort(hots)
 
 
@@ -393,7 +394,8 @@ def marks(docs: DataFrame, hot: int = 500_000) -> DataFrame:
             place, codes, owner = chunk.found()
             v = codes >> FINGERPRINT
             ok = _passes(v, table, buckets, block)
-            place, v, owner = place[ok], v[ok], owner[ok]
+            place, v, owner = place[ok].astype(np.int64), v[ok], owner[ok].astype(np.int64)
+            del codes, ok
             ids, hashes = np.array(chunk.ids, np.int64), np.array(chunk.hashes, np.int64)
             fire = np.isin(v, hottest)
             parts = [(place[~fire], owner[~fire], (v[~fire] % np.uint64(merges)).astype(np.int64), False)]
