@@ -171,9 +171,9 @@ def repeated(docs: DataFrame, buckets: int, hot: int) -> tuple[bytes, int, int,
         twice = total > 1
         v, total = v[first][twice], total[twice]
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(v)], pa.int64()), "total": pa.array([int(total.sum())], pa.int64()),
-                         "dups": pa.array([v.tobytes()], pa.binary()), "hot": pa.array([v[total > hot].tobytes()], pa.binary())})
+                         "dups": pa.array([v.tobytes()], pa.binary()), "hot": pa.array([v[total > hot].tobytes()], pa.binary()), "docs": pa.array([total[total > hot].tobytes()], pa.binary())})
 
-    met = stored(_grouped(docs.mapInArrow(send, "bucket int, run binary"), "bucket", meet, "bucket int, n bigint, total bigint, dups binary, hot binary"))
+    met = stored(_grouped(docs.mapInArrow(send, "bucket int, run binary"), "bucket", meet, "bucket int, n bigint, total bigint, dups binary, hot binary, docs binary"))
     n, total = met.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     block = 64
     while block * buckets < 16 * n and block * buckets < FILTER_BITS:
@@ -192,7 +192,14 @@ def repeated(docs: DataFrame, buckets: int, hot: int) -> tuple[bytes, int, int,
     out = np.zeros((buckets, block // 8), np.uint8)
     for b, bits in zip(blocks["bucket"].to_pylist(), blocks["bits"]):
         out[b] = np.frombuffer(bits.as_buffer(), np.uint8)
-    hots = np.frombuffer(b"".join(x.as_py() for x in met.where(F.length("hot") > 0).select("hot").toArrow()["hot"]), np.uint64)
+    least = max(hot, total // 1_000_000)
+
+    def hottest(cols) -> Iterator[pa.RecordBatch]:
+        found = [np.frombuffer(v.as_py(), np.uint64)[np.frombuffer(n.as_py(), np.int64) > least].tobytes() for v, n in zip(cols["hot"], cols["docs"])]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["hot"])
+
+    top = batches(met.where(F.length("hot") > 0).select("hot", "docs"), hottest, "hot binary").toArrow()["hot"]  # a million at most
+    hots = np.frombuffer(b"".join(x.as_py() for x in top), np.uint64)
     released(met)
     return out.tobytes(), block, total, np.sort(hots)
 
@@ -338,10 +345,12 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, n
     return np.array(order, np.int64), np.array(prefix, np.int64)
 
 
-def settle(lcp: np.ndarray, at: np.ndarray, rlen, left, llen, doc) -> np.ndarray:
-    """For each suffix (place ``at`` in the merged order, whose shared prefixes are ``lcp``) the windows a smaller document has.
+def settle(lcp: np.ndarray, new: np.ndarray, at: np.ndarray, rlen, left, llen, doc) -> np.ndarray:
+    """For each suffix (place ``at`` in the merged order, whose shared prefixes are ``lcp`` and first equals ``new``) the
+    windows a smaller document has.
 
-    A window starting o bytes before the anchor is the last o bytes before it and the first LENGTH - o from it.  Both
+    Suffixes with equal bytes on both sides stand for each other: only that of the smallest document is looked at.  A
+    window starting o bytes before the anchor is the last o bytes before it and the first LENGTH - o from it.  Both
     have a number from the sorted order of their side, so windows are equal where both numbers are.
     """
     mask = np.zeros(len(at), np.int64)
@@ -354,28 +363,38 @@ def settle(lcp: np.ndarray, at: np.ndarray, rlen, left, llen, doc) -> np.ndarray
     keep = keep[np.argsort(doc[keep], kind="stable")]  # by document, so the first of a group is its smallest
     if not len(keep):
         return mask
-    x, r, n, d, p = left[keep], rlen[keep], llen[keep], doc[keep], at[keep]
+    x, n = left[keep], llen[keep]
     by = np.lexsort(_words(x)[::-1])
     differ = x[by][1:] != x[by][:-1]
     back = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), BACK)])
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
-    out = np.zeros(len(keep), np.int64)
+    whole = (np.cumsum(new)[at[keep]] * (len(by) + 1) + np.cumsum(back < BACK)[rank]) * (BACK + 1) + n
+    order = np.argsort(whole, kind="stable")
+    first = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
+    head = np.empty(len(keep), np.int64)  # of each suffix, the one that stands for it
+    head[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+    one = np.sort(order[first])  # still by document
+    r, n, d, p, q = rlen[keep[one]], n[one], doc[keep[one]], at[keep[one]], rank[one]
+    out = np.zeros(len(one), np.int64)
     for o in range(BACK + 1):
         ok = np.flatnonzero((r >= LENGTH - o) & (n >= o))
         if len(ok) < 2:
             continue
-        key = np.cumsum(lcp < LENGTH - o)[p[ok]] * (len(by) + 1) + np.cumsum(back < o)[rank[ok]]
+        key = np.cumsum(lcp < LENGTH - o)[p[ok]] * (len(by) + 1) + np.cumsum(back < o)[q[ok]]
         order = np.argsort(key, kind="stable")
         first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         smallest = d[ok][order][np.flatnonzero(first)][np.cumsum(first) - 1]
         out[ok[order[d[ok][order] > smallest]]] |= 1 << o
-    mask[keep] = out
+    place = np.zeros(len(keep), np.int64)
+    place[one] = np.arange(len(one))
+    lead = doc[keep[head]] < doc[keep]
+    mask[keep] = np.where(lead, _reach(rlen[keep], llen[keep]), out[place[head]])
     return mask
 
 
 def marks(docs: DataFrame, hot: int = 500_000) -> DataFrame:
-    """(_id, _h, at, mask): anchors of documents (``_id`` bigint, ``_h`` text hash, ``_text`` bytes) with windows to remove.
+    """(_id, _h, mark): anchors (place, then a bit a window) of documents (``_id`` bigint, ``_h`` text hash, ``_text`` bytes) with windows to remove.
 
     Suffixes go to the merge of their seed.  A seed that over ``hot`` documents have would be one large merge; its
     windows are sent one by one instead, each to the merge of its own bytes, and only where it is the same in each.
@@ -427,7 +446,7 @@ def marks(docs: DataFrame, hot: int = 500_000) -> DataFrame:
                     front, settled, rest = sorted_run(ids, *a)
                     who, number = np.unique(a[5], return_inverse=True)
                     entry = (a[2][rest].tobytes(), a[3][rest].astype(np.uint8), number[rest].astype(np.uint32), a[4][rest].astype(np.uint32))
-                    done = (number[settled].astype(np.uint32), a[4][settled].astype(np.uint32), _reach(a[1], a[3])[settled].astype(np.uint32))
+                    done = (number[settled].astype(np.uint32), a[4][settled].astype(np.uint32), _reach(a[1][settled], a[3][settled]).astype(np.uint32))
                     blob = packer.compress(pickle.dumps((front, entry, done, ids[who], hashes[who]), 5))
                     yield pa.RecordBatch.from_arrays([pa.array([int(bucket[rows[0]])], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "run"])
 
@@ -440,6 +459,10 @@ def marks(docs: DataFrame, hot: int = 500_000) -> DataFrame:
         loaded = [pickle.loads(unpack.decompress(r)) for r in runs]
         out = [(ids[who], hashes[who], at, mask) for _, _, (who, at, mask), ids, hashes in loaded]
         order, lcp = merge_runs([(_strings(*front[:3]), front[0].tolist()) for front, *_ in loaded])
+        size = np.zeros(len(order), np.int64)
+        for i, (front, *_) in enumerate(loaded):
+            size[order == i] = front[1]
+        new = (lcp < size) | (size != np.concatenate([[-1], size[:-1]]))
         where, rlens, lefts, llens, docs_, hashes_, ats = [], [], [], [], [], [], []
         for i, (front, (left, llen, who, at), _, ids, hashes) in enumerate(loaded):
             times = front[3].astype(np.int64)
@@ -451,18 +474,19 @@ def marks(docs: DataFrame, hot: int = 500_000) -> DataFrame:
             hashes_.append(hashes[who])
             ats.append(at)
         where, rlen, left, llen, doc, h, at = map(np.concatenate, (where, rlens, lefts, llens, docs_, hashes_, ats))
-        mask = settle(lcp, where, rlen, left, llen, doc) if len(where) else np.zeros(0, np.int64)
+        mask = settle(lcp, new, where, rlen, left, llen, doc) if len(where) else np.zeros(0, np.int64)
         hit = np.flatnonzero(mask)
         out.append((doc[hit], h[hit], at[hit], mask[hit]))
         ids, hashes, at, mask = (np.concatenate(x) for x in zip(*out))
         ok = mask != 0
-        return pa.table({"_id": pa.array(ids[ok], pa.int64()), "_h": pa.array(hashes[ok], pa.int64()), "at": pa.array(at[ok].astype(np.int64), pa.int64()), "mask": pa.array(mask[ok].astype(np.int64), pa.int64())})
+        return pa.table({"_id": pa.array(ids[ok], pa.int64()), "_h": pa.array(hashes[ok], pa.int64()), "mark": pa.array(at[ok].astype(np.int64) << (BACK + 1) | mask[ok].astype(np.int64), pa.int64())})
 
-    return _grouped(docs.mapInArrow(send, "bucket int, run binary"), "bucket", meet, "_id bigint, _h bigint, at bigint, mask bigint")
+    return _grouped(docs.mapInArrow(send, "bucket int, run binary"), "bucket", meet, "_id bigint, _h bigint, mark bigint")
 
 
-def removed(size: int, at: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
+def removed(mark: np.ndarray) -> list[tuple[int, int]]:
     """Maximal removed runs of a document from its marked anchors."""
+    at, mask = mark >> (BACK + 1), mark & (1 << BACK + 1) - 1
     starts = np.concatenate([at[(mask >> o) & 1 == 1] - o for o in range(BACK + 1)])
     if not len(starts):
         return []
@@ -482,7 +506,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
     digest.  An empty table gives an empty result.
     """
     base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NONE)).alias("_id"), F.xxhash64(text).alias("_h"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
-    found = marks(base, hot).groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "mask")).alias("_m"))
+    found = marks(base, hot).groupBy("_id", "_h").agg(F.collect_list("mark").alias("_m"))
     rest = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)] if keep_text else [F.col(key).alias("_c0"), F.col(text).cast("string").alias("_c1")]
     names = docs.columns if keep_text else [key, text]
     t = names.index(text)
@@ -494,7 +518,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
         size, gone, many, kept, whole, left = [], [], [], [], [], []
         for x, m in zip(cols[f"_c{t}"], cols["_m"]):
             data = x.as_py().encode("utf-8", "surrogatepass") if x.is_valid else b""
-            runs = removed(len(data), m.values.field("at").to_numpy(), m.values.field("mask").to_numpy()) if m.is_valid else []
+            runs = removed(m.values.to_numpy()) if m.is_valid else []
             out, at = [], 0
             for lo, hi in runs:
                 out.append(data[at:lo])
