@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage, columns still pruned, survives executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Empty stored tables that nothing will read again; an empty write replaces their files in any store."""
+    for t in tables:
+        path = _paths.pop(t)
+        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(path)
 
 
 def fold(key: Column, n: int) -> Column:

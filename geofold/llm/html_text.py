@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, stored
+from .common import batches, released, stored
 
 # Names of HTML elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,11 +200,12 @@ def neighbours(pages: DataFrame, key: str = "page_id", url: str = "url", page: s
     path = F.regexp_extract("_url", r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1)
     lines = stored(lines.select("_k", "_h", "_lines", host.alias("_host"), path.alias("_path")))
     order = ["_host", "_path", "_url_", "_h"]
-    lines = lines.withColumn("_url_", F.col("_k"))
-    ranged = stored(lines.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranged = stored(lines.withColumn("_url_", F.col("_k")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    released(lines)
     # Equal rows are in one range: they are one page here.
     w = Window.partitionBy("_range").orderBy(*order)
-    ranged = ranged.dropDuplicates(["_range", "_host", "_path", "_k", "_h"])
+    # By range once, for this and for the window.
+    ranged = ranged.repartition("_range").dropDuplicates(["_range", "_host", "_path", "_k", "_h"])
     this = F.struct("_host", "_lines")
     row = ranged.withColumn("_prev", F.lag(this).over(w)).withColumn("_next", F.lead(this).over(w))
     by = F.struct(*order)

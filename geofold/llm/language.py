@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, fold, remembered, stored
+from .common import batches, fold, released, remembered, stored
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents a language is learned from, about: those with the smallest hashes.
@@ -203,6 +203,7 @@ def learn(docs: DataFrame, lang: str, text: str, key: str, keep, sample: int = S
         use[:-1] += 0.05
         probs = use / use.sum(0)
         probs[-1] = 0.0
+    released(counted)
     return langs, probs
 
 
