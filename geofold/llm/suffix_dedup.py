@@ -136,6 +136,22 @@ def _grouped(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
     return groups.applyInArrow(run, schema)
 
 
+def _pack(values: np.ndarray, log: np.ndarray) -> bytes:
+    """Sorted fingerprints as differences of as many bytes as the largest needs, and the logarithms of their counts."""
+    steps = np.diff(values, prepend=values[:1])
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return values[:1].tobytes() + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + log.tobytes()
+
+
+def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = run[8]
+    n = (len(run) - 9) // (width + 1)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(run, np.uint8, n * width, 9).reshape(n, width)
+    counts = np.left_shift(np.int64(1), np.frombuffer(run, np.uint8, n, 9 + n * width).astype(np.int64))
+    return np.frombuffer(run, np.uint64, 1) + np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64), counts
+
+
 def repeated(docs: DataFrame, buckets: int, hot: int) -> tuple[bytes, int, int, np.ndarray]:
     """(filter of fingerprints that two documents have, its blocks, suffixes that will pass, hot fingerprints).
 
@@ -150,19 +166,13 @@ def repeated(docs: DataFrame, buckets: int, hot: int) -> tuple[bytes, int, int,
             values, counts = np.unique(pairs >> np.uint64(20), return_counts=True)
             log = np.ceil(np.log2(counts)).astype(np.uint8)
             cut = np.searchsorted(values, (np.arange(buckets + 1, dtype=np.float64) * (float(1 << 40) / buckets)).astype(np.uint64))
-            rows = [(b, values[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + log[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
+            rows = [(b, _pack(values[lo:hi], log[lo:hi])) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "run"])
 
         yield from _chunks(it, make)
 
     def meet(bucket: int, runs: list[bytes]) -> pa.Table:
-        values, counts = [], []
-        for r in runs:
-            n = len(r) // 6
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(r, np.uint8, 5 * n).reshape(n, 5)
-            values.append(wide.view(np.uint64).ravel())
-            counts.append(np.left_shift(np.int64(1), np.frombuffer(r, np.uint8, n, 5 * n).astype(np.int64)))
+        values, counts = zip(*map(_unpack, runs))
         v, c = np.concatenate(values), np.concatenate(counts)
         order = np.argsort(v, kind="stable")
         v, c = v[order], c[order]
