@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, released, stored
+from .common import batches, released, remembered, stored
 
 LENGTH = 50
 SEED = 26
@@ -32,6 +32,8 @@ MERGE, BUCKET = 150_000, 500_000
 FILTER_BITS = 1 << 30
 FINGERPRINT = np.uint64(24)
 NONE = -(1 << 63)
+#: Mark of a document that goes whole.
+WHOLE = -1
 
 
 def _mixed(data: np.ndarray) -> np.ndarray:
@@ -160,6 +162,8 @@ def repeated(docs: DataFrame, buckets: int, hot: int) -> tuple[bytes, int, int,
     most a million.
     """
     def send(it) -> Iterator[pa.RecordBatch]:
+        remembered("nothing", None, 0)  # makes room
+
         def make(chunk: Chunk):
             _, codes, owners = chunk.found()
             pairs = np.unique(((codes >> FINGERPRINT) << np.uint64(20)) | owners.astype(np.uint64))
@@ -516,19 +520,24 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
     digest.  An empty table gives an empty result.
     """
     base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NONE)).alias("_id"), F.xxhash64(text).alias("_h"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
-    found = marks(base, hot).groupBy("_id", "_h").agg(F.collect_list("mark").alias("_m"))
+    digest = base.where(F.length("_text") >= LENGTH).select("_id", "_h", F.sha2("_text", 256).alias("_sha"))
+    first = digest.groupBy("_sha").agg(F.min("_id").alias("_first"))
+    copies = digest.join(first, "_sha").where(F.col("_id") > F.col("_first")).select("_id", "_h", F.lit(WHOLE).alias("mark"))
+    found = marks(base, hot).unionByName(copies).groupBy("_id", "_h").agg(F.collect_list("mark").alias("_m"))
     rest = [F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)] if keep_text else [F.col(key).alias("_c0"), F.col(text).cast("string").alias("_c1")]
     names = docs.columns if keep_text else [key, text]
     t = names.index(text)
     rows = docs.select(*rest, F.coalesce(F.col(key).cast("bigint"), F.lit(NONE)).alias("_id"), F.xxhash64(text).alias("_h")).join(found, ["_id", "_h"], "left")
     fields = [T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(names) if keep_text or c == key]
-    schema = T.StructType([*fields, T.StructField("_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("_sha", T.StringType())])
+    more = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
+    schema = T.StructType(fields if keep_text else fields + more)
 
     def cut(cols) -> Iterator[pa.RecordBatch]:
-        size, gone, many, kept, whole, left = [], [], [], [], [], []
+        size, gone, many, kept, left = [], [], [], [], []
         for x, m in zip(cols[f"_c{t}"], cols["_m"]):
             data = x.as_py().encode("utf-8", "surrogatepass") if x.is_valid else b""
-            runs = removed(m.values.to_numpy()) if m.is_valid else []
+            mark = m.values.to_numpy() if m.is_valid else np.zeros(0, np.int64)
+            runs = [(0, len(data))] if (mark == WHOLE).any() else removed(mark)
             out, at = [], 0
             for lo, hi in runs:
                 out.append(data[at:lo])
@@ -537,19 +546,11 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: b
             size.append(len(data))
             gone.append(len(data) - len(out))
             many.append(len(runs))
-            whole.append(hashlib.sha256(data).hexdigest())
-            kept.append(hashlib.sha256(out).hexdigest() if runs else whole[-1])
+            kept.append(hashlib.sha256(out).hexdigest())
             left.append(out.decode("utf-8", "ignore") if runs else x.as_py())
         mine = [pa.array(left, pa.string()) if i == t else cols[f"_c{i}"] for i, c in enumerate(names) if keep_text or c == key]
-        yield pa.RecordBatch.from_arrays([*mine, cols["_id"], *[pa.array(v, pa.int64()) for v in (size, gone, many)], pa.array(kept, pa.string()), pa.array(whole, pa.string())], schema.names)
-
-    out = stored(batches(rows, cut, schema))
-    first = out.groupBy("_sha").agg(F.min("_id").alias("_first"))
-    copy = (F.col("_id") > F.col("_first")) & (F.col("n_bytes") >= LENGTH)
-    out = out.join(first, "_sha")
-    own = [(F.when(copy, F.lit("")).otherwise(F.col(f"_c{i}")) if c == text else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names) if keep_text or c == key]
-    extra = [
-        F.col("n_bytes"), F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
-        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    ]
-    return out.select(*own, *[x for x in extra if not keep_text]) if keep_text else out.select(*own, *extra)
+        told = [] if keep_text else [*[pa.array(v, pa.int64()) for v in (size, gone, many)], pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays([*mine, *told], schema.names)
+
+    out = batches(rows, cut, schema)
+    return out.select(*[F.col(f.name).alias(docs.columns[int(f.name[2:])] if keep_text else key) for f in fields], *[n.name for n in ([] if keep_text else more)])
