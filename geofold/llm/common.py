@@ -65,9 +65,17 @@ def batches(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def remembered(name: str, make):
-    """What a worker process keeps between tasks under ``name``; functions sent by value lose their module's globals."""
+def remembered(name: str, make, version=None):
+    """What a worker process keeps between tasks under ``name``; functions sent by value lose their module's globals.
+
+    Of things with a version only one is kept in all, so that a worker's memory does not grow with the jobs it has seen.
+    """
     store = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if version is None:
+        if name not in store:
+            store[name] = make()
+        return store[name]
+    held = store.get("versioned", (None, None))
+    if held[0] != (name, version):
+        store["versioned"] = held = ((name, version), None if make is None else make())
+    return held[1]

@@ -21,7 +21,7 @@ ROUNDS = 4
 UNKNOWN = 1e-7
 #: Letters of a run that are scored at once; a longer run is cut, which keeps products in range.
 RUN = 32
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, text: str = "t
     schema = T.StructType([*docs.schema.fields, T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType())])
 
     def tag(cols) -> Iterator[pa.RecordBatch]:
-        vocab, known = vocabulary(path), remembered(f"words {hash(model.value.tobytes())}", dict)
+        vocab, known = vocabulary(path), remembered("words", dict, hash(model.value.tobytes()))
         arrays = list(cols.values())
         texts, found, lo, held = arrays[at], [], 0, 0
         for i in range(len(texts)):  # a few MB of text at a time

@@ -16,7 +16,7 @@ from .common import batches, remembered, stored
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 #: Distinct words whose ids a worker remembers; beyond it words are encoded each time.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class Encoder(dict):
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     def cut(cols) -> Iterator[pa.RecordBatch]:
         path = name or tokenizer_path()
-        encode = remembered(f"encoder {path}", lambda: Encoder(path)).encode
+        encode = remembered("encoder", lambda: Encoder(path), path).encode
         end = np.asarray([END], "<u4").tobytes()
         rows, start, length, crc, total, ids = [], [], [], [], [], []
 

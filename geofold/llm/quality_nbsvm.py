@@ -41,7 +41,7 @@ def features(text: str, space: int = SPACE) -> np.ndarray:
     tokens = TOKEN.findall(text)
     if not tokens:
         return np.zeros(0, np.int32)
-    c = np.fromiter(map(remembered("token codes", Codes).__getitem__, tokens), np.uint64, len(tokens))
+    c = np.fromiter(map(remembered("token codes", Codes, 1).__getitem__, tokens), np.uint64, len(tokens))
     parts = [c * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)]
     if len(c) > 1:
         parts.append((c[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[1:] * np.uint64(0x165667B19E3779F9)))
