@@ -55,6 +55,19 @@ def test_join_against_all_pairs(spark, docs, texts, width, percent):
     assert got == groups(rows, width, percent)
 
 
+def test_join_links_components_whose_lead_changes(spark):
+    """x and y share two prefix tokens, one led by x's side and one by y's; only both together are what they ask for."""
+    rows = []
+    for f in range(12):  # each family's leaders are other documents; a leader x or y would find the link at once
+        core, t1, t2, own = [f"c{f}_{i}" for i in range(18)], f"s{f}", f"t{f}", [f"o{f}", f"p{f}"]
+        texts = [[*core, t1, t2, *own], [*core, t1, t2]]
+        texts += [[c for c in core if c != core[i]] + [t1, *own] for i in range(18)] + [[c for c in core if c != core[i]] + [t2] for i in range(18)]
+        rows += [(100 * f + i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, width=1, percent=90).collect()}
+    assert got == groups(rows, 1, 90) and {c for _, c in got.values()} == {100 * f for f in range(12)}
+
+
 def test_join_edges(spark):
     rows = [(None, "a b c d", 1), (5, "A B C D", 1), (7, "", 1), (8, None, 1), (9, "é", 1), (9, "é", 1), (11, "x y", 2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component int")
