@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values: (pattern, replacement) in order, for Java's and RE2's regular expressions alike.  After the second,
+# Fixed values: (pattern, replacement) in order, for Java's and RE2's regular expressions alike.  After the fourth,
 # every word stands between two spaces of its own, so that neighbours can both be replaced.
 CANONICAL = [
+    (r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*(?:\(c\)|©|[12]\d\d\d|yyyy|<year>)[^\n]*$", " "),
+    # Lines of a wrapped sentence or list are no copyright lines; the sign kept before them is no word.
+    (r"(?m)^([ \t]*(?:copyright(?:[ \t]+(?:notices?|holders?|owners?|licen[cs]es?|interests?|statements?|disclaimers?|laws?|treaty|treaties|and|or|in|is|on|to|of|for)\b|[ \t]*[,.;)/]|[ \t]*$)|\(c\)[ \t]+(?:you|under|the|any|if|in|to)\b))", r"- \1"),
     (r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", " "),
     (r"[^\p{L}\p{N}]+", "  "),
     (" (?:licence|licences|licensed|licenced|licenses) ", " license "),
@@ -31,6 +36,23 @@ KNOWN = {
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
 }
+# Heading lines that files of the short licences have.
+TITLES = {
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+}
+#: Whole licence texts, a file each.
+FOLDER = Path(__file__).with_name("license_texts")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of ``KNOWN``, the whole texts of ``FOLDER``, and both under their usual headings."""
+    rows = list(KNOWN.items()) + [(f.stem, f.read_text("utf-8")) for f in sorted(FOLDER.glob("*.txt"))]
+    return rows + [(name, f"{title}\n\n{text}") for name, text in rows for title in TITLES.get(name, ())]
 
 
 def canonical(text: Column) -> Column:
@@ -48,9 +70,9 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
-def digest_table(spark, known: dict[str, str] = KNOWN) -> DataFrame:
-    """(license, digest) of the known texts, made canonical by the same expressions as the documents."""
-    rows = spark.createDataFrame(list(known.items()), "license string, _text string")
+def digest_table(spark, known: dict[str, str] | None = None) -> DataFrame:
+    """(license, digest) of the known texts (``known_texts`` if none are given), made canonical by the same expressions as the documents."""
+    rows = spark.createDataFrame(known_texts() if known is None else list(known.items()), "license string, _text string")
     rows = rows.select("license", F.sha2(canonical(F.col("_text")), 256).alias("digest"))
     return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
@@ -70,7 +92,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: DataFr
 
 def scan_sql() -> str:
     """The query's rows over ``documents`` as DuckDB SQL."""
-    values = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in KNOWN.items())
+    values = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in known_texts())
     return f"""
 with known as (select sha256({canonical_sql('t')}) as digest, min(license) as license from (values {values}) as v(license, t) group by 1),
 docs as (select doc_id, {canonical_sql('text')} as c from documents)

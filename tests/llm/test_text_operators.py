@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 from math import comb
 
@@ -121,6 +122,24 @@ def test_licenses(spark):
     assert licenses.scan(df.where("false")).collect() == []
 
 
+def test_licenses_as_distributed(spark):
+    """Files with heading and copyright line, wrapped so that lines begin with 'copyright', give their licence."""
+    mit, isc = licenses.KNOWN["MIT"], licenses.KNOWN["ISC"]
+    whole = {f.stem: f.read_text("utf-8") for f in licenses.FOLDER.glob("*.txt")}
+    wrapped = isc.replace("above copyright", "above\ncopyright")
+    assert "\ncopyright notice and" in wrapped
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit), ("ISC", "ISC License\n\nCopyright 2020, A. Person\n\n" + wrapped), ("ISC", "Copyright Some Company, Inc.\n" + wrapped), ("Unlicense", whole["Unlicense"])]
+    rows += [(n, "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))) for n, t in whole.items() if n.startswith(("BSD", "Unl")) for w in range(30, 90, 7)]
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, B\nAll rights reserved.\n\n" + whole["BSD-3-Clause"]), ("Apache-2.0", whole["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 C")), ("MPL-2.0", whole["MPL-2.0"]), ("GPL-3.0", whole["GPL-3.0"])]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert [got[i]["license"] for i in range(len(rows))] == [n for n, _ in rows]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(i, t) for i, (_, t) in enumerate(rows)])
+    assert sorted(con.execute(licenses.scan_sql()).fetchall()) == sorted((i, r["digest"], r["n_canonical"], r["license"]) for i, r in got.items())
+
+
 def test_license_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
