@@ -7,12 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.geo import big
 from ..operators import columns as co, hydrology as hy, roads as rd
 from ..operators.columns import COLUMN
+from ..operators.spatial_join import explode_segments, nearest_segment, points_in_polygons
 from ..session import cut_lineage
 from ..sources import sinks
 
+#: Half the width of the widest waterway line.
+WIDEST_M = 12.0
+
 
 @dataclass(frozen=True)
 class Origin:
@@ -45,13 +50,25 @@ def hydro_pass(runs: DataFrame, columns: DataFrame, water: DataFrame, rivers: Da
     return co.overlay(flooded, hy.hydro_runs(hy.channel_pass(placed, profile, origin.alt, origin.vy)))
 
 
-def road_pass(runs: DataFrame, columns: DataFrame, roads: DataFrame, sample, origin: Origin) -> DataFrame:
+def outside_water(hits: DataFrame, water: DataFrame, lines: DataFrame, origin: Origin) -> DataFrame:
+    """``vx, vz`` in map water in the chunks with roads and those around them; a crossing reads it beyond its own chunk.
+
+    Water is a polygon outside its holes, or a waterway line up to half its width.
+    """
+    step = F.array(*[F.lit(d).cast("bigint") for d in (-1, 0, 1)])
+    chunks = hits.select("cx", "cz").distinct().withColumn("_dx", F.explode(step)).withColumn("_dz", F.explode(step))
+    around = co.chunk_columns(chunks.select((F.col("cx") + F.col("_dx")).alias("cx"), (F.col("cz") + F.col("_dz")).alias("cz")), F.lit(origin.ecef_y))
+    segs = explode_segments(lines.select("line_id", "line", rules.waterway_defaults("waterway")["half_width_m"].alias("_half")))
+    beside = nearest_segment(around, segs, COLUMN, ["line_id", "seg"], "_half", WIDEST_M)
+    return points_in_polygons(around, water, COLUMN, holes="holes").select("vx", "vz").union(beside.select("vx", "vz")).distinct()
+
+
+def road_pass(runs: DataFrame, columns: DataFrame, roads: DataFrame, water: DataFrame, lines: DataFrame, sample, origin: Origin) -> DataFrame:
     top = surfaces(runs)
     near = cut_lineage(rd.road_columns(columns, roads))
     hits = cut_lineage(rd.road_grade(near, sample, origin.alt, origin.vy).join(top, COLUMN))
     wet = cut_lineage(rd.water_range(runs))
-    none = wet.select("vx", "vz").where(F.lit(False))
-    mode = rd.road_crossing_mode(hits, wet, columns, none)
+    mode = rd.road_crossing_mode(hits, wet, columns, outside_water(hits, water, lines, origin))
     tunnels = wet.select(*COLUMN, F.col("floor_y").alias("water_floor"))
     return co.overlay(runs, rd.road_runs(hits.join(mode.drop("mode"), COLUMN, "left").join(tunnels, COLUMN, "left")))
 
@@ -79,7 +96,7 @@ def region_bake(path: str, columns: DataFrame, water: DataFrame, rivers: DataFra
 
     terrain = stored("terrain", lambda: terrain_pass(columns, origin))
     hydro = stored("hydro", lambda: hydro_pass(terrain, columns, water, rivers, lines, origin))
-    roads_ = stored("roads", lambda: road_pass(hydro, columns, roads, sample, origin))
+    roads_ = stored("roads", lambda: road_pass(hydro, columns, roads, water, lines, sample, origin))
     for name, runs in (("terrain", terrain), ("hydro", hydro), ("roads", roads_)):
         if not sinks._exists(spark, f"{path}/passes/pass={name}"):
             sinks.write_pass(payloads(runs), f"{path}/passes", name)
