@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage, columns still pruned, survives executors."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: short lineage, columns still pruned, survives executors.
+
+    Columns ``by`` become folders, so that a filter on them reads its files alone.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

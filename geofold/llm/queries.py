@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, language, licenses, media, mixing, ngram_join, packing, periodic, quality_nbsvm, quality_rules, suffix_dedup
+from . import byte_bpe, collocations, html_text, language, licenses, media, mixing, ngram_join, packing, periodic, quality_nbsvm, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -55,11 +55,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_mix_sources, op2_media_containers, op3_pack_windows, op4_language_unigrams, op5_ngram_jaccard, op6_license_digests, op7_html_differences, op8_quality_nbsvm, op9_suffix_merge, op10_quality_rules, op11_periodic_runs, op13_byte_bpe]
+QUERIES = [op1_mix_sources, op2_media_containers, op3_pack_windows, op4_language_unigrams, op5_ngram_jaccard, op6_license_digests, op7_html_differences, op8_quality_nbsvm, op9_suffix_merge, op10_quality_rules, op11_periodic_runs, op12_phrase_collocations, op13_byte_bpe]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_digests": licenses.scan_sql()}
+    return {"op6_license_digests": licenses.scan_sql(), "op12_phrase_collocations": collocations.mine_sql()}
