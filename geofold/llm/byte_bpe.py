@@ -11,6 +11,7 @@ the token that ends there.  A token is written once all live paths have it behin
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from .common import batches, free_name, remembered
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: What a worker keeps: deterministic states, moves, tested pairs of tokens, and split pieces with their ids.  Past it, it starts anew.
-STATES, MOVES, PAIRS, PIECES = 120_000, 400_000, 300_000, 200_000
+STATES, MOVES, PAIRS, PIECES = 350_000, 800_000, 400_000, 150_000
 #: Ids of one batch of results, in bytes.
 BATCH = 8 << 20
 #: Bytes of a piece after which tokens that are settled are written.
@@ -62,12 +63,12 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = []
-        self.numbers: dict[tuple[tuple[int, int], ...], int] = {}
+        self.states: list[tuple[int, ...]] = []  # of paths as node << 32 | token + 1
+        self.numbers: dict[tuple[int, ...], int] = {}
         self.moves: dict[int, tuple[int, int]] = {}
-        self._number(((0, -1),))
+        self._number((0,))
 
-    def _number(self, live: tuple[tuple[int, int], ...]) -> int:
+    def _number(self, live: tuple[int, ...]) -> int:
         at = self.numbers.setdefault(live, len(self.states))
         if at == len(self.states):
             self.states.append(live)
@@ -108,21 +109,22 @@ class Transducer:
             self._clear()
             number = self._number(live)
         found, ended = [], -1
-        for node, last in live:
-            node = self.edges.get(node << 8 | byte, 0)
+        for path in live:
+            node = self.edges.get(path >> 32 << 8 | byte, 0)
             if node:
+                last = path & 0xFFFFFFFF
                 if self.inner[node]:
-                    found.append((node, last))
+                    found.append(node << 32 | last)
                 token = self.tokens[node]
-                if token >= 0 and ended < 0 and self.follows(last, token):
+                if token >= 0 and ended < 0 and self.follows(last - 1, token):
                     ended = token
-        found.append((0, ended))
+        found.append(ended + 1)
         move = self.moves[number << 8 | byte] = (self._number(tuple(found)), ended)
         return move
 
     def _settled(self, state: int, ended: list[int]) -> int:
         """The last place that all live paths have behind them, by following the oldest of them back until they meet."""
-        at = {len(ended) - self.depth[node] for node, _ in self.states[state]}
+        at = {len(ended) - self.depth[path >> 32] for path in self.states[state]}
         while len(at) > 1:
             last = max(at)
             at.remove(last)
@@ -160,7 +162,7 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Ids of pieces as bytes; remembers a bounded number."""
+    """Ids of pieces as bytes; remembers the pieces met of late, a bounded number."""
 
     def __init__(self, path: str | None):
         super().__init__()
@@ -169,11 +171,16 @@ class Encoder(dict):
 
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.transducer = Transducer(load_ranks(path))
+        self.code = {rank: rank.to_bytes(4, "little") for rank in self.transducer.bytes_of}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.transducer.encode(piece.encode()), "<i4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = b"".join([self.code[i] for i in self.transducer.encode(piece.encode())])
         if len(piece) <= 64:
             if len(self) >= PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -286,9 +293,21 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """key, ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (of the ids decoded again)."""
-    rows = decode(encode(docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")), "_text", path=path).drop("_text"), path=path)
-    return rows.select(
-        F.col("_id").alias(key), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """key, ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (of the ids decoded again).
+
+    As :func:`encode` and :func:`decode` one after the other, in one pass that lets no ids leave the task.
+    """
+    df = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
+    schema = T.StructType([T.StructField("_id", docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")]])
+
+    def tell(cols) -> Iterator[pa.RecordBatch]:
+        coder, back = remembered(f"byte bpe {path}", lambda: Encoder(path)), remembered(f"byte bpe decoder {path}", lambda: Decoder(path))
+        many, told, read = [], [], []
+        for t in cols["_text"]:
+            ids = np.frombuffer(coder.encode(t.as_py()) if t.is_valid else b"", "<i4").tolist()
+            many.append(len(ids))
+            told.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            read.append(hashlib.sha256(back.decode(ids).encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([cols["_id"], pa.array(many, pa.int64()), pa.array(told), pa.array(read)], schema.names)
+
+    return batches(df, tell, schema).withColumnRenamed("_id", key)
