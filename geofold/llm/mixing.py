@@ -63,15 +63,15 @@ def targets(sources: DataFrame, size: str, order: str, weights: Sequence[float],
 
 def mix(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (1, 2, 3),
-    cap: int = 3, block: int = 64, shard_words: int = 2_000_000, seed: int = 7,
+    cap: int = 3, unit: int = 1, block: int = 64, shard_words: int = 2_000_000, seed: int = 7,
 ) -> DataFrame:
     """Choose what a mix takes of each document; one row per row of ``docs``.
 
     Columns: key, ``size`` (words), ``source_size``, ``target``, ``rounds`` (times the whole document is taken),
     ``ranges`` (word ranges taken once more) and ``taken``.  Documents are dealt to shards by hash, laid end to end in
-    a seeded order per source and shard, and cut into blocks of ``block`` words.  Quotas of blocks go to sources, then
-    to the shards of a source, by highest quotients; a quota is met by whole rounds and a seeded choice of blocks, the
-    last of them cut where the quota ends.
+    a seeded order per source and shard, and cut into blocks of ``block`` words.  Quotas of ``unit`` words go to sources,
+    then to the shards of a source, by highest quotients, so that with single words even a source of a few words gets its
+    share; a quota is met by whole rounds and a seeded choice of blocks, the last of them cut where the quota ends.
 
     Null or empty texts have size 0 and nothing is taken.  Null sources are one source, sorted last.  A null key or
     repeated rows are documents of their own; equal rows share a place in the order, so swapping them changes nothing.
@@ -87,12 +87,12 @@ def mix(
     shards = max(1, -(-total // shard_words))
     sizes = sizes.withColumn("_shard", F.pmod(F.xxhash64("_order", F.lit(seed + 1)), F.lit(shards)))
     by_source = targets(sizes.groupBy("_src", "_name").agg(F.sum("size").alias("source_size")), "source_size", "_name", weights, cap)
-    by_source = by_source.withColumn("_blocks", F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block).cast("long")).withColumn("_all", F.lit(1))
-    by_source = sainte_lague(by_source, ["_all"], "target", "_blocks", ["_src"], "_quota").select("_src", "source_size", "target", "_quota")
+    by_source = by_source.withColumn("_units", F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / unit).cast("long")).withColumn("_all", F.lit(1))
+    by_source = sainte_lague(by_source, ["_all"], "target", "_units", ["_src"], "_quota").select("_src", "source_size", "target", "_quota")
     by_shard = sizes.groupBy("_src", "_shard").agg(F.sum("size").alias("_votes")).join(by_source, "_src")
     by_shard = sainte_lague(by_shard, ["_src"], "_votes", "_quota", ["_shard"], "_seats")
     votes = F.col("_votes")
-    words = F.least(F.col("_seats") * block, votes * cap)
+    words = F.least(F.col("_seats") * unit, votes * cap)
     by_shard = by_shard.select(
         "_src", "_shard", "source_size", "target", F.floor(votes / block).alias("_full"),
         F.when(votes > 0, F.floor(words / votes)).otherwise(0).alias("rounds"), F.when(votes > 0, words % votes).otherwise(0).alias("_more"),
