@@ -19,7 +19,8 @@ SAMPLE = 1_500
 ROUNDS = 4
 #: A character that is no piece of its own has this probability in every language.
 UNKNOWN = 1e-7
-#: Letters of a run that are scored at once; a longer run is cut, which keeps products in range.
+#: Letters of a run up to which words of one length are scored together; a longer one is scored by itself, with sums scaled at
+#: each letter.
 RUN = 32
 REMEMBERED = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -93,10 +94,10 @@ def forward(words: list[str], vocab: Vocabulary, probs: np.ndarray, lattices=Non
     ``probs`` has a last row of zeros, which piece number -1 takes.
     """
     out = np.empty((len(words), probs.shape[1]))
-    by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
-    for rows in by.values():
+        if len(w) > RUN:
+            out[i] = long_word(w, vocab, probs)
+    for rows in _by_length(words).values():
         for lo in range(0, len(rows), 50_000):
             part = rows[lo:lo + 50_000]
             n, found = lattice([words[i] for i in part], vocab)
@@ -105,6 +106,67 @@ def forward(words: list[str], vocab: Vocabulary, probs: np.ndarray, lattices=Non
     return out
 
 
+def _by_length(words: list[str]) -> dict[int, list[int]]:
+    """Places of the words that are scored together, by their length."""
+    by: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        if len(w) <= RUN:
+            by.setdefault(len(w), []).append(i)
+    return by
+
+
+def long_word(word: str, vocab: Vocabulary, probs: np.ndarray, uses: bool = False):
+    """The logarithm of one word's probability in each language and, if wanted, its pieces with their expected uses.
+
+    Sums over segmentations of each beginning are kept as a number near one and the logarithm of its scale, so a run of
+    any length stays in range.  Work grows with letters times the longest piece.
+    """
+    chars = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    n, size = len(chars), min(vocab.length, len(chars))
+    head = [0]
+    for c in chars.tolist():
+        head.append((head[-1] * int(BASE) + c) & (1 << 64) - 1)
+    head = np.array(head, np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, BASE)]))
+    ids = np.full((n + 1, size), -1)  # by the place where a piece ends, and its length less one
+    for s in range(1, size + 1):
+        ids[s:, s - 1] = vocab.find(head[s:] - head[:-s] * power[s])
+    ids[1, 0] = -1  # the mark alone is no piece of a word
+    langs = probs.shape[1]
+
+    def weights(end: int, many: int) -> np.ndarray:
+        p = probs[ids[end, :many]]
+        np.maximum(p[0], UNKNOWN, out=p[0])
+        return p
+
+    def sums(way: Iterator[tuple[int, np.ndarray, np.ndarray]], first: int) -> tuple[np.ndarray, np.ndarray]:
+        value, scale = np.zeros((n + 1, langs)), np.full((n + 1, langs), -np.inf)
+        value[first], scale[first] = 1.0, 0.0
+        for at, others, p in way:
+            top = scale[others].max(0)
+            total = (value[others] * p * np.exp(scale[others] - top)).sum(0)
+            value[at], scale[at] = 1.0, top + np.log(total)
+        return value, scale
+
+    ahead = ((end, end - 1 - np.arange(min(end, size)), weights(end, min(end, size))) for end in range(1, n + 1))
+    _, alpha = sums(ahead, 0)
+    if not uses:
+        return alpha[n]
+
+    def back(start: int) -> tuple[int, np.ndarray, np.ndarray]:
+        ends = start + 1 + np.arange(min(size, n - start))
+        p = probs[ids[ends, np.arange(len(ends))]]
+        np.maximum(p[0], UNKNOWN, out=p[0])
+        return start, ends, p
+
+    _, beta = sums(map(back, range(n - 1, -1, -1)), n)
+    end, s = np.nonzero(ids >= 0)
+    p = probs[ids[end, s]]
+    p[s == 0] = np.maximum(p[s == 0], UNKNOWN)
+    with np.errstate(divide="ignore"):
+        return alpha[n], ids[end, s], np.exp(alpha[end - s - 1] + np.log(p) + beta[end] - alpha[n])
+
+
 def _alpha(n: int, found, probs: np.ndarray, count: int) -> list[np.ndarray]:
     alpha = [np.ones((count, probs.shape[1]))] + [np.zeros((count, probs.shape[1])) for _ in range(n)]
     for end in range(1, n + 1):
@@ -124,10 +186,12 @@ def _alpha(n: int, found, probs: np.ndarray, count: int) -> list[np.ndarray]:
 def expected(words: list[str], counts: np.ndarray, vocab: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language, over all segmentations of the counted words (forward and backward)."""
     total = np.zeros_like(probs)
-    by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
-    for rows in by.values():
+        if len(w) > RUN:
+            _, ids, use = long_word(w, vocab, probs, True)
+            for k in range(probs.shape[1]):
+                total[:, k] += np.bincount(ids, use[:, k] * counts[i, k], len(total))
+    for rows in _by_length(words).values():
         for lo in range(0, len(rows), 20_000):
             part = rows[lo:lo + 20_000]
             n, found = lattice([words[i] for i in part], vocab)
@@ -148,11 +212,11 @@ def expected(words: list[str], counts: np.ndarray, vocab: Vocabulary, probs: np.
 
 
 def runs(text: str | None) -> list[str]:
-    """Lower-case runs of letters, cut at ``RUN`` letters; none if the text has no letter."""
+    """Lower-case runs of letters, whole; none if the text has no letter."""
     found = WORD.findall(text.lower()) if text else []
     if found and not any(any(map(str.isalpha, w)) for w in found):
         return []
-    return found if all(len(w) <= RUN for w in found) else [w[i:i + RUN] for w in found for i in range(0, len(w), RUN)]
+    return found
 
 
 def learn(docs: DataFrame, lang: str, text: str, key: str, keep, sample: int = SAMPLE, path: str | None = None) -> tuple[list[str], np.ndarray]:
@@ -223,10 +287,12 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, text: str = "t
             held += sum(map(len, found[-1])) if found[-1] else 0
             if held > 2 << 20 or i + 1 == len(texts):
                 fresh = list({w for words in found for w in words if w not in known})
-                extra = known if len(known) + len(fresh) < REMEMBERED else _Both(known)
+                extra = _Both(known)
                 if fresh:
-                    logs = forward(fresh, vocab, model.value).astype(np.float32)
-                    extra.update(zip(fresh, map(bytes, logs)))
+                    logs = list(map(bytes, forward(fresh, vocab, model.value).astype(np.float32)))
+                    short = len(known) + len(fresh) < REMEMBERED
+                    known.update((w, x) for w, x in zip(fresh, logs) if short and len(w) <= RUN)
+                    extra.update((w, x) for w, x in zip(fresh, logs) if not short or len(w) > RUN)
                 best, sure = [], []
                 for words in found:
                     if not words or not langs:
@@ -257,7 +323,8 @@ class _Both(dict):
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, out_fold: int = 1, sample: int = SAMPLE, path: str | None = None) -> DataFrame:
     """key, ``held_out``, ``lang_pred`` and ``score`` of every row, learned from rows outside fold ``out_fold``.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing is labelled.  Null keys
+    Runs of letters are scored whole, however long.  A text that is null or has no letter is ``und`` with score 0, as is
+    every text if nothing is labelled.  Null keys
     are in fold 0.  Repeated rows get equal results; an empty table gives none; other columns are not read.
     """
     langs, probs = learn(docs, lang, text, key, fold(F.col(key), folds) != out_fold, sample, path)
