@@ -224,10 +224,9 @@ def _probes(v: np.ndarray, block: int):
 
 
 def _passes(v: np.ndarray, bits: np.ndarray, buckets: int, block: int) -> np.ndarray:
-    bucket = np.minimum((v.astype(np.float64) * (buckets / float(1 << 40))).astype(np.int64), buckets - 1)
     # The bucket is found as the sender found it: by comparison with the same borders.
     border = (np.arange(buckets + 1, dtype=np.float64) * (float(1 << 40) / buckets)).astype(np.uint64)
-    bucket = np.searchsorted(border, v, side="right") - 1 if buckets < 1 << 20 else bucket
+    bucket = np.searchsorted(border, v, side="right") - 1
     ok = np.ones(len(v), bool)
     for p in _probes(v, block):
         ok &= (bits[bucket * (block // 8) + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from geofold.llm import suffix_dedup as sd
@@ -65,3 +66,15 @@ def test_loser_tree_orders_and_counts_prefixes():
     assert out == sorted(x for s, _ in runs for x in s)
     for a, b, k in zip(out, out[1:], lcp[1:]):
         assert a[:k] == b[:k] and (k == min(len(a), len(b)) or a[k] != b[k])
+
+
+def test_buckets_of_the_filter_are_the_senders():
+    """With very many buckets a fingerprint at a border is looked for where it was sent."""
+    buckets = 1_200_000
+    border = (np.arange(buckets + 1, dtype=np.float64) * (float(1 << 40) / buckets)).astype(np.uint64)
+    v = border[:-1][::40]
+    sent = np.searchsorted(border, v, side="right") - 1
+    bits = np.zeros(buckets * 8, np.uint8)
+    for p in sd._probes(v, 64):
+        np.bitwise_or.at(bits, sent * 8 + (p >> 3), (1 << (p & 7)).astype(np.uint8))
+    assert sd._passes(v, bits, buckets, 64).all()
