@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.spatial_join import components
@@ -53,10 +53,10 @@ def longest(n: int) -> int:
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """``_id``, ``n``, ``_set`` (128-bit digest of the whole set) and ``_head``: the tokens of its longest prefix in code order."""
+    """``_id``, ``_text_code``, ``n``, ``_set`` (128-bit digest of the whole set) and ``_head``: the tokens of its longest prefix in code order."""
     import xxhash  # noqa: F401  needed where the tasks run, too
 
-    df = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
+    df = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_text_code"), F.col(text).cast("string").alias("_text"))
 
     def build(cols) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -67,19 +67,21 @@ def sets(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
             n.append(len(s))
             code.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
             head.append(s[:len(s) - least_overlap(len(s), percent) + longest(len(s))])
-        yield pa.RecordBatch.from_arrays([cols["_id"], pa.array(n, pa.int64()), pa.array(code, pa.string()), pa.array(head, pa.list_(pa.int64()))], ["_id", "n", "_set", "_head"])
+        yield pa.RecordBatch.from_arrays([cols["_id"], cols["_text_code"], pa.array(n, pa.int64()), pa.array(code, pa.string()), pa.array(head, pa.list_(pa.int64()))], ["_id", "_text_code", "n", "_set", "_head"])
 
-    return batches(df, build, f"_id {docs.schema[key].dataType.simpleString()}, n bigint, _set string, _head array<bigint>")
+    return batches(df, build, f"_id {docs.schema[key].dataType.simpleString()}, _text_code bigint, n bigint, _set string, _head array<bigint>")
 
 
 def possible(found: DataFrame, percent: int) -> DataFrame:
-    """Class representatives (``_set``, ``rep``) that may have a partner.
+    """Classes that may have a partner: ``_set``, ``id`` (a number of its own) and a row with that set (``rep``, ``_text_code``).
 
     In code order, a set and its partner share at least l tokens among the first n - overlap + l of each, for every l.
     So l of a set's own must stand in another set's prefix; l is the most that its smallest partner's prefix allows.
     """
     # Every class keeps one prefix; equal sets have equal ones, so any row of the class will do.
-    classes = found.where("n > 0").groupBy("_set").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("_head").alias("_head"))
+    # The row with the smallest key stands for it; keys may be null, then any row does.
+    classes = found.where("n > 0").groupBy("_set").agg(
+        F.min("_id").alias("rep"), F.coalesce(F.min_by("_text_code", "_id"), F.min("_text_code")).alias("_text_code"), F.first("n").alias("n"), F.first("_head").alias("_head"))
     # A number stands for the class in the many rows of its tokens.
     heads = stored(classes.withColumn("_code", F.xxhash64("_set")))
     overlap = F.ceil(F.col("n") * percent / 100)
@@ -87,18 +89,21 @@ def possible(found: DataFrame, percent: int) -> DataFrame:
     common = heads.select(F.explode("_head").alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").select("_token")
     near = heads.select("_code", F.explode(F.slice("_head", F.lit(1), (F.col("n") - overlap + asked).cast("int"))).alias("_token"))
     counts = near.join(common, "_token", "left_semi").groupBy("_code").agg(F.count(F.lit(1)).alias("_c"))
-    out = stored(heads.join(counts, "_code").where(F.col("_c") >= asked).select("_set", "rep"))
+    left = heads.join(counts, "_code").where(F.col("_c") >= asked).select("_set", "_code", "rep", "_text_code")
+    # Two classes with one code get two numbers.
+    number = F.col("_code") + F.row_number().over(Window.partitionBy("_code").orderBy("_set")) - 1
+    out = stored(left.select("_set", number.alias("id"), "rep", "_text_code"))
     released(heads)
     return out
 
 
 def whole_sets(docs: DataFrame, reps: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``rep``, ``n``, ``tokens``: the whole sets of the representatives, built again from their texts.
+    """``_set``, ``id``, ``n``, ``tokens``: the whole sets of the classes, built again from their rows' texts.
 
-    ``_set`` is compared, so that another row with the representative's key does not stand in for it.
+    Rows are found by key and text code, as keys may be null or repeated; the set is compared all the same.
     """
-    df = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("_text")).join(reps, "rep")
-    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_code"), F.col(text).cast("string").alias("_text"))
+    df = rows.join(reps, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_code") == F.col("_text_code"))).select("_set", "id", "_text")
 
     def build(cols) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -106,9 +111,9 @@ def whole_sets(docs: DataFrame, reps: DataFrame, key: str, text: str, width: int
         found = [shingles(t.as_py(), width) for t in cols["_text"]]
         keep = [i for i, (s, code) in enumerate(zip(found, cols["_set"])) if xxhash.xxh3_128_hexdigest(s.tobytes()) == code.as_py()]
         at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([cols["_set"].take(at), cols["rep"].take(at), pa.array([len(found[i]) for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.list_(pa.int64()))], ["_set", "rep", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([cols["_set"].take(at), cols["id"].take(at), pa.array([len(found[i]) for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.list_(pa.int64()))], ["_set", "id", "n", "tokens"])
 
-    return batches(df, build, f"_set string, rep {kind}, n bigint, tokens array<bigint>").dropDuplicates(["_set"])
+    return batches(df, build, "_set string, id bigint, n bigint, tokens array<bigint>").dropDuplicates(["_set"])
 
 
 def choose(dfs: np.ndarray, n: int, percent: int) -> int:
@@ -210,20 +215,21 @@ def _in_blocks(heavy: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("_token", "_i", "_j").applyInArrow(compare, f"a {names.simpleString()}, b {names.simpleString()}").distinct()
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(``_id``, ``_set``, ``n`` per row; stored links between representatives that give the same components as all links).
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``_id``, ``_set``, ``n`` per row; ``_set``, ``id`` of classes that may have links; stored links between classes that
+    give the same components as all links).
 
-    Representatives sharing a token are first compared with a few leaders of that token, chosen by seeded hashes; what
+    Classes sharing a token are first compared with a few leaders of that token, chosen by seeded hashes; what
     is joined by those links needs no further pair; the first leader is the one with the fewest tokens of its own, which
     in a group of edited copies is their middle.  Then all pairs that lie in different components and share enough
     prefix tokens are verified, those of tokens with many such pairs in blocks, so no connection is lost and a large
     group of near copies is never paired out.
     """
     raw = stored(sets(docs, key, text, width, percent))
-    found, reps = stored(raw.drop("_head")), possible(raw, percent)
+    found, reps = stored(raw.drop("_head", "_text_code")), possible(raw, percent)
     released(raw)
     whole = stored(whole_sets(docs, reps, key, text, width))
-    full = whole.withColumnRenamed("rep", "id")
+    full = whole.drop("_set")
     index = stored(prefixes(full, percent))
     seeded = [F.min(F.struct(*([F.col("alone")] if s == 0 else []), F.xxhash64("id", F.lit(s)).alias("h"), F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("asked").alias("_qb"))).alias(f"_l{s}") for s in range(LEADERS)]
     leaders = index.groupBy("_token").agg(*seeded)
@@ -251,22 +257,26 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rest = verified(pairs, full, percent).unionByName(heavy)
     both = stored(near.unionByName(rest))
     released(whole, index, near, placed, open_)
-    return found, both
+    return found, reps, both
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """key, ``n_shingles``, ``component_id`` (smallest key reachable by links) and ``n_verified`` (links of its class that were needed to join its component).
 
-    One row per row of ``docs``.  Equal sets are one class and never paired.  A null or empty text has an empty set and
-    is its own component; so is a null key's text without partner, as null.  Of repeated keys the rows stay, each by
-    its own text.  Words are compared by 64-bit codes and whole sets by 128-bit ones.  An empty table gives none; other
+    One row per row of ``docs``.  Equal sets are one class, which has a number of its own, and never paired.  A null or
+    empty text has an empty set and is its own component.  A null key links as any other, but gives its component no
+    name: without other keys in it the component is null.  Of repeated keys the rows stay, each by its own text.
+    Words are compared by 64-bit codes and whole sets by 128-bit ones.  An empty table gives none; other
     columns are not read.
     """
-    found, pairs = links(docs, key, text, width, percent)
+    found, numbers, pairs = links(docs, key, text, width, percent)
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     part = components(ends.distinct(), pairs, "id")
     degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_verified"))
-    reps = found.where("n > 0").groupBy("_set").agg(F.min("_id").alias("id"))
-    classes = reps.join(part, "id", "left").join(degree, "id", "left").select("_set", F.coalesce("component", "id").alias("_component"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+    least = found.where("n > 0").groupBy("_set").agg(F.min("_id").alias("_least"))
+    linked = numbers.select("_set", "id").join(part, "id").join(degree, "id").join(least, "_set")
+    named = linked.groupBy("component").agg(F.min("_least").alias("_name"))
+    linked = linked.join(named, "component").select("_set", "_name", "n_verified")
+    classes = least.join(linked, "_set", "left").select("_set", F.coalesce("_name", "_least").alias("_component"), "n_verified")
     out = found.join(classes, "_set", "left")
     return out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"))

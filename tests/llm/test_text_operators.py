@@ -69,6 +69,25 @@ def test_join_links_components_whose_lead_changes(spark):
     assert got == groups(rows, 1, 90) and {c for _, c in got.values()} == {100 * f for f in range(12)}
 
 
+def test_join_null_and_repeated_keys(spark):
+    """A null key links two texts that are not similar to each other; texts under one key link by themselves."""
+    words = [f"w{i}" for i in range(100)]
+    edit = lambda k: [f"x{i}" if i < k else w for i, w in enumerate(words)]
+    a, between, b = words, edit(4), edit(4)[:-4] + [f"y{i}" for i in range(4)]
+    rows = [(5001, " ".join(a)), (None, " ".join(between)), (5002, " ".join(b)), (None, "quite another text of its own"), (None, None)]
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [("5001", "5001"), ("5002", "5001"), ("None", "5001"), ("None", "None"), ("None", "None")]
+    rng, rows = np.random.default_rng(9), []
+    for f in range(12):
+        base = [f"f{f}_{i}" for i in range(60)]
+        for k in range(3):
+            w = list(base)
+            w[rng.integers(0, 60)] = f"z{f}_{k}"
+            rows.append((7 if k < 2 else 100 + f, " ".join(w)))  # two texts of each family under one key of all
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), width=1, percent=80).collect()
+    assert len(found) == 36 and {r["component_id"] for r in found} == {7}
+
+
 def test_join_edges(spark):
     rows = [(None, "a b c d", 1), (5, "A B C D", 1), (7, "", 1), (8, None, 1), (9, "é", 1), (9, "é", 1), (11, "x y", 2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component int")
@@ -97,6 +116,35 @@ def test_language_scores_sum_all_segmentations():
     assert np.allclose(language.forward(words, v, probs), [np.log(brute("▁" + w)) for w in words])
     use = language.expected(words, np.ones((5, 2)), v, probs)
     assert use.sum() > 0
+    for w in words:  # a long word's way gives the same
+        assert np.allclose(language.long_word(w, v, probs), language.forward([w], v, probs)[0])
+        _, ids, many = language.long_word(w, v, probs, True)
+        assert np.allclose(np.stack([np.bincount(ids, many[:, k], len(probs)) for k in range(2)], 1), language.expected([w], np.ones((1, 2)), v, probs))
+
+
+def test_language_long_runs():
+    """Runs of hundreds of letters against sums of logarithms over all segmentations."""
+    v = language.vocabulary(None)
+    rng = np.random.default_rng(3)
+    probs = np.vstack([rng.random((len(v.codes), 2)) / len(v.codes), np.zeros((1, 2))])
+    at = {int(c): i for i, c in enumerate(v.codes)}
+
+    def brute(s):
+        logs = [np.zeros(2)]
+        for end in range(1, len(s) + 1):
+            parts = []
+            for n in range(1, min(end, v.length) + 1):
+                i = at.get(v.code(s[end - n:end]))
+                p = probs[i] if i is not None and s[end - n:end] != "▁" else np.zeros(2)
+                p = np.maximum(p, language.UNKNOWN) if n == 1 else p
+                if p.any():
+                    parts.append(logs[end - n] + np.log(p))
+            logs.append(np.logaddexp.reduce(parts))
+        return logs[-1]
+
+    long = ["".join(rng.choice(list("aeinrstlodu"), 200)), "x" * 33, "的" * 500, "straße" * 700]
+    assert language.runs(" ".join(long)) == long
+    assert np.allclose(language.forward(long + ["the"], v, probs), [brute("▁" + w) for w in long + ["the"]])
 
 
 def test_language(spark, docs, texts):
