@@ -45,8 +45,8 @@ def dem_bilinear(points: DataFrame, cells: DataFrame, grid: Grid, point_id: Sequ
             for i in (0, 1) for j in (0, 1)
         ]
     )
-    asked = points.select(*point_id, F.explode(corners).alias("k")).select(*point_id, "k.r", "k.c", "k.w")
-    found = salted_join(asked, cells.select("r", "c", "z").where(F.col("z").isNotNull()), ["r", "c"], point_id)
+    asked = points.select(*point_id, F.explode(corners).alias("k")).select(*point_id, F.col("k.r").alias("_kr"), F.col("k.c").alias("_kc"), "k.w")
+    found = salted_join(asked, cells.select(F.col("r").alias("_kr"), F.col("c").alias("_kc"), "z").where(F.col("z").isNotNull()), ["_kr", "_kc"], point_id)
     four = F.count(F.lit(1)) == 4
     return found.groupBy(*point_id).agg(F.when(four, F.sum(F.col("z") * F.col("w"))).otherwise(F.avg("z")).alias("z"))
 
@@ -143,13 +143,17 @@ def datum_offset(cells: DataFrame, keys: Sequence[str] = ("region",), edge_deg:
     return median.select(*keys, "median_m", F.when(plausible, -F.col("median_m")).otherwise(0.0).alias("offset_m"))
 
 
+def sample_grid(spark: SparkSession, grid: Grid, sample) -> DataFrame:
+    """The grid's nodes, each sampled; missing heights are 0."""
+    cells = grid_cells(spark, grid)
+    return cells.join(sample(cells, ["r", "c"]), ["r", "c"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+
+
 def sample_region(spark: SparkSession, lat_min: float, lat_max: float, lon_min: float, lon_max: float, step: float, sample) -> DataFrame:
     """Grid of points over a box, each sampled; missing heights are 0."""
     import math
 
-    grid = Grid(lat_min, lon_min, step, math.ceil((lat_max - lat_min) / step) + 1, math.ceil((lon_max - lon_min) / step) + 1)
-    cells = grid_cells(spark, grid)
-    return cells.join(sample(cells, ["r", "c"]), ["r", "c"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    return sample_grid(spark, Grid(lat_min, lon_min, step, math.ceil((lat_max - lat_min) / step) + 1, math.ceil((lon_max - lon_min) / step) + 1), sample)
 
 
 def upsample_grid(samples: DataFrame, spacing: int = 30, cliff_m: float = 4.0) -> DataFrame:

@@ -253,13 +253,42 @@ def flow_accumulation(dirs: DataFrame, region: Sequence[str] = REGION, block: in
 # ---------------------------------------------------------------------------------------------------------
 # Distances and rings
 # ---------------------------------------------------------------------------------------------------------
-def coast_distance(cells: DataFrame, cell_deg: float, region: Sequence[str] = REGION, mark: str = "coast") -> DataFrame:
+#: Reach of the rounds of the search for far shores, in metres; the last is the cap.
+COAST_RINGS_M = (2_000.0, 10_000.0, COAST_CAP_M)
+
+
+def far_coast(cells: DataFrame, segments: DataFrame, region: Sequence[str] = REGION, rings: Sequence[float] = COAST_RINGS_M) -> DataFrame:
+    """Exact distance ``coast_m`` of cells (``lat, lon``) to the nearest shore segment (``line_id, seg, a, b``), within the last ring.
+
+    Rings grow: each round looks for segments within its reach around the cells that no smaller ring settled, so a cell
+    near a shore never meets the far ones.  Cells with none get the last reach.
+    """
+    from .spatial_join import nearest_segment
+
+    keys = [*region, "r", "c"]
+    left, found = cells.select(*keys, "lat", "lon"), None
+    for reach in rings:
+        near = cut_lineage(nearest_segment(left, segments, keys, ["line_id", "seg"], reach, reach).select(*keys, F.col("dist_m").alias("coast_m")))
+        found = near if found is None else found.unionByName(near)
+        left = cut_lineage(left.join(near.select(*keys), keys, "left_anti"))
+    return found.unionByName(left.select(*keys, F.lit(float(rings[-1])).alias("coast_m")))
+
+
+def coast_distance(cells: DataFrame, cell_deg: float, region: Sequence[str] = REGION, mark: str = "coast", segments: DataFrame | None = None) -> DataFrame:
     """4-connected distance in metres to the nearest marked cell of a full grid, capped at 50 km.
 
     Without obstacles the step count is the Manhattan distance, which splits into a pass along rows and one
-    along columns.  Windows only look back, in both orders, so they run in one sweep each.
+    along columns.  Windows only look back, in both orders, so they run in one sweep each.  Regions without a marked
+    cell take exact distances to ``segments`` (cells then have ``lat, lon``), or the cap if there are none.
     """
     region = list(region)
+    if segments is not None:
+        cells = cut_lineage(cells)
+        shore = cut_lineage(cells.where(F.col(mark)).select(*region).distinct())
+        near = coast_distance(cells.join(shore, region, "left_semi"), cell_deg, region, mark)
+        keys = [*region, "r", "c"]
+        far = far_coast(cells.join(shore, region, "left_anti"), segments, region)
+        return cells.join(near.select(*keys, "coast_m").unionByName(far), keys)
     cell_m = M_PER_DEG * cell_deg
 
     def both(df, part, axis, seen, out, add):

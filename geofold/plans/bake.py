@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import geo
 from ..functions.geo import big
-from ..operators import aggregates as ag, chunks as ck, columns as co, hydrology as hy, roads as rd
+from ..operators import aggregates as ag, chunks as ck, columns as co, elevation as el, hydrology as hy, roads as rd
+from ..operators.spatial_join import Grid
 from ..session import shared_dir
 from ..sources import sinks
 from . import region_bake as rb
@@ -331,10 +332,64 @@ def anchor_nearest(t):
     return out.select("target", F.col("vx").alias("x"))
 
 
+# Columns a quarter of a cell off the height cells, so that each height lies between four.
+BAKED = """(select cast(floor(c/30e0) as bigint) cx, cast(floor(r/30e0) as bigint) cz, c vx, r vz, -27.56e0+(r+0.25e0)*0.0008e0 lat, 153.02e0+(c+0.25e0)*0.0008e0 lon from dem_cell)"""
+
+
+def bake_grid(t):
+    return Grid(-27.56, 153.02, 0.0008, (t.dem_cell.agg(F.max("r")).first()[0] or 0) + 1, 125)
+
+
+def bake_sources(t, **more):
+    grid = bake_grid(t)
+    heights = t.dem_cell.withColumn("z", F.col("z") / 30.0)
+
+    def sample(points, ids):
+        return el.dem_bilinear(points, heights, grid, ids)
+
+    def place(lat, lon):
+        return big(F.floor((lon - 153.02) / 0.0008)), big(F.floor((lat + 27.56) / 0.0008))
+
+    return rb.Sources(sample, t.sql(f"select * from {BAKED} c"), place, **more), grid
+
+
+def full_sources(t):
+    """All inputs of a bake: land areas, shores, water, roads, edits from the log and objects of the map."""
+    from ..operators.oplog import lww_register
+    from .features import map_objects
+    from .rasters import areas
+
+    size = t.dem_cell.agg(F.max("r").alias("r")).first()["r"] or 0
+    edits = lww_register(t.sql("select op_id*7 % 125 vx, op_id*11 vz, cast(90+op_id*13 % 30 as bigint) vy, material, op_id, author, op_id lamport from op_log").withColumn("vz", F.col("vz") % (size + 1)))
+    return bake_sources(t, areas=areas(t), coast=t.lines.where("line_id % 4 = 0"), water=water_bodies(t), rivers=rivers(t), lines=channel_lines(t), roads=roads(t), edits=edits, objects=map_objects(t))
+
+
 @query("region_bake")
 def region_bake(t):
-    """Bake the chunks under the sites' cells and list the stored chunks of the final pass."""
+    """The whole bake over the columns at the height cells; the manifest of the last pass that writes columns."""
     path = sinks.new_folder(shared_dir(t.spark), "bake")
-    columns = cols(t, SMOOTH).drop("terrain_y")
-    done = rb.region_bake(path, columns, water_bodies(t), rivers(t), channel_lines(t), roads(t), flat_sample, ORIGIN, "R0")
-    return done.select("chunk", "region", "size")
+    sources, grid = full_sources(t)
+    return rb.manifest(rb.region_bake(path, sources, grid, ORIGIN), path, grid.region).select("chunk", "region", "size")
+
+
+@query("baked_objects")
+def baked_objects(t):
+    """Objects of the map on the ground the bake made."""
+    sources, grid = full_sources(t)
+    store = rb.region_bake(sinks.new_folder(shared_dir(t.spark), "bake"), sources, grid, ORIGIN)
+    return store.read("objects").select("cx", "cz", "object_id", "kind", "y")
+
+
+@query("bake_terrain", f"""with d as (select r, c, z/30e0 z, row_number() over (order by z) rn, count(*) over () n from dem_cell),
+   m as (select case when z > -8 and z < 12 then -z else 0e0 end off from d where rn = cast(floor(least(greatest(floor(n/50e0),1),30)/2e0) as bigint)+1),
+   e as (select r, c, z+off z from d, m), k as (select c.cx, c.cz, c.vx, c.vz, c.lat, c.lon, sum(e.z*(case when e.r=c.vz then 0.75e0 else 0e0 end + case when e.r=least(c.vz+1,(select max(r) from e)) then 0.25e0 else 0e0 end)
+     *(case when e.c=c.vx then 0.75e0 else 0e0 end + case when e.c=least(c.vx+1,124) then 0.25e0 else 0e0 end)) z from {BAKED} c join e on e.r between c.vz and c.vz+1 and e.c between c.vx and c.vx+1 group by all),
+   s as (select cx, cz, cast(trunc(z+{GEOID_SQL}-20e0) as bigint)+100 y from (select *, lon l from k) q)
+   select cx, cz, count(*) n, cast(sum(201) as bigint) non_air, min(y) ground_min, max(y) ground_max from s group by cx, cz""")
+def bake_terrain(t):
+    """Terrain of the bake, from heights and datum offset to the stored chunks, summed by chunk."""
+    sources, grid = bake_sources(t)
+    store = rb.region_bake(sinks.new_folder(shared_dir(t.spark), "bake"), sources, grid, ORIGIN, trees=False, upto="terrain")
+    runs = store.read("terrain")
+    size = runs.groupBy("cx", "cz").agg(F.count_distinct("vx", "vz").alias("n"))
+    return ag.chunk_summary(runs, ["cx", "cz"]).join(size, ["cx", "cz"]).select("cx", "cz", "n", "non_air", "ground_min", "ground_max")

@@ -279,11 +279,15 @@ def tile_inventory_diff(t):
     return tile_inventory_diff(need, held)
 
 
-@query("infer_objects")
-def infer_objects(t):
+def map_objects(t):
     from ..operators.inference import infer_objects
 
     nodes = t.node.withColumn("amenity", F.when(F.col("node_id") % 5 == 0, "bench").when(F.col("node_id") % 5 == 1, "post_box"))
     tags = F.when(F.col("node_id") % 7 == 0, F.create_map(F.lit("highway"), F.lit("street_lamp"))).otherwise(F.create_map(F.lit("power"), F.lit("tower")))
     verts = t.line_vertex.select(F.col("line_id").alias("way_id"), "seq", "lat", "lon", F.when(F.col("category") % 3 == 0, "Path").otherwise("Primary").alias("cls"))
-    return infer_objects(nodes.where(F.col("amenity").isNotNull()), nodes.withColumn("tags", tags), verts).select("object_id", "kind", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+    return infer_objects(nodes.where(F.col("amenity").isNotNull()), nodes.withColumn("tags", tags), verts)
+
+
+@query("infer_objects")
+def infer_objects(t):
+    return map_objects(t).select("object_id", "kind", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))

@@ -267,6 +267,17 @@ def coast_cells(t):
     return sj.rasterize_lines(sj.explode_segments(t.lines), GRID).select("r", "c").distinct()
 
 
+@query("coast_distance_far", f"""select x.r, x.c, round(least(min(d.dist_m),50000e0),4) coast_m from (select r, c, -27.6e0+r*0.0015e0 lat, 153e0+c*0.0015e0 lon from dem_cell) x
+    join (select a_lat-0.1e0 a_lat, a_lon-0.2e0 a_lon, b_lat-0.1e0 b_lat, b_lon-0.2e0 b_lon from {SEG_SQL} k where line_id % 8 = 0) s on true, lateral (select {dist_t_sql('x.lat', 'x.lon', True).replace('a_l', 's.a_l').replace('b_l', 's.b_l')}) d group by x.r, x.c""")
+def coast_distance_far(t):
+    """A grid that no shore crosses: distances to shore segments outside it."""
+    cells = t.dem_cell.select("region", "r", "c", (F.col("r") * 0.0015 - 27.6).alias("lat"), (F.col("c") * 0.0015 + 153.0).alias("lon"), F.lit(False).alias("coast"))
+    away = F.transform("line", lambda p: F.struct((p["lat"] - 0.1).alias("lat"), (p["lon"] - 0.2).alias("lon")))
+    shores = sj.explode_segments(t.lines.where("line_id % 8 = 0").withColumn("line", away))
+    out = raster.coast_distance(cells, 0.0015, segments=shores)
+    return out.select("r", "c", F.round("coast_m", 4).alias("coast_m"))
+
+
 # ---------------------------------------------------------------------------------------------------------
 # Reservoirs, ground and components
 # ---------------------------------------------------------------------------------------------------------
@@ -320,9 +331,15 @@ def polygon_components(t):
     return sj.components(t.polygons, edges, "poly_id")
 
 
+def spread_heights(t):
+    """Heights on cells all over the grid at any scale."""
+    place = F.col("o_orderkey") * 17 % (GRID.rows * GRID.cols)
+    return t.orders.select(big(F.floor(place / GRID.cols)).alias("r"), (place % GRID.cols).alias("c"), (F.col("o_totalprice") / 10000.0).alias("z")).groupBy("r", "c").agg(F.min("z").alias("z"))
+
+
 @query("engineered_ground")
 def engineered_ground(t):
     from ..operators.ground import engineered_ground
 
-    out = engineered_ground(areas(t), heights(t), GRID)
+    out = engineered_ground(areas(t), spread_heights(t), GRID)
     return out.select("r", "c", F.round("level_m", 6).alias("level_m"), F.round("strength", 6).alias("strength"))
