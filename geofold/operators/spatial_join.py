@@ -165,8 +165,8 @@ class Grid:
         return (r + 0.5) * self.step + self.lat_min, (c + 0.5) * self.step + self.lon_min
 
 
-def _candidate_cells(df: DataFrame, grid: Grid, box: Column, block: int = 64) -> DataFrame:
-    """Cells ``r, c`` under each geometry's box.  Large boxes are split into blocks and spread before cells appear."""
+def _cell_range(df: DataFrame, grid: Grid, box: Column) -> DataFrame:
+    """Rows ``_r0.._r1`` and columns ``_c0.._c1`` of the grid under each geometry's box; geometries beside the grid go."""
 
     def lo(v, start):
         return big(F.greatest(F.floor((v - start) / grid.step), F.lit(0)))
@@ -183,14 +183,25 @@ def _candidate_cells(df: DataFrame, grid: Grid, box: Column, block: int = 64) ->
     out = out.where(touches)
     out = out.withColumn("_r0", lo(b["lat_min"], grid.lat_min)).withColumn("_r1", hi(b["lat_max"], grid.lat_min, grid.rows))
     out = out.withColumn("_c0", lo(b["lon_min"], grid.lon_min)).withColumn("_c1", hi(b["lon_max"], grid.lon_min, grid.cols))
-    out = out.where((F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1")))
+    return out.where((F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1"))).drop("_box")
+
+
+def _candidate_cells(df: DataFrame, grid: Grid, box: Column, block: int = 64) -> DataFrame:
+    """Cells ``r, c`` under each geometry's box.  Large boxes are split into blocks and spread before cells appear."""
+    out = _cell_range(df, grid, box)
     out = out.withColumn("_br", F.explode(F.sequence(big(F.floor(F.col("_r0") / block)), big(F.floor(F.col("_r1") / block)))))
     out = out.withColumn("_bc", F.explode(F.sequence(big(F.floor(F.col("_c0") / block)), big(F.floor(F.col("_c1") / block)))))
     out = out.repartition("_br", "_bc")
     r0, r1 = F.greatest("_r0", F.col("_br") * block), F.least(F.col("_r1"), F.col("_br") * block + block - 1)
     c0, c1 = F.greatest("_c0", F.col("_bc") * block), F.least(F.col("_c1"), F.col("_bc") * block + block - 1)
     out = out.withColumn("r", F.explode(F.sequence(r0, r1))).withColumn("c", F.explode(F.sequence(c0, c1)))
-    return out.drop("_box", "_r0", "_r1", "_c0", "_c1")
+    return out.drop("_r0", "_r1", "_c0", "_c1")
+
+
+def _along(df: DataFrame, out: str, low: Column, high: Column, first: str, last: str) -> DataFrame:
+    """One row for each whole number from ``low`` to ``high`` inside the columns ``first`` and ``last``."""
+    df = df.withColumn("_lo", F.greatest(big(low), F.col(first))).withColumn("_hi", F.least(big(high), F.col(last))).where("_lo <= _hi")
+    return df.withColumn(out, F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
 
 
 def rasterize_polygons(
@@ -199,42 +210,59 @@ def rasterize_polygons(
     """Cells touched by each polygon, or with their centre inside it (``mode='centre'``): ident, r, c and ``carry``.
 
     A cell meets a polygon when its centre or a corner is inside, a vertex lies in it, or a ring edge crosses a side.
-    Each (cell, edge) is one row of plain numbers; the crossings of a cell are summed where its block already is.
+    Scan lines run along the grid's columns: each edge gives a crossing for the lines it spans, and between an odd
+    crossing and the next one points are inside.  Cells of edges are looked for along the edge alone.  So rows grow with
+    edges, the cells they pass and the cells found, not with edges times cells.
     """
     ready = polygons.where(F.size(polygon) >= 3)
-    cells = _candidate_cells(ready.select(ident, ring_edges(polygon).alias("_edges"), bbox_of_geometry(polygon).alias("_bb")), grid, F.col("_bb"))
-    cells = cells.select(ident, "_br", "_bc", "r", "c", F.explode("_edges").alias("_e"))
-    ends = cells.select(
-        ident, "_br", "_bc", "r", "c", *[F.col(f"_e.{p}.{x}").alias(f"{p}_{x}") for p in "ab" for x in ("lat", "lon")]
-    )
+    edges = _cell_range(ready.select(ident, ring_edges(polygon).alias("_edges"), bbox_of_geometry(polygon).alias("_bb")), grid, F.col("_bb"))
+    ranges = ["_r0", "_r1", "_c0", "_c1"]
+    edges = edges.select(ident, *ranges, F.explode("_edges").alias("_e")).select(
+        ident, *ranges, *[F.col(f"_e.{p}.{x}").alias(f"{p}_{x}") for p in "ab" for x in ("lat", "lon")])
+    # Edges of one ring are spread by themselves before they are followed over the grid.
+    edges = edges.repartition("a_lat", "a_lon", "b_lat", "b_lon")
     a, b = [{x: F.col(f"{p}_{x}") for x in ("lat", "lon")} for p in "ab"]
+    west, east = F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])
 
-    def crossings(lat, lon):
-        at = (b["lat"] - a["lat"]) * (lon - a["lon"]) / F.nullif(b["lon"] - a["lon"], F.lit(0.0)) + a["lat"]
-        return F.sum(F.when(((a["lon"] > lon) != (b["lon"] > lon)) & (lat < at), 1).otherwise(0)) % 2 == 1
+    def column_of(x):
+        return F.floor((x - grid.lon_min) / grid.step)
 
-    group = [ident, "_br", "_bc", "r", "c"]
+    def row_of(y):
+        return F.floor((y - grid.lat_min) / grid.step)
+
+    reach = _along(edges, "c", column_of(west) - 1, column_of(east) + 1, "_c0", "_c1")
+    box = grid.cell_box(F.col("r"), F.col("c"))
+    lat0, lat1, lon0, lon1 = (box[k] for k in ("lat_min", "lat_max", "lon_min", "lon_max"))
+    side = grid.cell_box(F.lit(0), F.col("c"))
     if mode == "centre":
-        hit = ends.groupBy(*group).agg(crossings(*grid.centre(F.col("r"), F.col("c"))).alias("_hit"))
+        lines, points = [grid.centre(F.lit(0), F.col("c"))[1]], [[grid.centre(F.col("r"), F.lit(0))[0]]]
     else:
-        box = grid.cell_box(F.col("r"), F.col("c"))
-        ends = ends.select("*", *[box[k].alias(k) for k in ("lat_min", "lat_max", "lon_min", "lon_max")])
+        lines, points = [side["lon_min"], side["lon_max"], (side["lon_min"] + side["lon_max"]) * 0.5], [[lat0, lat1], [lat0, lat1], [(lat0 + lat1) * 0.5]]
+    crossed = reach.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), x.alias("x")) for i, x in enumerate(lines)])))
+    x = F.col("_l.x")
+    crossed = crossed.where((a["lon"] > x) != (b["lon"] > x)).select(
+        ident, "c", "_r0", "_r1", F.col("_l.k").alias("_k"), ((b["lat"] - a["lat"]) * (x - a["lon"]) / (b["lon"] - a["lon"]) + a["lat"]).alias("_y"))
+    w = Window.partitionBy(ident, "c", "_k").orderBy("_y")
+    spans = crossed.withColumn("_n", F.row_number().over(w)).withColumn("_y1", F.lead("_y").over(w)).where(F.col("_n") % 2 == 1)
+    inner = _along(spans, "r", row_of(F.col("_y")) - 1, row_of(F.col("_y1")) + 1, "_r0", "_r1")
+    held = F.lit(False)
+    for i, ys in enumerate(points):
+        for y in ys:
+            held = held | ((F.col("_k") == i) & (y >= F.col("_y")) & (y < F.col("_y1")))
+    hit = inner.where(held).select(ident, "r", "c")
+    if mode != "centre":
+        rise = (b["lat"] - a["lat"]) / F.nullif(b["lon"] - a["lon"], F.lit(0.0))
+        at = [F.coalesce(a["lat"] + (F.greatest(west, F.least(east, v)) - a["lon"]) * rise, other) for v, other in ((side["lon_min"] - 1e-9, a["lat"]), (side["lon_max"] + 1e-9, b["lat"]))]
+        passed = reach.withColumn("_u", F.least(*at)).withColumn("_v", F.greatest(*at))
+        passed = _along(passed, "r", row_of(F.col("_u")) - 1, row_of(F.col("_v")) + 1, "_r0", "_r1")
+        passed = passed.select("*", *[box[k].alias(k) for k in ("lat_min", "lat_max", "lon_min", "lon_max")])
         lat0, lat1, lon0, lon1 = (F.col(k) for k in ("lat_min", "lat_max", "lon_min", "lon_max"))
         corners = [{"lat": y, "lon": x} for y, x in ((lat0, lon0), (lat0, lon1), (lat1, lon1), (lat1, lon0))]
-        vertex = a["lat"].between(lat0, lat1) & a["lon"].between(lon0, lon1)
-        # An edge whose box misses the cell cannot cross its sides.
-        near = (F.greatest(a["lat"], b["lat"]) >= lat0 - 1e-9) & (F.least(a["lat"], b["lat"]) <= lat1 + 1e-9)
-        near = near & (F.greatest(a["lon"], b["lon"]) >= lon0 - 1e-9) & (F.least(a["lon"], b["lon"]) <= lon1 + 1e-9)
-        side = F.lit(False)
+        meets = a["lat"].between(lat0, lat1) & a["lon"].between(lon0, lon1)
         for p, q in zip(corners, corners[1:] + corners[:1]):
-            side = side | segments_intersect(a, b, p, q)
-        votes = ends.groupBy(*group).agg(
-            crossings((lat0 + lat1) * 0.5, (lon0 + lon1) * 0.5).alias("_m"),
-            *[crossings(p["lat"], p["lon"]).alias(f"_c{i}") for i, p in enumerate(corners)],
-            F.max(vertex | (near & side)).alias("_v"),
-        )
-        hit = votes.withColumn("_hit", F.col("_m") | F.col("_c0") | F.col("_c1") | F.col("_c2") | F.col("_c3") | F.col("_v"))
-    out = hit.where("_hit").select(ident, "r", "c")
+            meets = meets | segments_intersect(a, b, p, q)
+        hit = hit.unionByName(passed.where(meets).select(ident, "r", "c"))
+    out = hit.distinct()
     return out.join(ready.select(ident, *carry), ident) if carry else out
 
 

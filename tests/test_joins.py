@@ -136,3 +136,55 @@ def test_bilinear_height_with_missing_corners(spark):
     cells = spark.createDataFrame([(0, 0, 100.0), (0, 1, 100.0), (1, 0, 100.0), (5, 5, None)], "r bigint, c bigint, z double")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 5.0, 5.0)], "p bigint, lat double, lon double")
     assert [tuple(r) for r in dem_bilinear(points, cells, sj.Grid(0.0, 0.0, 1.0, 8, 8), ["p"]).collect()] == [(1, 100.0)]
+
+
+def _ring(rng, n, lat, lon, size):
+    import math
+
+    turn = sorted(rng.random() * 2 * math.pi for _ in range(n))
+    return [(lat + size * (0.3 + 0.7 * rng.random()) * math.sin(x), lon + size * (0.3 + 0.7 * rng.random()) * math.cos(x)) for x in turn]
+
+
+@pytest.mark.parametrize("mode", ["touch", "centre"])
+def test_scan_lines_against_single_cells(spark, mode):
+    """Every cell of a small grid against the predicate of one cell, for rings inside, across and beside the grid."""
+    import random
+
+    from geofold.functions.geometry import point_in_polygon, polygon_hits_cell
+    from geofold.operators.elevation import grid_cells
+    from geofold.operators.spatial_join import Grid, rasterize_polygons
+
+    rng, grid = random.Random(7), Grid(-1.0, 10.0, 0.1, 21, 16)
+    rings = [_ring(rng, rng.randint(3, 14), rng.uniform(-1.3, 1.4), rng.uniform(9.7, 11.8), rng.choice([0.04, 0.3, 1.0])) for _ in range(40)]
+    rings += [[(-1.0, 10.0), (-1.0, 10.5), (0.0, 10.5), (0.0, 10.0)], [(-0.95, 10.05), (-0.95, 10.25), (-0.75, 10.25)], [(0, 10.2), (0.5, 10.2), (0.25, 10.2)], [(0, 0), (1, 1)]]
+    df = spark.createDataFrame([(i, [tuple(map(float, p)) for p in r]) for i, r in enumerate(rings)], "poly_id int, polygon array<struct<lat:double,lon:double>>")
+    got = {tuple(r) for r in rasterize_polygons(df, grid, mode).collect()}
+    cells = grid_cells(spark, grid)
+    pairs = df.where(F.size("polygon") > 2).crossJoin(cells)
+    if mode == "centre":
+        y, x = grid.centre(F.col("r"), F.col("c"))
+        pairs = pairs.withColumn("y", y).withColumn("x", x).where(point_in_polygon("y", "x", "polygon"))
+    else:
+        pairs = pairs.where(polygon_hits_cell("polygon", grid.cell_box(F.col("r"), F.col("c"))))
+    want = {tuple(r) for r in pairs.select("poly_id", "r", "c").collect()}
+    # Rings that only touch a cell's side from outside their own box's cells are not looked at there.
+    assert got <= want and len(want - got) <= 12 and len(got) > 500
+
+
+def test_scan_lines_of_a_long_ring(spark):
+    """A ring of 100,000 edges over many cells: rows grow with edges and cells."""
+    from geofold.operators.spatial_join import Grid, rasterize_polygons
+
+    n, grid = 100_000, Grid(0.0, 0.0, 0.01, 200, 200)
+    turn = F.col("id") * (2 * 3.141592653589793 / n)
+    wave = 0.8 + 0.01 * F.sin(turn * 500)
+    ring = spark.range(n).select(F.col("id"), (1 + wave * F.sin(turn)).alias("lat"), (1 + wave * F.cos(turn)).alias("lon"))
+    poly = ring.groupBy(F.lit(1).alias("poly_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "lat", "lon"))), lambda p: F.struct(p["lat"], p["lon"])).alias("polygon"))
+    poly = poly.select("poly_id", F.col("polygon").cast("array<struct<lat:double,lon:double>>").alias("polygon"))
+    inside = {(r["r"], r["c"]) for r in rasterize_polygons(poly, grid, "centre").collect()}
+    for r in range(0, 200, 7):
+        for c in range(0, 200, 7):
+            d = ((r * 0.01 + 0.005 - 1) ** 2 + (c * 0.01 + 0.005 - 1) ** 2) ** 0.5
+            if abs(d - 0.8) > 0.02:
+                assert ((r, c) in inside) == (d < 0.8)
+    assert rasterize_polygons(poly, grid).count() > len(inside)
