@@ -14,6 +14,7 @@ from ..functions.geometry import (
     bbox_of_geometry, bbox_overlap, centroid_vertex_mean, in_bbox, is_closed, near_polyline_deg, point,
     point_in_polygon, tile_keys_of_bbox,
 )
+from ..session import cut_lineage
 from .skew import salted_join
 
 POINTS = "array<struct<lat:double,lon:double>>"
@@ -165,31 +166,48 @@ def chunk_features(chunks: DataFrame, tiled: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["chunk_id", "layer", "feature_id"]).drop("_box", "own", "tile_s", "tile_w")
 
 
-def gap_bridge(chunks: DataFrame, water_tiled: DataFrame, max_steps: int = 8) -> DataFrame:
+def _first_wet(lined: DataFrame, wet: DataFrame, max_steps: int | None) -> DataFrame:
+    """The first wet tile of each chunk in both directions.  Rounds take twice the steps of the one before and only what
+    has found nothing and can still meet the wet tiles' box."""
+    pitch = TILE_DEG * 1.2
+    ends = wet.agg(*[f(c) for c in ("tile_s", "tile_w") for f in (F.min, F.max)]).first()
+    s0, s1, w0, w1 = (v if v is not None else 0 for v in ends)  # without water nothing is found, however far
+    reach = [F.greatest(F.abs(F.col(v) - lo * TILE_DEG), F.abs(F.lit((hi + 1) * TILE_DEG) - F.col(v))) for v, lo, hi in (("lat", s0, s1), ("lon", w0, w1))]
+    far = F.ceil(F.sqrt(reach[0] * reach[0] + reach[1] * reach[1]) / pitch)
+    left = lined.withColumn("_far", far if max_steps is None else F.least(far, F.lit(max_steps)))
+    left = cut_lineage(left.select(*lined.columns, "_far", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")))
+    found, low, many = None, 1, 8
+    while True:
+        steps = (
+            left.where(F.col("_far") >= low).withColumn("step", F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.col("_far"), F.lit(low + many - 1).cast("bigint")))))
+            .withColumn("_off", F.col("step") * pitch * F.col("side"))
+            .withColumn("tile_s", tile_key(F.col("lat") + F.col("ux") * F.col("_off")))
+            .withColumn("tile_w", tile_key(F.col("lon") + F.col("uy") * F.col("_off")))
+            .where((F.col("tile_s") != tile_key("lat")) | (F.col("tile_w") != tile_key("lon")))
+        )
+        near = cut_lineage(
+            steps.join(wet, ["tile_s", "tile_w"], "left_semi").groupBy("chunk_id", "side")
+            .agg(F.min_by(F.struct("tile_s", "tile_w", "lat", "lon", "ux", "uy"), "step").alias("_f")).select("chunk_id", "side", "_f.*")
+        )
+        found = near if found is None else found.unionByName(near)
+        low, many = low + many, 2 * many
+        left = cut_lineage(left.where(F.col("_far") >= low).join(near.select("chunk_id", "side"), ["chunk_id", "side"], "left_anti"))
+        if left.isEmpty():
+            return found
+
+
+def gap_bridge(chunks: DataFrame, water_tiled: DataFrame, max_steps: int | None = None) -> DataFrame:
     """Quad joining the water before and after a chunk along its centreline.
 
     ``chunks``: chunk_id, lat, lon (centre), first_lat, first_lon, last_lat, last_lon of its lines.
-    ``water_tiled``: water features by tile with ``geom``.  The first tile with water in each direction counts.
+    ``water_tiled``: water features by tile with ``geom``.  The first tile with water in each direction counts, however
+    far, or within ``max_steps`` steps of 1.2 tiles.
     """
     dlat, dlon = F.col("last_lat") - F.col("first_lat"), F.col("last_lon") - F.col("first_lon")
     length = F.sqrt(dlat * dlat + dlon * dlon)
     lined = chunks.withColumn("_len", length).where(F.col("_len") >= 1e-10)
     lined = lined.select("chunk_id", "lat", "lon", (dlat / F.col("_len")).alias("ux"), (dlon / F.col("_len")).alias("uy"))
-    steps = (
-        lined.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
-        .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(max_steps))))
-        .withColumn("_off", F.col("step") * (TILE_DEG * 1.2) * F.col("side"))
-        .withColumn("tile_s", tile_key(F.col("lat") + F.col("ux") * F.col("_off")))
-        .withColumn("tile_w", tile_key(F.col("lon") + F.col("uy") * F.col("_off")))
-        .where((F.col("tile_s") != tile_key("lat")) | (F.col("tile_w") != tile_key("lon")))
-    )
-    wet = water_tiled.select("tile_s", "tile_w").distinct()
-    first = (
-        steps.join(wet, ["tile_s", "tile_w"], "left_semi")
-        .groupBy("chunk_id", "side")
-        .agg(F.min_by(F.struct("tile_s", "tile_w", "lat", "lon", "ux", "uy"), "step").alias("_f"))
-        .select("chunk_id", "side", "_f.*")
-    )
+    first = _first_wet(lined, water_tiled.select("tile_s", "tile_w").distinct(), max_steps)
     verts = water_tiled.select("tile_s", "tile_w", F.explode("geom").alias("p"))
     along = F.col("p.lat") * F.col("ux") + F.col("p.lon") * F.col("uy")
     across = F.col("p.lon") * F.col("ux") - F.col("p.lat") * F.col("uy")

@@ -116,12 +116,12 @@ def vegetation(t):
     return co.vegetation(terrain).groupBy("cx", "cz", "material").agg(F.sum(F.col("y1") - F.col("y0") + 1).alias("n"))
 
 
-@query("voxel_edits_apply", f"""with w as (select * from (select op_id*7 % 125 vx, op_id % 1200 vz, cast(op_id*13 % 170 as bigint) vy, material, op_id from op_log) e qualify row_number() over (partition by vx, vz, vy order by op_id desc)=1),
+@query("voxel_edits_apply", f"""with w as (select * from (select op_id*7 % 125 vx, op_id % (select max(r)+1 from dem_cell) vz, cast(op_id*13 % 170 as bigint) vy, material, op_id from op_log) e qualify row_number() over (partition by vx, vz, vy order by op_id desc)=1),
    b as (select vx, vz, material, unnest(range(y0, y1+1)) y from {RUNS} k), c as (select distinct vx, vz from b),
    m as (select coalesce(b.vx,w.vx) vx, coalesce(b.vz,w.vz) vz, case when w.vx is not null then w.material else b.material end material from b full join (select w.* from w join c on c.vx=w.vx and c.vz=w.vz) w on w.vx=b.vx and w.vz=b.vz and w.vy=b.y)
    select vx, vz, material, count(*) n from m where material<>'AIR' group by vx, vz, material""")
 def voxel_edits_apply(t):
-    win = t.sql("select op_id*7 % 125 vx, op_id % 1200 vz, cast(op_id*13 % 170 as bigint) vy, material, op_id, author, lamport from op_log")
+    win = t.sql("select op_id*7 % 125 vx, op_id % (select max(r)+1 from dem_cell) vz, cast(op_id*13 % 170 as bigint) vy, material, op_id, author, lamport from op_log")
     from ..operators.oplog import lww_register
 
     win = lww_register(win.withColumn("lamport", F.col("op_id")))

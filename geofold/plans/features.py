@@ -149,7 +149,7 @@ def chunk_features(t):
 
 GAP = """with c as (select site_id chunk_id, lat, lon, ux/l ux, uy/l uy from (select s.*, v4.lat-v1.lat ux, v4.lon-v1.lon uy, sqrt(power(v4.lat-v1.lat,2e0)+power(v4.lon-v1.lon,2e0)) l from site s
      join line_vertex v1 on v1.line_id=s.site_id and v1.seq=1 join line_vertex v4 on v4.line_id=s.site_id and v4.seq=4) q),
-   steps as (select c.*, side, step, cast(floor((lat+ux*step*0.012e0*side)/0.01e0) as bigint) ts, cast(floor((lon+uy*step*0.012e0*side)/0.01e0) as bigint) tw from c, (select -1 side union all select 1) a, range(1,9) r(step)),
+   steps as (select c.*, side, step, cast(floor((lat+ux*step*0.012e0*side)/0.01e0) as bigint) ts, cast(floor((lon+uy*step*0.012e0*side)/0.01e0) as bigint) tw from c, (select -1 side union all select 1) a, range(1,60) r(step)),
    w as (select poly_id, min(lat) lat0, max(lat) lat1, min(lon) lon0, max(lon) lon1 from poly_vertex where poly_id % 3 = 0 group by poly_id),
    tiled as (select poly_id, tile_s, tile_w from w, {tiles}),
    first as (select chunk_id, side, arg_min(ts,step) ts, arg_min(tw,step) tw, any_value(lat) lat, any_value(lon) lon, any_value(ux) ux, any_value(uy) uy from steps s

@@ -43,7 +43,7 @@ def stream_lww(ops: DataFrame, name: str = "lww") -> DataFrame:
         rows = batch.select(*cols)
         return ol.lww_register(rows if table is None else table.select(*cols).unionByName(rows))
 
-    return run_upserts(ops, name, merge)
+    return run_upserts(ops, name, merge, ["vx", "vy", "vz"])
 
 
 def stream_late_ops(ops: DataFrame, name: str = "late") -> tuple[DataFrame, DataFrame]:
@@ -68,7 +68,7 @@ def offender_block(denied: DataFrame, limit: int = 5, name: str = "offenders") -
         both = new if table is None else table.unionByName(new)
         return both.groupBy("author").agg(F.sum("denied").alias("denied"))
 
-    return run_upserts(denied, name, merge).where(F.col("denied") >= limit)
+    return run_upserts(denied, name, merge, ["author"]).where(F.col("denied") >= limit)
 
 
 POSITION_OUT = "peer bigint, seq bigint, ms bigint, x double, y double, z double, yaw double, pitch double, mode string"
@@ -141,6 +141,46 @@ def presence_timeout(positions: DataFrame, silent: str = f"{STALE_MS // 1000} se
     return s.select("peer", F.col("_s.start").alias("start"), "last_ts", "n")
 
 
+PRESENCE_OUT = "peer bigint, event string, at timestamp"
+
+
+def presence_events(positions: DataFrame, silent_ms: int = STALE_MS, late: str = LATE) -> DataFrame:
+    """``here`` when a peer appears and ``gone`` when ``silent_ms`` have passed since its last position, by event-time timers.
+
+    ``positions``: peer, ts.  A peer's state is the time of its last position and one timer; the timer fires when the
+    watermark (``late`` behind the newest position of any peer) passes it, also without new rows of the peer.  Rows
+    that come late, but before the watermark, move nothing back; of one batch only silences between rows are told.
+    """
+    def told(peer, rows: list[tuple[str, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"peer": peer, "event": [e for e, _ in rows], "at": pd.to_datetime([t for _, t in rows], unit="ms")}, columns=["peer", "event", "at"])
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield told(key[0], [("gone", last + silent_ms)])
+            return
+        last, out = (state.get[0] if state.exists else None), []
+        times = np.sort(np.concatenate([b["ts"].to_numpy().astype("datetime64[ms]").astype(np.int64) for b in batches]))
+        for t in times[np.concatenate([[True], times[1:] != times[:-1]])].tolist():
+            if last is not None and t > last + silent_ms:
+                out.append(("gone", last + silent_ms))
+            if last is None or t > last + silent_ms:
+                out.append(("here", t))
+            last = t if last is None else max(last, t)
+        if last + silent_ms <= state.getCurrentWatermarkMs():
+            out.append(("gone", last + silent_ms))
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last,))
+            state.setTimeoutTimestamp(last + silent_ms)
+        yield told(key[0], out)
+
+    seen = positions.select("peer", "ts").withWatermark("ts", late)
+    return seen.groupBy("peer").applyInPandasWithState(step, PRESENCE_OUT, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def link_profile(samples: DataFrame) -> DataFrame:
     """Profile of each link after each sample; state is the last four samples and the automaton's state number."""
     coded = samples.select("link", "seq", "rtt_ms")
@@ -204,7 +244,7 @@ def content_feed(items: DataFrame, keep: int = 200, name: str = "content") -> Da
         rows = good if table is None else table.drop("rank").unionByName(good)
         return dr.section_top_n(rows.dropDuplicates(["id"]), keep)
 
-    return run_upserts(items, name, merge)
+    return run_upserts(items, name, merge, ["section"])
 
 
 def key_feed(events: DataFrame, name: str = "keys") -> DataFrame:
@@ -224,7 +264,7 @@ def key_feed(events: DataFrame, name: str = "keys") -> DataFrame:
         first = rows.where("kind = 'revoke'").groupBy("peer", "by").agg(F.min_by(F.struct("kind", "updated_at", "seq", "key_type", "reason"), "seq").alias("_r")).select("peer", "by", "_r.*")
         return latest.unionByName(first)
 
-    table = run_upserts(events, name, merge)
+    table = run_upserts(events, name, merge, ["peer"])
     records = table.where("kind = 'record'").select("peer", "updated_at", "seq", "key_type", F.lit(False).alias("revoked"))
     sent = table.where("kind = 'revoke'").select(F.col("peer").alias("target"), "by", F.col("seq").alias("at"), "reason")
     return dr.revoke_keys(records, sent).select("peer", "updated_at", "seq", "key_type", "revoked")
@@ -236,4 +276,4 @@ def pull_feed(rows: DataFrame, key: str, order: list[str], name: str = "pull") -
     def merge(table, batch):
         return dr.latest_key_record(batch if table is None else table.unionByName(batch), key, order)
 
-    return run_upserts(rows, name, merge)
+    return run_upserts(rows, name, merge, [key])

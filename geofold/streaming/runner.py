@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 from ..sources.sinks import new_folder
@@ -30,24 +31,54 @@ def run_to_parquet(stream: DataFrame, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/data")
 
 
-def run_upserts(stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Drain the available input into a table, merging each batch by ``merge(table or None, batch)``.
+#: Hash buckets of an upserted table; a batch rewrites those its keys fall in.
+BUCKETS = 16
 
-    Every batch writes a new version of the table and names it after the batch, so a replayed batch rebuilds the same
-    version from the one before and nothing is applied twice.
+
+def run_upserts(
+    stream: DataFrame, name: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], key: Sequence[str], mode: str = "append", buckets: int = BUCKETS,
+) -> DataFrame:
+    """Drain the available input into a table hashed by ``key``, merging each batch by ``merge(rows or None, batch)``.
+
+    ``merge`` must treat keys by themselves and keep the table's key columns.  A batch reads and rewrites the buckets its
+    rows fall in and no others, so its cost does not grow with the table if there are enough buckets.  Each bucket has
+    two slots: a batch writes the one not in use and then a small list of the slots in use, so a replayed batch starts
+    from the list before its own and writes the same again, and a bucket's older version goes when the next one is
+    written over it.
     """
     spark = stream.sparkSession
     base = new_folder(shared_dir(spark), name)
+    table, latest = f"{base}/table", {"i": None}
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
-    def version(i: int) -> str:
-        return f"{base}/table/v{i}"
+    def slots(s: SparkSession, i: int) -> dict[int, int]:
+        return {} if i < 0 else {r["bucket"]: r["slot"] for r in s.read.parquet(f"{base}/slots/{i % 2}").collect()}  # one row a bucket
 
-    latest = {"i": None}
+    def held(s: SparkSession, used: dict[int, int]) -> DataFrame:
+        place = F.concat_ws(".", "slot", "bucket")
+        rows = s.read.parquet(table).where(place.isin([f"{slot}.{b}" for b, slot in used.items()]) & F.col("_live"))
+        return rows.drop("slot", "bucket", "_live")
 
     def apply(batch: DataFrame, i: int) -> None:
         s = batch.sparkSession
-        before = s.read.parquet(version(i - 1)) if i > 0 else None
-        merge(before, batch).write.mode("overwrite").parquet(version(i))
+        before = slots(s, i - 1)
+        batch = batch.persist()
+        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]
+        known = {b: before[b] for b in touched if b in before}
+        out = merge(held(s, known) if known else None, batch).withColumn("bucket", bucket).withColumn("_live", F.lit(True))
+        # A row of its own for each bucket, so that one left empty is written over, too.
+        marks = s.createDataFrame([(b,) for b in touched], "bucket int").withColumn("_live", F.lit(False))
+        slot = F.lit(0)
+        for b, at in known.items():
+            slot = F.when(F.col("bucket") == b, 1 - at).otherwise(slot)
+        out = out.unionByName(marks, allowMissingColumns=True).withColumn("slot", slot)
+        (
+            out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("slot", "bucket").parquet(table)
+        )
+        after = {**before, **{b: 1 - before.get(b, 1) for b in touched}}
+        s.createDataFrame(sorted(after.items()), "bucket int, slot int").coalesce(1).write.mode("overwrite").parquet(f"{base}/slots/{i % 2}")
+        batch.unpersist()
         latest["i"] = i
 
     q = (
@@ -57,4 +88,4 @@ def run_upserts(stream: DataFrame, name: str, merge: Callable[[DataFrame | None,
     q.awaitTermination()
     if latest["i"] is None:
         raise RuntimeError(f"stream {name} had no input")
-    return spark.read.parquet(version(latest["i"]))
+    return held(spark, slots(spark, latest["i"]))

@@ -188,3 +188,16 @@ def test_scan_lines_of_a_long_ring(spark):
             if abs(d - 0.8) > 0.02:
                 assert ((r, c) in inside) == (d < 0.8)
     assert rasterize_polygons(poly, grid).count() > len(inside)
+
+
+def test_gap_of_many_tiles(spark):
+    """Water twenty tiles before a chunk and fifty after it is bridged; with a limit of steps it is not."""
+    from geofold.operators import features as ft
+
+    chunks = spark.createDataFrame([(1, 0.005, 0.005, 0.0, 0.0, 0.0, 1.0), (2, 5.005, 0.005, 0.0, 0.0, 0.0, 1.0)], "chunk_id int, lat double, lon double, first_lat double, first_lon double, last_lat double, last_lon double")
+    pond = lambda w: [(0.002, w), (0.008, w), (0.008, w + 0.004), (0.002, w + 0.004)]
+    water = spark.createDataFrame([(1, pond(-0.237)), (2, pond(0.603))], "poly_id int, geom array<struct<lat:double,lon:double>>")
+    wet = ft.features_to_tiles(water)
+    got = ft.gap_bridge(chunks, wet).collect()
+    assert [r["chunk_id"] for r in got] == [1] and {round(p["lon"], 3) < 0 for p in got[0]["quad"]} == {True, False}
+    assert ft.gap_bridge(chunks, wet, max_steps=8).count() == 0

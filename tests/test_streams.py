@@ -91,3 +91,52 @@ def test_smoothing_does_not_depend_on_batches(spark, tmp_path):
         df.where((F.col("lamport") >= lo) & (F.col("lamport") < hi)).coalesce(1).write.mode("append").parquet(path)
     got = run_to_parquet(jobs.position_smooth(parquet_stream(spark, path, files_per_trigger=1)), "smooth")
     assert sorted(tuple(round(v, 9) for v in r) for r in got.collect()) == want
+
+
+def test_upserts_rewrite_touched_buckets_alone(spark, tmp_path):
+    """Batches of few keys leave the other buckets' files; emptied buckets and replays come out right."""
+    import os
+
+    from geofold.streaming.runner import run_upserts
+
+    path = str(tmp_path / "u")
+    for i in range(6):  # files in the order of their time: many keys, then one key a batch, then a removal
+        rows = [(k, 0) for k in range(200)] if i == 0 else [(7, -1 if i == 5 else i)]
+        spark.createDataFrame(rows, "k bigint, v int").coalesce(1).write.mode("append").parquet(path)
+        for f in os.listdir(path):
+            if f.endswith(".parquet") and not os.path.exists(f"{path}/{f}.seen"):
+                os.utime(f"{path}/{f}", (1_000_000 + i * 60, 1_000_000 + i * 60))
+                open(f"{path}/{f}.seen", "w").close()
+    read, written = [], []
+
+    def merge(table, batch):
+        read.append(0 if table is None else table.count())
+        both = batch if table is None else table.unionByName(batch)
+        best = both.groupBy("k").agg(F.max("v").alias("v"), F.min("v").alias("low")).where("low >= 0 or k <> 7").select("k", "v")
+        written.append(best.count())
+        return best
+
+    out = run_upserts(parquet_stream(spark, path, files_per_trigger=1), "u", merge, ["k"], buckets=50)
+    got = {r["k"]: r["v"] for r in out.collect()}
+    assert got == {k: 0 for k in range(200) if k != 7}
+    assert written[0] == 200 and read[0] == 0 and max(read[1:]) < 20 and max(written[1:]) < 20 and len(read) == 6
+
+
+def test_presence_timers(spark, tmp_path):
+    """A silent peer is told gone by the others' time; a late row moves nothing; a peer that comes back is told again."""
+    import os
+
+    path = str(tmp_path / "p")
+    batches = [[(1, 0), (2, 0)], [(2, 4)], [(2, 3), (2, 9), (3, 9)], [(3, 60)], [(1, 61), (3, 100)], [(3, 200)]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "peer bigint, s bigint").select("peer", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        for f in os.listdir(path):
+            if f.endswith(".parquet") and not os.path.exists(f"{path}/{f}.seen"):
+                os.utime(f"{path}/{f}", (1_000_000 + i * 60, 1_000_000 + i * 60))
+                open(f"{path}/{f}.seen", "w").close()
+    out = run_to_parquet(jobs.presence_events(parquet_stream(spark, path, files_per_trigger=1), 5_000, "1 second"), "presence")
+    got = sorted((r["peer"], r["s"], r["event"]) for r in out.select("peer", "event", (F.unix_millis("at") / 1000 - 1_700_000_000).cast("int").alias("s")).collect())
+    assert [x for x in got if x[0] == 1] == [(1, 0, "here"), (1, 5, "gone"), (1, 61, "here"), (1, 66, "gone")]
+    assert [x for x in got if x[0] == 2] == [(2, 0, "here"), (2, 14, "gone")]
+    assert [x for x in got if x[0] == 3] == [(3, 9, "here"), (3, 14, "gone"), (3, 60, "here"), (3, 65, "gone"), (3, 100, "here"), (3, 105, "gone"), (3, 200, "here")]
