@@ -3,7 +3,8 @@
 Words are counted from the first shard on.  After each shard, phrases that have reached the threshold are marked; from
 the next shard on, a phrase one word longer is counted where the two phrases inside it are marked.  A phrase is counted
 for one full cycle of shards from when it is first met, so its count is exact; a length is closed when no more phrases
-of it can begin and all have gone round.
+of it can begin and all have gone round.  Phrases are 128-bit codes while they are counted; one more scan names the
+frequent ones.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ STEP_BYTES, HELD_BYTES = 2 << 20, 8 << 20
 #: Bits of the marks of phrases that reached the threshold, at most (128 MB).  Beyond some 10^8 such phrases more phrases are
 #: counted than need be; counts stay exact.
 MARK_BITS = 1 << 30
-STEP = np.uint64(0x9E3779B97F4A7C15)
-COLUMNS = "lang string, length int, code bigint, phrase string, count bigint"
+STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+CODE = ["length", "hi", "lo"]
+COUNTS, NAMES = "length int, hi bigint, lo bigint, count bigint", "length int, hi bigint, lo bigint, lang string, phrase string"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -46,8 +48,8 @@ def _marked(code: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ok
 
 
-def count_phrases(lang: str, texts: list[bytes], bits: np.ndarray, closed: int, longest: int) -> list[tuple[int, np.ndarray, list[str], np.ndarray]]:
-    """(length, codes, phrases, counts) of the lengths over ``closed`` in some texts of one language.
+def phrases_of(lang: str, texts: list[bytes], bits: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(length, high codes, low codes, counts, first places, tokens) of the phrases in some texts of one language.
 
     Length 0 is the number of words.  Phrases of two words and more are those whose two inner phrases are marked.
     """
@@ -56,14 +58,11 @@ def count_phrases(lang: str, texts: list[bytes], bits: np.ndarray, closed: int,
     tokens = MARK.join(texts).translate(PREPARE).replace(MARK, b" " + MARK + b" ").split()
     numbers: dict[bytes, int] = {MARK: 0}
     at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in tokens), np.int64, len(tokens))
-    word = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    out = []
-    # Of each place, the number of the phrase that starts there among the marked ones of the length, or -1.
+    words = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), np.uint64).reshape(-1, 2)
+    seed = np.frombuffer(xxhash.xxh3_128_digest(lang.encode()), np.uint64)
     places = np.flatnonzero(at > 0)
-    first, inverse, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if closed < 1:
-        out.append((0, np.zeros(1, np.uint64), [""], np.array([len(places)])))
+    yield 0, seed[:1], seed[1:], np.array([len(places)]), np.zeros(1, np.int64), tokens
+    begins = np.zeros(0, np.int64)  # of each place, the number of the marked phrase of the length that starts there, or -1
     for length in range(1, longest + 1):
         if length == 1:
             key = at[places]
@@ -74,19 +73,19 @@ def count_phrases(lang: str, texts: list[bytes], bits: np.ndarray, closed: int,
             break
         _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         first = places[first]
-        code = np.full(len(first), seed)
-        for r in range(length):
-            code = code * STEP + word[at[first + r]]
-        code = _mixed(code)
-        if length > closed:
-            out.append((length, code, [b" ".join(tokens[i:i + length]).decode() for i in first.tolist()], counts))
+        code = []
+        for side, step in enumerate(STEPS):
+            c = np.full(len(first), seed[side])
+            for r in range(length):
+                c = c * step + words[at[first + r], side]
+            code.append(_mixed(c))
+        yield length, *code, counts, first, tokens
         begins = np.full(len(at) + 1, -1)
-        begins[places] = np.where(_marked(code, bits)[inverse], inverse, -1)
-    return out
+        begins[places] = np.where(_marked(code[1], bits)[inverse], inverse, -1)
 
 
-def _scan(texts: DataFrame, bits, closed: int, longest: int) -> DataFrame:
-    """Counts of phrases in a shard (``lang``, ``text``), several rows a phrase."""
+def _scan(texts: DataFrame, bits, longest: int, schema: str, tell) -> DataFrame:
+    """What ``tell`` gives for the phrases of each bounded part of the texts (``lang``, ``text``), as rows of ``schema``."""
     def run(it) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bits.value, np.uint64)
         held: dict[str, list[bytes]] = {}
@@ -94,11 +93,8 @@ def _scan(texts: DataFrame, bits, closed: int, longest: int) -> DataFrame:
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             size.pop(lang)
-            for length, code, phrases, counts in count_phrases(lang, held.pop(lang), marks, closed, longest):
-                n = len(phrases)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array(np.full(n, length, "i4")), pa.array(code.view(np.int64)), pa.array(phrases, pa.string()), pa.array(counts.astype(np.int64))],
-                    ["lang", "length", "code", "phrase", "count"])
+            for found in phrases_of(lang, held.pop(lang), marks, longest):
+                yield from tell(lang, marks, *found)
 
         for b in it:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
@@ -107,16 +103,48 @@ def _scan(texts: DataFrame, bits, closed: int, longest: int) -> DataFrame:
                 size[lang] = size.get(lang, 0) + len(data)
                 if size[lang] >= STEP_BYTES:
                     yield from flush(lang)
-                elif sum(size.values()) >= HELD_BYTES if len(size) > 4 else False:
+                elif len(size) > 4 and sum(size.values()) >= HELD_BYTES:
                     for name in list(held):
                         yield from flush(name)
         for name in list(held):
             yield from flush(name)
 
-    return texts.select("lang", "text").mapInArrow(run, COLUMNS)
+    return texts.select("lang", "text").mapInArrow(run, schema)
 
 
-def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shards: int = 3) -> DataFrame:
+def _codes(length: int, hi: np.ndarray, lo: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.full(len(hi), length, "i4")), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))]
+
+
+def _counts(texts: DataFrame, bits, closed: int, longest: int) -> DataFrame:
+    """Counts of phrases of the lengths that are not closed, several rows a phrase; numbers of words until words are."""
+    def tell(lang, marks, length, hi, lo, counts, first, tokens) -> Iterator[pa.RecordBatch]:
+        if length > closed or not (length or closed):
+            yield pa.RecordBatch.from_arrays([*_codes(length, hi, lo), pa.array(counts.astype(np.int64))], [*CODE, "count"])
+
+    return _scan(texts, bits, longest, COUNTS, tell)
+
+
+def _names(texts: DataFrame, bits, longest: int) -> DataFrame:
+    """Codes, language and words of the marked phrases and of the languages."""
+    def tell(lang, marks, length, hi, lo, counts, first, tokens) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(_marked(lo, marks)) if length else np.zeros(1, np.int64)
+        words = [b" ".join(tokens[i:i + length]).decode() for i in first[at].tolist()]
+        yield pa.RecordBatch.from_arrays([*_codes(length, hi[at], lo[at]), pa.array([lang] * len(at), pa.string()), pa.array(words, pa.string())], [*CODE, "lang", "phrase"])
+
+    return _scan(texts, bits, longest, NAMES, tell).distinct()
+
+
+def _mark(marks: np.ndarray, low: DataFrame) -> None:
+    """Set the marks of codes ``lo``; they are gathered as words of bits, ``MARK_BITS`` at most."""
+    last = 64 * len(marks) - 1
+    place = F.explode(F.array(F.col("lo").bitwiseAND(last), F.shiftrightunsigned("lo", 32).bitwiseAND(last)))
+    bits = low.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    found = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    marks[found["w"].to_numpy()] |= found["b"].to_numpy().view(np.uint64)
+
+
+def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shards: int = 2) -> DataFrame:
     """(lang, length, phrase, count) of phrases of up to ``longest`` words that occur ``least`` times in their language.
 
     A row of length 0 has the number of all words of a language.  Texts are dealt to ``shards`` by a hash of key and
@@ -126,45 +154,44 @@ def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(key, text), F.lit(shards)).cast("int").alias("shard"))
     held = stored(rows.where(F.length("text") > 0), "shard")
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = 1 << max(10, min(MARK_BITS.bit_length() - 7, math.ceil(math.log2(size + 1)) - 8))
-    marks, closed, latest, step, parts = np.zeros(words, np.uint64), 0, {}, 0, []
-    state = spark.createDataFrame([], COLUMNS + ", since int, fresh boolean")
-    names = ["lang", "length", "phrase"]
+    marks = np.zeros(1 << max(10, min(MARK_BITS.bit_length() - 7, math.ceil(math.log2(size + 1)) - 8)), np.uint64)
+    closed, latest, step, parts, last = 0, {}, 0, [], None
+    state = spark.createDataFrame([], COUNTS + ", since int")
+    zero = F.lit(0).cast("bigint")
     while closed < longest:
         bits = spark.sparkContext.broadcast(marks.tobytes())
-        new = _scan(held.where(F.col("shard") == step % shards), bits, closed, longest).withColumn("since", F.when(F.col("length") > 1, step).otherwise(0))
-        both = state.select(*names, "code", "since", F.col("count").alias("old"), F.lit(0).cast("bigint").alias("more")).unionByName(
-            new.select(*names, "code", "since", F.lit(0).cast("bigint").alias("old"), F.col("count").alias("more")))
-        met = both.groupBy(*names).agg(F.min("code").alias("code"), F.min("since").alias("since"), F.sum("old").alias("old"), F.sum("more").alias("more"))
+        new = _counts(held.where(F.col("shard") == step % shards), bits, closed, longest)
+        both = state.select(*CODE, "since", F.col("count").alias("old"), zero.alias("more")).unionByName(
+            new.select(*CODE, F.when(F.col("length") > 1, step).otherwise(0).alias("since"), zero.alias("old"), F.col("count").alias("more")))
+        met = both.groupBy(*CODE).agg(F.min("since").alias("since"), F.sum("old").alias("old"), F.sum("more").alias("more"))
         count = F.col("old") + F.when(F.col("since") + shards > step, F.col("more")).otherwise(0)
         fresh = (F.col("length") > 0) & (F.col("old") < least) & (count >= least)
-        now = stored(met.select(*names, "code", "since", count.alias("count"), fresh.alias("fresh")))
+        now = stored(met.select(*CODE, "since", count.alias("count"), fresh.alias("fresh")))
         bits.destroy()
-        for r in now.where("fresh").groupBy("length").count().collect():  # one row a length
-            latest[r["length"]] = step
-        if any(n < longest and at == step for n, at in latest.items()):
-            place = F.explode(F.array(F.col("code").bitwiseAND(64 * words - 1), F.shiftrightunsigned("code", 32).bitwiseAND(64 * words - 1)))
-            places = now.where(F.col("fresh") & (F.col("length") < longest)).select(place.alias("p"))
-            found = places.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # MARK_BITS at most
-            marks[found["w"].to_numpy()] |= found["b"].to_numpy().view(np.uint64)
+        lengths = [r["length"] for r in now.where("fresh").select("length").distinct().collect()]  # one row a length
+        latest |= dict.fromkeys(lengths, step)
+        if lengths:
+            _mark(marks, now.where("fresh"))
         before = closed
         while closed < longest and (step >= shards - 1 if closed == 0 else step >= latest.get(closed, -shards) + shards):
             closed += 1
         if closed > before:
-            low = before if before else -1
-            done = (F.col("length") > low) & (F.col("length") <= closed) & ((F.col("length") == 0) | (F.col("count") >= least))
-            parts.append(stored(now.where(done).select("lang", "length", "phrase", "count")))
-        if step:
+            done = (F.col("length") > (before or -1)) & (F.col("length") <= closed) & ((F.col("length") == 0) | (F.col("count") >= least))
+            parts.append(stored(now.where(done).select(*CODE, "count")))
+        if last is not None:
             released(last)
         last, state, step = now, now.where(F.col("length") > (closed or -1)), step + 1
+    bits = spark.sparkContext.broadcast(marks.tobytes())
+    names = stored(_names(held, bits, longest))
+    bits.destroy()
     released(last, held)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.join(names, CODE).select("lang", "length", "phrase", "count")
 
 
-def mine(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, shards: int = 3, part_rows: int = 500_000) -> DataFrame:
+def mine(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, shards: int = 2, part_rows: int = 500_000) -> DataFrame:
     """lang, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``: the ``top`` phrases of each language by their weakest cut.
 
     Texts are lower-cased (A-Z), split at stops and line ends into pieces, and those at spaces and tabs into words; a
@@ -173,7 +200,7 @@ def mine(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     phrase one word longer that is as frequent are dropped (one inside a longer phrase is also inside those between).
     Ties of score go by ``a``, then by the phrase's bytes.
 
-    Null texts are empty; a null language is ``und``.  Repeated rows count as often as they stand; other columns are not
+    Phrases are counted by 128-bit codes of language and words.  Null texts are empty; a null language is ``und``.  Repeated rows count as often as they stand; other columns are not
     read; an empty table gives no rows.  Hot parts of phrases and hot languages are salted, and ranks are cut in
     parts of a language before they meet.
     """
@@ -210,7 +237,7 @@ with pieces as (
 ), places as (
   select lang, w, unnest(range(1, len(w) + 1)) as i from pieces
 ), grams as (
-  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from places, range(1, 6) as ks(k) where i + k - 1 <= len(w)
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) as k from places)
 ), counts as (
   select lang, k, phrase, count(*) as f from grams group by all
 ), total as (
@@ -218,14 +245,15 @@ with pieces as (
 ), candidates as (
   select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counts where k >= 2 and f >= 100
 ), inside as (
-  select distinct c.lang, array_to_string(c.w[i:i + m - 1], ' ') as phrase, c.a
-  from candidates c, range(2, 5) as ms(m), range(1, 5) as xs(i) where m < c.k and i + m - 1 <= c.k
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as wide
+  from (select lang, w, a, m, unnest(range(1, k - m + 2)) as i from (select lang, k, w, a, unnest(range(2, k)) as m from candidates where k > 2)) group by all
 ), kept as (
-  select c.* from candidates c where not exists (select 1 from inside x where x.lang = c.lang and x.phrase = c.phrase and 100 * x.a >= 100 * c.a)
+  select c.* from candidates c left join inside x on x.lang = c.lang and x.phrase = c.phrase where x.wide is null or x.wide < c.a
+), parts as (
+  select lang, phrase, a, j, array_to_string(w[1:j], ' ') as head, array_to_string(w[j + 1:k], ' ') as tail from (select lang, k, phrase, a, w, unnest(range(1, k)) as j from kept)
 ), cuts as (
-  select c.lang, c.phrase, c.a, l.f as l, r.f as r, t.n, j, (1000::hugeint * c.a * t.n // (l.f::hugeint * r.f))::bigint as score
-  from kept c, range(1, 5) as js(j), counts l, counts r, total t
-  where j < c.k and l.lang = c.lang and l.phrase = array_to_string(c.w[1:j], ' ') and r.lang = c.lang and r.phrase = array_to_string(c.w[j + 1:c.k], ' ') and t.lang = c.lang
+  select p.lang, p.phrase, p.a, l.f as l, r.f as r, t.n, j, (1000::hugeint * p.a * t.n // (l.f::hugeint * r.f))::bigint as score
+  from parts p join counts l on l.lang = p.lang and l.phrase = p.head join counts r on r.lang = p.lang and r.phrase = p.tail join total t on t.lang = p.lang
 ), best as (
   select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1
 )
