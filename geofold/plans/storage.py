@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.geo import big
@@ -144,6 +146,32 @@ def read_dem_hgt(t):
     return readers.decode_hgt(t.spark.read.parquet(path), sides=(33,))
 
 
+SIDE = 1201
+#: Orders of a tile; its pixels repeat their prices row by row.
+PER_TILE = 5000
+
+
+@query("read_hgt_box", f"""with o as (select cast(floor(o_orderkey/{PER_TILE}e0) as bigint) tile, cast(floor(o_totalprice/1000e0) as bigint) v, row_number() over (partition by cast(floor(o_orderkey/{PER_TILE}e0) as bigint) order by o_orderkey)-1 i,
+     count(*) over (partition by cast(floor(o_orderkey/{PER_TILE}e0) as bigint)) n from orders)
+   select cast(tile % 10-5 as integer) tile_lat, cast(floor(tile/10e0) as integer) tile_lon, cast({SIDE * SIDE} as bigint) n, cast(sum(v*({SIDE * SIDE}//n+(case when i < {SIDE * SIDE} % n then 1 else 0 end))) as bigint) total,
+     max(case when i = {600 * SIDE + 600} % n then v end) middle from o where tile % 10 < 2 group by tile""")
+def read_hgt_box(t):
+    """Files of side 1201 made of order prices; of a box only its tiles are read."""
+    from ..sources import hgt
+
+    def fill(key, pdf):
+        v = np.floor(pdf.sort_values("o_orderkey")["o_totalprice"].to_numpy() / 1000).astype(">i2")
+        tile = int(key[0])
+        return pd.DataFrame({"lat": [tile % 10 - 5], "lon": [tile // 10], "content": [np.resize(v, SIDE * SIDE).astype(">i2").tobytes()]})
+
+    path = sinks.new_folder(shared_dir(t.spark), "hgt")
+    o = t.orders.select("o_orderkey", "o_totalprice", big(F.floor(F.col("o_orderkey") / PER_TILE)).alias("tile"))
+    hgt.write_hgt(o.groupBy("tile").applyInPandas(fill, "lat bigint, lon bigint, content binary"), path)
+    px = hgt.read_hgt(t.spark, path).where("tile_lat >= -5 and tile_lat < -3")
+    at = (F.col("prow") == 600) & (F.col("pcol") == 600)
+    return px.groupBy("tile_lat", "tile_lon").agg(F.count(F.lit(1)).alias("n"), F.sum("elev_m").cast("bigint").alias("total"), F.max(F.when(at, F.col("elev_m"))).cast("bigint").alias("middle"))
+
+
 @query("dem_tile_totals", f"""select tile_lat, tile_lon, count(*) n, cast(sum(elev_m) as bigint) total from {HGT_TILES} h where elev_m<>-32768 group by tile_lat, tile_lon""")
 def dem_tile_totals(t):
     """Valid pixels and their sum for each decoded tile."""

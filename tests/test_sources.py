@@ -2,6 +2,7 @@ import json
 import struct
 
 import numpy as np
+import pytest
 
 from geofold.operators import elevation as el, features as ft
 from geofold.sources import readers, sinks
@@ -78,3 +79,31 @@ def test_pass_versions_and_resume(spark, tmp_path):
     assert {r["chunk"]: r["pass"] for r in sinks.best_pass(store).collect()}[5] == "terrain"
     sinks.write_pass(df.limit(1), path, "roads")
     assert sinks.read_pass(spark.read.parquet(path), "roads").count() == 1
+
+
+def test_hgt_box_opens_its_tiles_alone(spark, tmp_path):
+    import numpy as np
+
+    from geofold.sources import hgt
+
+    side, rnd = 301, np.random.default_rng(5)
+    grids = {(lat, lon): rnd.integers(-50, 900, (side, side)).astype(">i2") for lat in (-28, -27, 3) for lon in (152, -7)}
+    tiles = spark.createDataFrame([(lat, lon, g.tobytes()) for (lat, lon), g in grids.items()], "lat bigint, lon bigint, content binary").repartition(3)
+    path = str(tmp_path / "dem")
+    assert hgt.write_hgt(tiles, path) == 6
+    (tmp_path / "dem" / "notes.txt").write_text("no tile")
+    px = hgt.read_hgt(spark, path, [side])
+    assert px.count() == 6 * side * side
+    box = px.where("tile_lat between -28 and -27 and tile_lon = 152 and elev_m > 100")
+    assert {(r["tile_lat"], r["tile_lon"]) for r in box.select("tile_lat", "tile_lon").distinct().collect()} == {(-28, 152), (-27, 152)}
+    assert box.count() == sum(int((grids[k] > 100).sum()) for k in ((-28, 152), (-27, 152)))
+    got = {(r["prow"], r["pcol"]): r["elev_m"] for r in px.where("tile_lat = 3 and tile_lon = -7 and prow in (0, 255, 256, 300)").collect()}
+    assert len(got) == 4 * side and all(v == grids[3, -7][k] for k, v in got.items())
+    reader = hgt.HgtReader({"path": path, "sides": str(side)})
+    left = list(reader.pushFilters([hgt.EqualTo(("tile_lat",), 3), hgt.GreaterThan(("elev_m",), 5)]))
+    assert len(left) == 1 and {(p.lat, p.top) for p in reader.partitions()} == {(3, 0), (3, 256)}
+    # The filter reaches the source, so the plan's scan has the partitions of two tiles.
+    assert px.where("tile_lat = -28").rdd.getNumPartitions() == 4
+    (tmp_path / "dem" / "N10E010.hgt").write_bytes(b"123")
+    with pytest.raises(Exception, match="bytes"):
+        hgt.read_hgt(spark, path, [side]).count()
