@@ -29,6 +29,8 @@ STEP_BYTES, HELD_BYTES = 2 << 20, 8 << 20
 #: Bits of the marks of phrases that reached the threshold, at most (128 MB).  Beyond some 10^8 such phrases more phrases are
 #: counted than need be; counts stay exact.
 MARK_BITS = 1 << 30
+#: Phrases a task remembers to have named.
+TOLD = 1_000_000
 STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 CODE = ["length", "hi", "lo"]
 COUNTS, NAMES = "length int, hi bigint, lo bigint, count bigint", "length int, hi bigint, lo bigint, lang string, phrase string"
@@ -85,16 +87,19 @@ def phrases_of(lang: str, texts: list[bytes], bits: np.ndarray, longest: int) ->
 
 
 def _scan(texts: DataFrame, bits, longest: int, schema: str, tell) -> DataFrame:
-    """What ``tell`` gives for the phrases of each bounded part of the texts (``lang``, ``text``), as rows of ``schema``."""
+    """What ``tell`` gives for the phrases of each bounded part of the texts (``lang``, ``text``), as rows of ``schema``.
+
+    It gets a set that lasts for the task."""
     def run(it) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bits.value, np.uint64)
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
+        told: set[int] = set()
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             size.pop(lang)
             for found in phrases_of(lang, held.pop(lang), marks, longest):
-                yield from tell(lang, marks, *found)
+                yield from tell(told, lang, marks, *found)
 
         for b in it:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
@@ -118,7 +123,7 @@ def _codes(length: int, hi: np.ndarray, lo: np.ndarray) -> list[pa.Array]:
 
 def _counts(texts: DataFrame, bits, closed: int, longest: int) -> DataFrame:
     """Counts of phrases of the lengths that are not closed, several rows a phrase; numbers of words until words are."""
-    def tell(lang, marks, length, hi, lo, counts, first, tokens) -> Iterator[pa.RecordBatch]:
+    def tell(told, lang, marks, length, hi, lo, counts, first, tokens) -> Iterator[pa.RecordBatch]:
         if length > closed or not (length or closed):
             yield pa.RecordBatch.from_arrays([*_codes(length, hi, lo), pa.array(counts.astype(np.int64))], [*CODE, "count"])
 
@@ -127,8 +132,13 @@ def _counts(texts: DataFrame, bits, closed: int, longest: int) -> DataFrame:
 
 def _names(texts: DataFrame, bits, longest: int) -> DataFrame:
     """Codes, language and words of the marked phrases and of the languages."""
-    def tell(lang, marks, length, hi, lo, counts, first, tokens) -> Iterator[pa.RecordBatch]:
+    def tell(told, lang, marks, length, hi, lo, counts, first, tokens) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(_marked(lo, marks)) if length else np.zeros(1, np.int64)
+        # A task names a phrase once; past TOLD it may do so again.
+        at = at[[c not in told for c in (lo[at] ^ hi[at]).tolist()]]
+        if len(told) > TOLD:
+            told.clear()
+        told.update((lo[at] ^ hi[at]).tolist())
         words = [b" ".join(tokens[i:i + length]).decode() for i in first[at].tolist()]
         yield pa.RecordBatch.from_arrays([*_codes(length, hi[at], lo[at]), pa.array([lang] * len(at), pa.string()), pa.array(words, pa.string())], [*CODE, "lang", "phrase"])
 
