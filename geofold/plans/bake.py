@@ -374,8 +374,10 @@ def region_bake(t):
 
 @query("baked_objects")
 def baked_objects(t):
-    """Objects of the map on the ground the bake made."""
-    sources, grid = full_sources(t)
+    """Objects of the map on the ground of a bake of terrain alone."""
+    from .features import map_objects
+
+    sources, grid = bake_sources(t, objects=map_objects(t))
     store = rb.region_bake(sinks.new_folder(shared_dir(t.spark), "bake"), sources, grid, ORIGIN)
     return store.read("objects").select("cx", "cz", "object_id", "kind", "y")
 
