@@ -75,6 +75,31 @@ def test_marks():
     assert collocations._marked(code, bits).all() and not collocations._marked(np.array([9], np.uint64), bits).any()
 
 
+def test_words_of_any_bytes():
+    texts = ["a\x00b \t c\u2003d.E,,e\x1f f\x85 ", "", " ", "\x0b\x0cZ\u00e9 \u0130x:", "a\x00b"]
+    at, names = collocations.numbered([t.encode() for t in texts])
+    data = collocations.MARK.join(t.encode() for t in texts).translate(collocations.PREPARE)
+    assert [names[i] for i in at] == [b"\xff", *data.replace(b"\xff", b" \xff ").split()]
+
+
+@pytest.mark.parametrize("least", [3, 300])
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_buckets_of_pairs(spark, monkeypatch, least, held):
+    monkeypatch.setattr(collocations, "HELD_PAIRS", held)
+    monkeypatch.setattr(collocations, "BLOCK", 64)
+    monkeypatch.setattr(collocations, "STEP_BYTES", 200)
+    rows = [(lang, " ".join(f"w{(i * j) % 50}" for j in range(30)) + ". x y") for i in range(400) for lang in ("a", "b")]
+    want = {}
+    for lang, text in rows:
+        at, names = collocations.numbered([text.encode()])
+        places = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
+        for b in collocations._pair_buckets(*collocations.word_codes(lang, names), at, places, 1024).tolist():
+            want[b] = want.get(b, 0) + 1
+    bits = collocations.heavy_buckets(spark.createDataFrame(rows, "lang string, text string").repartition(7), 1024, least)
+    every = np.arange(1024, dtype=np.uint64)
+    assert every[collocations._has(every, bits)].tolist() == sorted(b for b, n in want.items() if n >= least) != []
+
+
 def test_query_equals_sql(spark):
     df = collocations.mine(spark.read.parquet(f"{SF}/documents.parquet"))
     found = connect(SF).execute(collocations.mine_sql())
