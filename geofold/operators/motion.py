@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -278,14 +279,78 @@ TRANSITION = np.array(
         for p in range(len(PROFILES)) for k in range(UPGRADE_AFTER)
     ]
 )
+# One more column leaves the state as it is.
+IDLE = TRANSITION.shape[1]
+TRANSITION = np.column_stack([TRANSITION, np.arange(len(TRANSITION))])
 START = PROFILES.index("Auto") * UPGRADE_AFTER
 
 
-def link_profile(samples: DataFrame, piece_rows: int = 100000) -> DataFrame:
+def _rows_of_steps(cand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates in rows of about the square root of their number, and the map of each row from start to end state.
+
+    All rows step together, so the work in Python grows with the square root.
+    """
+    width = max(1, math.isqrt(len(cand)))
+    grid = np.full(-(-len(cand) // width) * width, IDLE)
+    grid[: len(cand)] = cand
+    grid = grid.reshape(-1, width)
+    ends = np.tile(np.arange(len(TRANSITION)), (len(grid), 1))
+    for c in grid.T:
+        ends = TRANSITION[ends, c[:, None]]
+    return grid, ends
+
+
+def steps_map(cand: np.ndarray) -> np.ndarray:
+    """The state after all candidates, for each state before them."""
+    state = np.arange(len(TRANSITION))
+    for row in _rows_of_steps(cand)[1]:
+        state = row[state]
+    return state
+
+
+def steps_taken(cand: np.ndarray, start: int) -> np.ndarray:
+    """The state after each candidate."""
+    grid, ends = _rows_of_steps(cand)
+    state = np.empty(len(grid), int)
+    for i, row in enumerate(ends):
+        state[i], start = start, row[start]
+    out = np.empty(grid.shape, int)
+    for j, c in enumerate(grid.T):
+        state = out[:, j] = TRANSITION[state, c]
+    return out.ravel()[: len(cand)]
+
+
+def chain_maps(maps: DataFrame, key: str, at: str, start: int, block: int = 1024) -> DataFrame:
+    """State before each map (``key``, ``at``, ``map``: array from state to state) when those of a key follow each other.
+
+    A scan on two levels: maps of a block become one map, blocks are chained, and each block is then gone through from
+    its own start; work is linear and a row holds one block.
+    """
+    number = F.floor(F.col(at) / block)
+    blocks = maps.groupBy(key, number.alias("_block")).agg(F.sort_array(F.collect_list(F.struct(at, "map"))).alias("_maps"))
+    same = F.transform(F.element_at("_maps", 1)["map"], lambda _, i: i)
+    ends = blocks.select(key, "_block", F.aggregate("_maps", same, lambda s, m: F.transform(s, lambda x: F.element_at(m["map"], x + 1))).alias("map"))
+
+    def starts(rows: Column, first: Column, place: str) -> Column:
+        """An entry a map with the state before it."""
+        empty = F.array().cast(f"array<struct<{place}:bigint,start:int>>")
+        begin = F.struct(first.cast("int").alias("state"), empty.alias("seen"))
+        step = lambda s, m: F.struct(
+            F.element_at(m["map"], s["state"] + 1).alias("state"),
+            F.concat(s["seen"], F.array(F.struct(m[place].cast("bigint").alias(place), s["state"].alias("start")))).alias("seen"),
+        )
+        return F.inline(F.aggregate(rows, begin, step, lambda s: s["seen"]))
+
+    whole = ends.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_block", "map"))).alias("_blocks"))
+    begun = whole.select(key, starts(F.col("_blocks"), F.lit(start), "_block")).withColumnRenamed("start", "_start")
+    return blocks.join(begun, [key, "_block"]).select(key, starts(F.col("_maps"), F.col("_start"), at))
+
+
+def link_profile(samples: DataFrame, piece_rows: int = 100000, block: int = 1024) -> DataFrame:
     """Profile of each link after each sample.
 
     The link state is a small automaton, so a piece of a link is a map from start state to end state.  Pieces are
-    mapped in parallel, the maps are chained per link, and each piece is then replayed from its true start.
+    mapped in parallel, the maps are chained on two levels, and each piece is then replayed from its true start.
     """
     medians = rtt_median5(samples, piece_rows).withColumn("cand", F.array_position(F.array(*[F.lit(p) for p in PROFILES[:3]]), rtt_class("median_ms")) - 1)
     steps = medians.select("link", "piece", "seq", "median_ms", F.col("cand").cast("int").alias("cand"))
@@ -293,27 +358,21 @@ def link_profile(samples: DataFrame, piece_rows: int = 100000) -> DataFrame:
     def to_map(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = np.arange(len(TRANSITION))
         for pdf in batches:
-            for c in pdf["cand"].to_numpy():
-                state = TRANSITION[state, c]
+            state = steps_map(pdf["cand"].to_numpy())[state]
         yield pd.DataFrame({"link": [key[0]], "piece": [key[1]], "map": [state.tolist()]})
 
     ordered = steps.repartition("link", "piece").sortWithinPartitions("link", "piece", "seq")
     maps = ordered.groupBy("link", "piece").applyInPandas(_typed(to_map), "link bigint, piece bigint, map array<int>")
-    before = Window.partitionBy("link").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    start = maps.withColumn("_m", F.collect_list("map").over(before)).select(
-        "link", "piece", F.aggregate("_m", F.lit(START), lambda s, m: F.element_at(m, s + 1)).alias("start")
-    )
+    start = chain_maps(maps, "link", "piece", START, block)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
         for pdf in batches:
             if state is None:
                 state = int(pdf["start"].iloc[0])
-            out = np.empty(len(pdf), dtype=int)
-            for i, c in enumerate(pdf["cand"].to_numpy()):
-                state = TRANSITION[state, c]
-                out[i] = state
-            yield pd.DataFrame({"link": pdf["link"], "seq": pdf["seq"], "median_ms": pdf["median_ms"], "profile": [PROFILES[s // UPGRADE_AFTER] for s in out]})
+            out = steps_taken(pdf["cand"].to_numpy(), state)
+            state = int(out[-1])
+            yield pd.DataFrame({"link": pdf["link"], "seq": pdf["seq"], "median_ms": pdf["median_ms"], "profile": np.array(PROFILES)[out // UPGRADE_AFTER]})
 
     placed = steps.join(start, ["link", "piece"]).repartition("link", "piece").sortWithinPartitions("link", "piece", "seq")
     return placed.groupBy("link", "piece").applyInPandas(replay, "link bigint, seq bigint, median_ms double, profile string")

@@ -103,6 +103,46 @@ def test_link_automaton_does_not_depend_on_piece_size(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def stepwise(cand, state):
+    out = []
+    for c in cand:
+        state = int(motion.TRANSITION[state, c])
+        out.append(state)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 99, 1000])
+def test_steps_in_rows_equal_single_steps(n):
+    cand = np.random.default_rng(n).integers(0, 3, n)
+    for start in range(len(motion.TRANSITION)):
+        assert motion.steps_taken(cand, start).tolist() == stepwise(cand, start)
+        assert motion.steps_map(cand)[start] == stepwise(cand, start)[-1]
+
+
+def test_maps_are_chained_over_blocks(spark):
+    """Many blocks of one key beside a key with a single map, missing pieces, and no maps at all."""
+    rnd = random.Random(4)
+    rows = [(1, p, [rnd.randrange(5) for _ in range(5)]) for p in range(100) if p % 7] + [(2, 3, [4, 3, 2, 1, 0]), (None, 0, [0] * 5), (None, 9, [1] * 5)]
+    want, state = set(), {}
+    for key, p, m in rows:
+        want.add((key, p, state.get(key, 2)))
+        state[key] = m[state.get(key, 2)]
+    rnd.shuffle(rows)
+    maps = spark.createDataFrame(rows, "link bigint, piece bigint, map array<int>")
+    for block in (1, 4, 1024):
+        got = [tuple(r) for r in motion.chain_maps(maps.where("link is not null"), "link", "piece", 2, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if w[0] is not None}
+    assert motion.chain_maps(maps.where("false"), "link", "piece", 2).collect() == []
+
+
+def test_long_link_over_many_blocks(spark):
+    rnd = random.Random(11)
+    rows = [(1, i + 1, rnd.choice([2.0, 20.0, 80.0])) for i in range(600)]
+    df = spark.createDataFrame(rows, "link bigint, seq bigint, rtt_ms double")
+    cut, whole = (sorted(tuple(r) for r in motion.link_profile(df, *n).collect()) for n in ((9, 4), (1000,)))
+    assert cut == whole and {r[3] for r in whole} >= {"LAN", "Normal", "Constrained"}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lww_ignores_arrival_order(spark, seed):
     rnd = random.Random(seed)
