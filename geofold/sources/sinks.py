@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.oplog import dedup_signature, ops_by_chunk
@@ -130,13 +130,25 @@ def write_manifest(store: DataFrame, path: str, region: str, keys: Sequence[str]
     manifest(store, region, keys).orderBy(*keys).write.mode("overwrite").json(path)
 
 
-def write_op_chunks(ops: DataFrame, path: str) -> None:
-    """Deduplicated ops under every chunk they affect, replay-sorted within each file.
+def z_order(x, y) -> Column:
+    """Bits of two whole numbers (from -2^30 to 2^30) in turns, so places near each other mostly have near numbers."""
+    def spread(v: Column) -> Column:
+        v = v.cast("bigint") + (1 << 30)
+        for step in (16, 8, 4, 2, 1):
+            every = ((1 << 64) - 1) // ((1 << step) + 1)  # runs of ``step`` set bits with gaps of as many
+            v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(every))
+        return v
 
-    A hot chunk is split over files by Lamport range, so files sorted by name replay in order.
+    return spread(F.col(x)).bitwiseOR(F.shiftleft(spread(F.col(y)), 1))
+
+
+def write_op_chunks(ops: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
+    """Deduplicated ops under every chunk they affect, in files of at most ``file_rows`` rows.
+
+    Rows are ranged by the chunk's place on a Z curve, then in replay order, so a file holds neighbouring chunks, a hot
+    chunk goes over many files, and files sorted by name replay each chunk in order.  A filter on ``cx`` and ``cz`` skips
+    files and row groups by their statistics.
     """
-    fanned = ops_by_chunk(dedup_signature(ops)).withColumn("part", F.floor(F.col("lamport") / 1000000).cast("bigint"))
-    (
-        fanned.repartition("cx", "cz", "part").sortWithinPartitions("cx", "cz", "part", "lamport", "author", "op_id")
-        .write.mode("overwrite").partitionBy("cx", "cz").parquet(path)
-    )
+    order = [z_order("cx", "cz"), F.col("cx"), F.col("cz"), F.col("lamport"), F.col("author"), F.col("op_id")]
+    fanned = ops_by_chunk(dedup_signature(ops))
+    fanned.orderBy(*order).write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(path)

@@ -107,3 +107,40 @@ def test_hgt_box_opens_its_tiles_alone(spark, tmp_path):
     (tmp_path / "dem" / "N10E010.hgt").write_bytes(b"123")
     with pytest.raises(Exception, match="bytes"):
         hgt.read_hgt(spark, path, [side]).count()
+
+
+def test_z_order_interleaves_bits(spark):
+    places = [(0, 0), (-1, 5), (7, -9), (2**30 - 1, -2**30), (-2**30, 2**30 - 1), (123456, -654321)]
+    want = [sum(((v + 2**30) >> b & 1) << 2 * b + i for i, v in enumerate(p) for b in range(31)) for p in places]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "i int, x bigint, y bigint")
+    assert [r[0] for r in df.orderBy("i").select(sinks.z_order("x", "y")).collect()] == want
+
+
+def test_op_chunks_are_clustered(spark, tmp_path):
+    """Whole rows come back, files keep to their size, a hot chunk is split, a box lies in few files, replay order holds."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    n = 4000
+    far = rng.integers(-4000, 4000, (n, 2)) * (rng.random((n, 1)) > 0.33)  # a third of all ops in one place
+    rows = [(i, int(rng.integers(9)), int(rng.integers(500)), int(x), 0, int(z), "AB"[i % 2]) for i, (x, z) in enumerate(far)]
+    ops = spark.createDataFrame(rows + rows[:50], "op_id bigint, author bigint, lamport bigint, vx bigint, vy bigint, vz bigint, material string")
+    path = str(tmp_path / "ops")
+    sinks.write_op_chunks(ops, path, file_rows=150)
+    back = spark.read.parquet(path)
+    want = sinks.ops_by_chunk(sinks.dedup_signature(ops))
+    assert back.columns == want.columns
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect())) and back.count() >= n
+    files = [pq.read_table(f).to_pylist() for f in sorted((tmp_path / "ops").glob("part-*.parquet"))]
+    assert len(files) >= n // 150 and max(map(len, files)) <= 150
+    seen = {}
+    for r in (r for f in files for r in f):
+        now = (r["lamport"], r["author"], r["op_id"])
+        assert seen.get((r["cx"], r["cz"]), now) <= now
+        seen[r["cx"], r["cz"]] = now
+    hot = max(seen, key=lambda c: sum((r["cx"], r["cz"]) == c for f in files for r in f))
+    spans = [(min(r[k] for r in f), max(r[k] for r in f)) for f in files for k in ("cx", "cz")]
+    holds = lambda i, c: all(lo <= v <= hi for (lo, hi), v in zip(spans[2 * i:2 * i + 2], c))
+    assert sum(any((r["cx"], r["cz"]) == hot for r in f) for f in files) > 5
+    others = [c for c in seen if c != hot][::40]
+    assert sum(holds(i, c) for c in others for i in range(len(files))) < len(others) * len(files) / 4
