@@ -46,15 +46,14 @@ def state_catch_up(t):
     return out.select("request_id", "op_id", "seq", "pos", "page")
 
 
-@query("write_op_chunks", f"select cx, cz, count(*) n, cast(sum(lamport) as bigint) lamports from {CHUNKED} q group by cx, cz")
+@query("write_op_chunks", f"select op_id, author, lamport, material, vx, vy, vz, cx, cy, cz from {CHUNKED} q")
 def write_op_chunks(t):
     from ..session import shared_dir
     from ..sources import sinks
 
     path = sinks.new_folder(shared_dir(t.spark), "op-chunks")
     sinks.write_op_chunks(t.op_log, path)
-    back = t.spark.read.parquet(path)
-    return back.groupBy(big(F.col("cx")).alias("cx"), big(F.col("cz")).alias("cz")).agg(F.count(F.lit(1)).alias("n"), F.sum("lamport").alias("lamports"))
+    return t.spark.read.parquet(path).select("op_id", "author", "lamport", "material", "vx", "vy", "vz", *[big(F.col(c)).alias(c) for c in ("cx", "cy", "cz")])
 
 
 # Actions by op, and one key record per author.
