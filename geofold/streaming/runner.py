@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,15 @@ from ..sources.sinks import new_folder
 
 
 def parquet_stream(spark: SparkSession, folder: str, file: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of Parquet files in a folder; the schema is taken from those present."""
-    schema = spark.read.option("pathGlobFilter", file).parquet(folder).schema
+    """Stream of the Parquet files ``file`` of a folder, or of a table ``file`` that is itself a folder of files.
+
+    The schema is taken from those present.
+    """
+    try:
+        schema = spark.read.option("pathGlobFilter", file).parquet(folder).schema
+    except AnalysisException:  # no file has that name
+        folder, file = f"{folder}/{file}", "*"
+        schema = spark.read.parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -140,3 +140,11 @@ def test_presence_timers(spark, tmp_path):
     assert [x for x in got if x[0] == 1] == [(1, 0, "here"), (1, 5, "gone"), (1, 61, "here"), (1, 66, "gone")]
     assert [x for x in got if x[0] == 2] == [(2, 0, "here"), (2, 14, "gone")]
     assert [x for x in got if x[0] == 3] == [(3, 9, "here"), (3, 14, "gone"), (3, 60, "here"), (3, 65, "gone"), (3, 100, "here"), (3, 105, "gone"), (3, 200, "here")]
+
+
+def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "many.parquet"))
+    part = next((tmp_path / "many.parquet").glob("part-*.parquet"))
+    (tmp_path / "one.parquet").write_bytes(part.read_bytes())
+    got = {f: run_to_parquet(parquet_stream(spark, str(tmp_path), f"{f}.parquet"), f).count() for f in ("many", "one")}
+    assert got == {"many": 10, "one": spark.read.parquet(str(part)).count()}
