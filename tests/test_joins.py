@@ -241,3 +241,25 @@ def test_gap_of_many_tiles(spark):
     got = ft.gap_bridge(chunks, wet).collect()
     assert [r["chunk_id"] for r in got] == [1] and {round(p["lon"], 3) < 0 for p in got[0]["quad"]} == {True, False}
     assert ft.gap_bridge(chunks, wet, max_steps=8).count() == 0
+
+
+def test_joins_of_unfolded_tables_are_not_broadcast(spark):
+    from geofold.operators import features
+
+    members = spark.range(4).selectExpr("id", "array(named_struct('ref', id, 'role', 'outer')) members")
+    ways = spark.range(4).selectExpr("id way_id", "explode(sequence(1, 3)) n", "array(named_struct('lat', 0D, 'lon', 0D)) geom")
+    peers = spark.range(40).selectExpr("id peer", "double(id % 3) x", "double(id % 2) y", "0D z")
+    for df in (features.relation_rings(members, ways), motion.tiered_top_k(peers, peers, 5)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_nearest_k_where_many_share_a_place(spark):
+    pts = [(i, float(i % 3), 0.0, 0.0) for i in range(90)] + [(200, 700.0, 0.0, 0.0)]
+    df = spark.createDataFrame(pts, "peer bigint, x double, y double, z double")
+    got = {}
+    for r in motion.tiered_top_k(df, df, 5).collect():
+        got.setdefault(r["observer"], []).append((r["rank"], r["peer"]))
+    for o in pts:
+        order = sorted((abs(o[1] - p[1]), p[0]) for p in pts if p[0] != o[0])
+        tier = lambda d: 1 if d <= 100 else 2 if d <= 500 else 3 if d <= 1000 else 4
+        assert [p for _, p in sorted(got[o[0]])] == [p for _, _, p in sorted((tier(d), d, p) for d, p in order)[:5]]
