@@ -263,3 +263,25 @@ def test_nearest_k_where_many_share_a_place(spark):
         order = sorted((abs(o[1] - p[1]), p[0]) for p in pts if p[0] != o[0])
         tier = lambda d: 1 if d <= 100 else 2 if d <= 500 else 3 if d <= 1000 else 4
         assert [p for _, p in sorted(got[o[0]])] == [p for _, _, p in sorted((tier(d), d, p) for d, p in order)[:5]]
+
+
+def test_nearest_segment_is_exact_on_both_sides_of_the_first_ring(spark):
+    from geofold.functions.geometry import segment_hit
+
+    rnd = random.Random(12)
+    at = lambda: (-27.5 + rnd.random() * 0.01, 153.0 + rnd.random() * 0.01)
+    pts = spark.createDataFrame([(i, *at()) for i in range(60)], "id bigint, lat double, lon double")
+    rows = [(i, 0, *at(), *at()) for i in range(12)]
+    rows += [(i + 100, 0, *r[2:]) for i, r in enumerate(rows)]  # copies with later ids
+    segs = spark.createDataFrame(rows, "line_id bigint, seg bigint, y0 double, x0 double, y1 double, x1 double").selectExpr(
+        "line_id", "seg", "named_struct('lat', y0, 'lon', x0) a", "named_struct('lat', y1, 'lon', x1) b")
+    d = segment_hit("lat", "lon", F.col("a"), F.col("b"))["dist_m"]
+    want = {}
+    for r in pts.crossJoin(segs).select("id", "line_id", d.alias("d")).where("d <= 300").collect():
+        want[r["id"]] = min(want.get(r["id"], (1e9, 0)), (r["d"], r["line_id"]))
+    got = sj.nearest_segment(pts, segs, ["id"], ["line_id", "seg"], 300.0, 300.0).collect()
+    assert {r["id"]: (r["dist_m"], r["line_id"]) for r in got} == want
+    assert {x[0] <= 37.5 for x in want.values()} == {True, False}
+    near = sj.nearest_distance(pts, segs, ["id"], 300.0)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and {r["id"]: r["dist_m"] for r in near.collect()} == {i: x[0] for i, x in want.items()}
