@@ -148,8 +148,19 @@ def region_fanout(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     ``subscribers``: subscriber, lat, lon; each takes the 3x3 regions around it and around its parent.
     """
     topics = subscribers.select("subscriber", F.explode(subscribe_topics(region_id("lat", "lon", 3))).alias("topic"))
-    sent = events.withColumn("topic", region_topic(region_id("lat", "lon", 3)))
-    return salted_join(sent, topics, ["topic"], ["event_id"])
+    return salted_join(routed(events), topics, ["topic"], ["event_id"])
+
+
+def routed(events: DataFrame) -> DataFrame:
+    """Events (a table or a stream, with ``lat, lon``) with the topic of their region."""
+    return events.withColumn("topic", region_topic(region_id("lat", "lon", 3)))
+
+
+def fanout_counts(routed_events: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """Deliveries ``n`` of each subscriber, from counts per topic: no pair of event and subscriber is formed."""
+    per_topic = routed_events.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
+    topics = subscribers.select("subscriber", F.explode(subscribe_topics(region_id("lat", "lon", 3))).alias("topic"))
+    return topics.join(per_topic, "topic").groupBy("subscriber").agg(F.sum("_n").alias("n"))
 
 
 # ---------------------------------------------------------------------------------------------------------

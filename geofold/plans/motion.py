@@ -77,7 +77,7 @@ def region_change(t):
    join (select *, cast(floor(lon/0.01e0) as bigint) x, cast(floor(lat/0.01e0) as bigint) y from position) p on abs(s.x-p.x)<=1 and abs(s.y-p.y)<=1) q group by subscriber""")
 def region_fanout(t):
     subs = t.site.select(F.col("site_id").alias("subscriber"), "lat", "lon")
-    return mo.region_fanout(t.position.select("event_id", "lat", "lon"), subs).groupBy("subscriber").agg(F.count(F.lit(1)).alias("n"))
+    return mo.fanout_counts(mo.routed(t.position.select("event_id", "lat", "lon")), subs)
 
 
 # Peers on a plane with crowded and empty places.
