@@ -173,8 +173,11 @@ def gap_bridge(t):
 
 @query("points_in_polygons", f"select poly_id, count(*) n, min(event_id) first_event from {inside_sql('position', 'event_id')} h group by poly_id")
 def points_in_polygons(t):
-    hits = sj.points_in_polygons(t.position.select("event_id", "lat", "lon"), t.polygons.select("poly_id", "polygon"), ["event_id"])
-    return hits.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    # Counted per class of equal polygons, so copies add a row each and no pairs.
+    ready = sj.polygon_classes(t.polygons.select("poly_id", "polygon"))
+    hits = sj.points_in_classes(t.position.select("event_id", "lat", "lon"), ready, ["event_id"])
+    held = hits.groupBy(*sj.CLASS).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")).join(ready, sj.CLASS)
+    return held.groupBy("poly_id").agg(F.sum("n").alias("n"), F.min("first_event").alias("first_event"))
 
 
 @query("tile_probe", f"""with f as (select poly_id fid, 'water' layer, min(lat) lat0, max(lat) lat1, min(lon) lon0, max(lon) lon1 from poly_vertex where poly_id % 3=0 group by poly_id

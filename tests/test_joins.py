@@ -285,3 +285,19 @@ def test_nearest_segment_is_exact_on_both_sides_of_the_first_ring(spark):
     near = sj.nearest_distance(pts, segs, ["id"], 300.0)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and {r["id"]: r["dist_m"] for r in near.collect()} == {i: x[0] for i, x in want.items()}
+
+
+def test_equal_polygons_are_tested_once(spark):
+    ring = "array(named_struct('lat', y, 'lon', x), named_struct('lat', y, 'lon', x + 0.01D), named_struct('lat', y + 0.01D, 'lon', x))"
+    polys = spark.range(40).selectExpr("id poly_id", "double(id % 2) y", "0D x").selectExpr("poly_id", f"{ring} polygon")
+    pts = spark.range(6).selectExpr("id", "double(id % 3) + 0.002D lat", "0.002D lon")
+    got = {(r["id"], r["poly_id"]) for r in sj.points_in_polygons(pts, polys, ["id"]).collect()}
+    assert got == {(i, p) for i in range(6) for p in range(40) if i % 3 == p % 2}
+    assert sj.points_in_classes(pts, sj.polygon_classes(polys), ["id"]).count() == 4
+
+
+def test_fanout_counts_are_those_of_the_deliveries(spark):
+    pts = spark.range(50).selectExpr("id event_id", "(id % 7) * 0.004D lat", "(id % 5) * 0.006D lon")
+    subs = spark.range(6).selectExpr("id subscriber", "id * 0.01D lat", "0D lon")
+    want = {tuple(r) for r in motion.region_fanout(pts, subs).groupBy("subscriber").agg(F.count(F.lit(1))).collect()}
+    assert {tuple(r) for r in motion.fanout_counts(motion.routed(pts), subs).collect()} == want and want
