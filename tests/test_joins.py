@@ -301,3 +301,15 @@ def test_fanout_counts_are_those_of_the_deliveries(spark):
     subs = spark.range(6).selectExpr("id subscriber", "id * 0.01D lat", "0D lon")
     want = {tuple(r) for r in motion.region_fanout(pts, subs).groupBy("subscriber").agg(F.count(F.lit(1))).collect()}
     assert {tuple(r) for r in motion.fanout_counts(motion.routed(pts), subs).collect()} == want and want
+
+
+def test_short_lines_are_keyed_below_a_hundredth_degree(spark):
+    # Thirty short lines of one cell of 0.01 degrees: before, a point there met all of them.
+    rows = [(i, 10.0 + 0.0003 * i, 20.0001, 10.0002 + 0.0003 * i, 20.0003) for i in range(30)]
+    df = spark.createDataFrame(rows, "i bigint, y0 double, x0 double, y1 double, x1 double")
+    box = F.struct(F.col("y0").alias("lat_min"), F.col("y1").alias("lat_max"), F.col("x0").alias("lon_min"), F.col("x1").alias("lon_max"))
+    keyed = sj.key_boxes(df, box)
+    point = sj.key_points_for(spark.createDataFrame([(10.0031, 20.0002)], "lat double, lon double"), keyed)
+    met = {r["i"] for r in keyed.join(point, ["gl", "gs", "gw"]).collect()}
+    assert 10 in met and len(met) < 15
+    assert {r["i"] for r in keyed.collect()} == set(range(30))
