@@ -313,3 +313,15 @@ def test_short_lines_are_keyed_below_a_hundredth_degree(spark):
     met = {r["i"] for r in keyed.join(point, ["gl", "gs", "gw"]).collect()}
     assert 10 in met and len(met) < 15
     assert {r["i"] for r in keyed.collect()} == set(range(30))
+
+
+def test_features_to_tiles_unfolds_without_arrays_of_tiles(spark):
+    from geofold.functions.geometry import tile_keys_of_bbox
+    from geofold.operators import features as ft
+
+    rows = [(i, [(0.013 * i, -0.02), (0.013 * i + 0.04, 0.03 + 0.01 * i)]) for i in range(5)] + [(9, None)]
+    df = spark.createDataFrame(rows, "i bigint, geom array<struct<lat:double,lon:double>>")
+    out = ft.features_to_tiles(df).select("i", "tile_s", "tile_w")
+    want = df.select("i", F.explode(tile_keys_of_bbox("geom")).alias("k")).select("i", "k.s", "k.w")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "flatten(" not in out._jdf.queryExecution().toString()  # an array of all tiles was built by interpreted code before
