@@ -325,3 +325,19 @@ def test_features_to_tiles_unfolds_without_arrays_of_tiles(spark):
     want = df.select("i", F.explode(tile_keys_of_bbox("geom")).alias("k")).select("i", "k.s", "k.w")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
     assert "flatten(" not in out._jdf.queryExecution().toString()  # an array of all tiles was built by interpreted code before
+
+
+def test_bbox_features_counts_tiles_of_each_box(spark):
+    from geofold.operators import features as ft
+
+    rnd, rows = random.Random(8), []
+    for i in range(60):
+        y, x = rnd.uniform(-0.05, 0.05), rnd.uniform(-0.05, 0.05)
+        rows.append((f"l{i % 3}", [(y, x), (y + rnd.uniform(0, 0.06), x + rnd.uniform(0, 0.06))]))
+    df = spark.createDataFrame(rows, "layer string, geom array<struct<lat:double,lon:double>>")
+    want = {}
+    for r in ft.features_to_tiles(df).collect():
+        key = (r["layer"], r["tile_s"], r["tile_w"])
+        want[key] = want.get(key, 0) + 1
+    got = ft.bbox_features(df)  # took features by tile before
+    assert {(r["layer"], r["tile_s"], r["tile_w"]): r["n"] for r in got.collect()} == want
