@@ -14,7 +14,7 @@ from ..session import cut_lineage
 from .raster import halo_rings
 from .skew import pick_rank
 from .spatial_join import (
-    Grid, components, polygon_edges, rasterize_line_buffer, rasterize_polygons, line_box,
+    Grid, polygon_components, rasterize_line_buffer, rasterize_polygons, line_box,
 )
 
 CELL = ["r", "c"]
@@ -99,7 +99,7 @@ def engineered_ground(areas: DataFrame, heights: DataFrame, grid: Grid, lines: D
         typed = typed.drop("polygon")
     cells = cut_lineage(cells.distinct())
     shape = cut_lineage(shape.join(cells.select("poly_id").distinct(), "poly_id", "left_semi"))
-    comp = cut_lineage(components(shape, polygon_edges(shape, "poly_id"), "poly_id"))
+    comp = cut_lineage(polygon_components(shape, "poly_id"))
 
     explicit = typed.where(F.col("kind") == "explicit").select("poly_id")
     tall = cells.join(explicit, "poly_id", "left_semi").join(heights, CELL)

@@ -341,3 +341,22 @@ def test_bbox_features_counts_tiles_of_each_box(spark):
         want[key] = want.get(key, 0) + 1
     got = ft.bbox_features(df)  # took features by tile before
     assert {(r["layer"], r["tile_s"], r["tile_w"]): r["n"] for r in got.collect()} == want
+
+
+def test_equal_polygons_are_tested_once(spark, monkeypatch):
+    square = lambda y, x: [(y, x), (y, x + 1.0), (y + 1.0, x + 1.0), (y + 1.0, x)]
+    rows = [(i, square(0.0, 0.0)) for i in range(10, 16)] + [(3, square(0.5, 0.5)), (4, square(0.5, 0.5)), (7, square(5.0, 5.0)), (8, square(5.0, 5.0)), (9, [(0.2, 0.2), (0.3, 0.3)]), (2, None)]
+    df = spark.createDataFrame(rows, "poly_id bigint, polygon array<struct<lat:double,lon:double>>")
+    asked, real = [], sj.box_pairs
+
+    def counted(d, *args, **more):
+        asked.append(d.count())
+        return real(d, *args, **more)
+
+    monkeypatch.setattr(sj, "box_pairs", counted)
+    got = sorted(tuple(sorted((r["a"], r["b"]))) for r in sj.polygon_edges(df, "poly_id").collect())
+    near = [3, 4, *range(10, 16)]
+    assert got == sorted([(a, b) for a in near for b in near if a < b] + [(7, 8)])
+    part = {r["poly_id"]: r["component"] for r in sj.polygon_components(df, "poly_id").collect()}
+    assert part == {i: 3 for i in near} | {7: 7, 8: 7, 9: 9, 2: 2}
+    assert asked == [3, 3]  # each of the twelve polygons was asked for before
