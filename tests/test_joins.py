@@ -360,3 +360,14 @@ def test_equal_polygons_are_tested_once(spark, monkeypatch):
     part = {r["poly_id"]: r["component"] for r in sj.polygon_components(df, "poly_id").collect()}
     assert part == {i: 3 for i in near} | {7: 7, 8: 7, 9: 9, 2: 2}
     assert asked == [3, 3]  # each of the twelve polygons was asked for before
+
+
+def test_ring_stitch_takes_relations_in_batches(spark):
+    from geofold.operators import features as ft
+
+    arcs = [(1, 0, [(0.0, 0.0), (0.0, 1.0)]), (1, 2, [(0.0, 0.0), (1.0, 1.0)]), (1, 1, [(1.0, 1.0), (0.0, 1.0)]), (2, 0, [(5.0, 5.0), (5.0, 6.0), (6.0, 6.0)]), (3, 0, [(8.0, 8.0), (8.0, 9.0)])]
+    df = spark.createDataFrame([(r, s, "outer", g) for r, s, g in arcs] + [(1, 3, "inner", arcs[3][2])], "relation_id bigint, seq bigint, role string, geom array<struct<lat:double,lon:double>>")
+    out = ft.ring_stitch(df)
+    got = {(r["relation_id"], r["ring"]): [tuple(p) for p in r["geom"]] for r in out.collect()}
+    assert got == {(1, 0): [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)], (2, 0): [(5.0, 5.0), (5.0, 6.0), (6.0, 6.0), (5.0, 5.0)]}
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # each relation was a call of its own before
