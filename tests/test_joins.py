@@ -371,3 +371,11 @@ def test_ring_stitch_takes_relations_in_batches(spark):
     got = {(r["relation_id"], r["ring"]): [tuple(p) for p in r["geom"]] for r in out.collect()}
     assert got == {(1, 0): [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)], (2, 0): [(5.0, 5.0), (5.0, 6.0), (6.0, 6.0), (5.0, 5.0)]}
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # each relation was a call of its own before
+
+
+def test_proximity_pairs_deals_a_crowded_cell_to_many_tasks(spark):
+    peers = spark.range(200).select(F.col("id").alias("peer"), (F.col("id") % 20).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    out = motion.proximity_pairs(peers.where("peer < 50"), peers)
+    assert out.count() == 50 * 199
+    plan = out._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "_part" in plan  # the side unfolded to 27 cells was broadcast before, and cells were not dealt
