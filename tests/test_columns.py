@@ -97,3 +97,20 @@ def test_road_cut_fill_bridge_tunnel_and_culvert(spark):
     assert under[39] == "ASPHALT"
     culvert = road_map(spark, road_y=56, culvert_floor=51, culvert_top=53)
     assert [culvert.get(y) for y in (51, 52, 53, 54, 55, 56)] == ["WATER", "WATER", "WATER", None, "GRAVEL", "ASPHALT"]
+
+
+def test_terrain_columns_at_whole_metres_equal_sql(spark, tmp_path):
+    """Prices that put columns on a whole metre, where the last bit of the geoid decides on the voxel."""
+    import duckdb
+
+    from geofold.plans import catalog
+
+    con = duckdb.connect()
+    con.execute(f"""copy (select k o_orderkey, round(3000*(40+k % 17-(33.2-0.38*(k//125*0.0008-0.56)+0.14*(0.02+k % 125*0.0008))),2) o_totalprice
+       from range(60000) r(k)) to '{tmp_path}/orders.parquet'""")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got = catalog.queries()["terrain_columns"](spark, str(tmp_path)).select("vx", "vz", "surface_y", "surface_y_f").toPandas()
+    want = con.execute(f"select vx, vz, surface_y, surface_y_f from ({catalog.oracle_sql()['terrain_columns']}) q").df()
+    both = got.merge(want, on=["vx", "vz"], suffixes=("", "_w"))
+    assert len(both) == len(want) == 60000
+    assert (both["surface_y"] == both["surface_y_w"]).all() and (both["surface_y_f"] == both["surface_y_f_w"]).all()
