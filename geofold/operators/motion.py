@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import angle_lerp, big, clamp, col, region_id, region_topic, subscribe_topics
+from ..session import cut_lineage
 from .skew import pick_rank, pieces, prev_known, salted_join, shuffled
 
 # Fixed values.
@@ -338,6 +339,47 @@ def steps_taken(cand: np.ndarray, start: int) -> np.ndarray:
     return out.ravel()[: len(cand)]
 
 
+class PieceSteps:
+    """The steps of many pieces that follow each other in ``cand`` and begin at ``first``.
+
+    Pieces are laid out in rows of ``width``, of which all step together; the maps of a piece's rows are then chained by
+    doubling, so the work in Python does not grow with the number of pieces.
+    """
+
+    def __init__(self, cand: np.ndarray, first: np.ndarray, width: int = 64):
+        size = np.diff(np.append(first, len(cand)))
+        rows = -(-size // width)
+        self.begin = np.cumsum(rows) - rows  # the first row of each piece
+        at = np.arange(len(cand)) - np.repeat(first, size)
+        self.row, self.column = np.repeat(self.begin, size) + at // width, at % width
+        self.grid = np.full((rows.sum(), width), IDLE)
+        self.grid[self.row, self.column] = cand
+        self.piece = np.repeat(np.arange(len(first)), rows)
+        ends = np.tile(np.arange(len(TRANSITION)), (len(self.grid), 1))
+        for c in self.grid.T:
+            ends = TRANSITION[ends, c[:, None]]
+        nth, step = np.arange(len(self.grid)) - self.begin[self.piece], 1
+        while step <= nth.max(initial=0):
+            i = np.flatnonzero(nth >= step)
+            ends[i] = np.take_along_axis(ends[i], ends[i - step], 1)
+            step *= 2
+        self.ends = ends  # from the start of the piece to the end of each row
+
+    def maps(self) -> np.ndarray:
+        """The state after each piece, for each state before it."""
+        return self.ends[np.append(self.begin[1:], len(self.grid)) - 1]
+
+    def taken(self, start: np.ndarray) -> np.ndarray:
+        """The state after each candidate, with the state before each piece."""
+        state = start[self.piece].astype(int)
+        later = np.setdiff1d(np.arange(len(self.grid)), self.begin)
+        state[later] = self.ends[later - 1, state[later]]
+        out = np.empty(self.grid.shape, int)
+        for j, c in enumerate(self.grid.T):
+            state = out[:, j] = TRANSITION[state, c]
+        return out[self.row, self.column]
+
+
 def chain_maps(maps: DataFrame, key: str, at: str, start: int, block: int = 1024) -> DataFrame:
     """State before each map (``key``, ``at``, ``map``: array from state to state) when those of a key follow each other.
 
@@ -368,40 +410,56 @@ def link_profile(samples: DataFrame, piece_rows: int = 100000, block: int = 1024
     """Profile of each link after each sample.
 
     The link state is a small automaton, so a piece of a link is a map from start state to end state.  Pieces are
-    mapped in parallel, the maps are chained on two levels, and each piece is then replayed from its true start.
+    mapped in parallel, the maps are chained on two levels, and each piece is then replayed from its true start.  Batches
+    hold many pieces, as a call of Python a piece costs more than its steps.
     """
     medians = rtt_median5(samples, piece_rows).withColumn("cand", F.array_position(F.array(*[F.lit(p) for p in PROFILES[:3]]), rtt_class("median_ms")) - 1)
-    steps = medians.select("link", "piece", "seq", "median_ms", F.col("cand").cast("int").alias("cand"))
-
-    def to_map(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = np.arange(len(TRANSITION))
-        for pdf in batches:
-            state = steps_map(pdf["cand"].to_numpy())[state]
-        yield pd.DataFrame({"link": [key[0]], "piece": [key[1]], "map": [state.tolist()]})
-
-    ordered = steps.repartition("link", "piece").sortWithinPartitions("link", "piece", "seq")
-    maps = ordered.groupBy("link", "piece").applyInPandas(_typed(to_map), "link bigint, piece bigint, map array<int>")
-    start = chain_maps(maps, "link", "piece", START, block)
+    steps = medians.where(F.col("link").isNotNull()).select("link", "piece", "seq", "median_ms", F.col("cand").cast("int").alias("cand"))
+    order = ["link", "piece", "seq"]
+
+    def to_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # key and map of the last piece, which may go on in the next batch
+        for pdf in filter(len, batches):
+            first, keys = _piece_starts(pdf)
+            maps = PieceSteps(pdf["cand"].to_numpy(), first).maps()
+            if held and held[0] == keys[0]:
+                maps[0] = maps[0][held[1]]
+            elif held:
+                yield _map_rows([held[0]], [held[1]])
+            held = keys[-1], maps[-1]
+            if len(keys) > 1:
+                yield _map_rows(keys[:-1], maps[:-1])
+        if held:
+            yield _map_rows([held[0]], [held[1]])
+
+    # The window of the medians leaves a piece's rows in one partition and in order.
+    maps = steps.sortWithinPartitions(*order).mapInPandas(to_maps, "link bigint, piece bigint, map array<int>")
+    start = chain_maps(cut_lineage(maps), "link", "piece", START, block)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-        for pdf in batches:
-            if state is None:
-                state = int(pdf["start"].iloc[0])
-            out = steps_taken(pdf["cand"].to_numpy(), state)
-            state = int(out[-1])
+        held = None  # key and state of the last piece
+        for pdf in filter(len, batches):
+            first, keys = _piece_starts(pdf)
+            begin = pdf["start"].to_numpy()[first]
+            if held and held[0] == keys[0]:
+                begin[0] = held[1]
+            out = PieceSteps(pdf["cand"].to_numpy(), first).taken(begin)
+            held = keys[-1], int(out[-1])
             yield pd.DataFrame({"link": pdf["link"], "seq": pdf["seq"], "median_ms": pdf["median_ms"], "profile": np.array(PROFILES)[out // UPGRADE_AFTER]})
 
-    placed = steps.join(start, ["link", "piece"]).repartition("link", "piece").sortWithinPartitions("link", "piece", "seq")
-    return placed.groupBy("link", "piece").applyInPandas(replay, "link bigint, seq bigint, median_ms double, profile string")
+    placed = steps.join(start, ["link", "piece"]).repartition("link", "piece").sortWithinPartitions(*order)
+    return placed.mapInPandas(replay, "link bigint, seq bigint, median_ms double, profile string")
+
 
+def _piece_starts(pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Where the pieces of a sorted batch begin, and their keys."""
+    link, piece = pdf["link"].to_numpy(), pdf["piece"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (link[1:] != link[:-1]) | (piece[1:] != piece[:-1])]))
+    return first, list(zip(link[first].tolist(), piece[first].tolist()))
 
-def _typed(fn):
-    """Give a (key, batches) function the hints by which Spark feeds it batch by batch."""
-    from typing import Any
 
-    fn.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return fn
+def _map_rows(keys: Sequence[tuple[int, int]], maps: Sequence[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"link": [k for k, _ in keys], "piece": [p for _, p in keys], "map": [m.tolist() for m in maps]})
 
 
 def message_gate(messages: DataFrame) -> DataFrame:

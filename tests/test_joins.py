@@ -119,6 +119,33 @@ def test_steps_in_rows_equal_single_steps(n):
         assert motion.steps_map(cand)[start] == stepwise(cand, start)[-1]
 
 
+def test_steps_of_many_pieces_equal_single_steps():
+    rnd = np.random.default_rng(5)
+    size = np.array([1, 2, 64, 65, 128, 1, 700, 129])
+    first, cand = np.cumsum(size) - size, rnd.integers(0, 3, size.sum())
+    start = rnd.integers(0, len(motion.TRANSITION), len(size))
+    steps = motion.PieceSteps(cand, first)
+    parts = np.split(cand, first[1:])
+    assert steps.taken(start).tolist() == [x for p, s in zip(parts, start.tolist()) for x in stepwise(p, s)]
+    for p, m in zip(parts, steps.maps()):
+        assert m.tolist() == motion.steps_map(p).tolist()
+
+
+def test_link_profile_takes_many_pieces_in_a_call(spark):
+    """Pieces of a batch are one call of Python, and a piece that goes on in the next batch keeps its state."""
+    rnd = random.Random(12)
+    rows = [(k, i + 1, rnd.choice([2.0, 20.0, 80.0])) for k in range(40) for i in range(30)]
+    df = spark.createDataFrame(rows, "link bigint, seq bigint, rtt_ms double")
+    plan = motion.link_profile(df, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    whole = sorted(tuple(r) for r in motion.link_profile(df, 10).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(tuple(r) for r in motion.link_profile(df, 10).collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_maps_are_chained_over_blocks(spark):
     """Many blocks of one key beside a key with a single map, missing pieces, and no maps at all."""
     rnd = random.Random(4)
