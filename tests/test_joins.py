@@ -406,3 +406,17 @@ def test_proximity_pairs_deals_a_crowded_cell_to_many_tasks(spark):
     assert out.count() == 50 * 199
     plan = out._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" not in plan and "_part" in plan  # the side unfolded to 27 cells was broadcast before, and cells were not dealt
+
+
+def test_pairs_of_equal_polygons_are_unfolded_where_they_are_found(spark, monkeypatch):
+    ring = "array(named_struct('lat', y, 'lon', x), named_struct('lat', y, 'lon', x + 0.01D), named_struct('lat', y + 0.01D, 'lon', x))"
+    polys = spark.range(60).selectExpr("id poly_id", "double(id % 2) y", "0D x").selectExpr("poly_id", f"{ring} polygon")
+    pts = spark.range(6).selectExpr("id", "double(id % 3) + 0.002D lat", "0.002D lon")
+    monkeypatch.setattr(sj, "MEMBERS", 7)
+    found = sj.points_in_polygons(pts, polys, ["id"])
+    got = [(r["id"], r["poly_id"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, p) for i in range(6) for p in range(60) if i % 3 == p % 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(_members") < plan.index("Join")  # nothing joins the pairs
+    inside = sj.points_inside(pts, polys, ["id"])
+    assert sorted(r["id"] for r in inside.collect()) == [0, 1, 3, 4] and "LeftSemi" in inside._jdf.queryExecution().optimizedPlan().toString()
