@@ -420,3 +420,20 @@ def test_pairs_of_equal_polygons_are_unfolded_where_they_are_found(spark, monkey
     assert plan.index("explode(_members") < plan.index("Join")  # nothing joins the pairs
     inside = sj.points_inside(pts, polys, ["id"])
     assert sorted(r["id"] for r in inside.collect()) == [0, 1, 3, 4] and "LeftSemi" in inside._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_backing_is_found_without_pairs_of_copies(spark):
+    """Equal rivers and equal lines inside them: ids as from the pairs, and no plan forms the pairs."""
+    from geofold.operators import hydrology as hy
+
+    ring = "array(named_struct('lat', y, 'lon', 0D), named_struct('lat', y, 'lon', 0.01D), named_struct('lat', y + 0.01D, 'lon', 0D))"
+    water = spark.range(30).selectExpr("id poly_id", "double(id % 3) y", "if(id % 5 = 4, 'lake', 'river') water_type").selectExpr("poly_id", "water_type", f"{ring} polygon", f"array({ring}) holes").withColumn("holes", F.slice("holes", 1, 0))
+    line = "array(named_struct('lat', y + 0.001D, 'lon', 0.001D), named_struct('lat', y + 0.003D, 'lon', 0.003D))"
+    lines = spark.range(12).selectExpr("id line_id", "double(id % 4) * 2 y", "if(id = 4, 'canal ditch', 'river') waterway").selectExpr("line_id", "waterway", f"{line} line")
+    pairs = {(r["poly_id"], r["line_id"]) for r in hy.channel_backing(water, lines).collect()}
+    assert pairs == {(p, l) for p in range(30) for l in range(12) if p % 3 == l % 4 * 2 and p % 5 != 4 and l != 4}
+    polys, backed = hy.backed_polygons(water, lines), hy.backing_lines(water, lines)
+    assert {r["poly_id"] for r in polys.collect()} == {p for p, _ in pairs} and {r["line_id"] for r in backed.collect()} == {l for _, l in pairs}
+    for df in (polys, backed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and "_members" not in plan
