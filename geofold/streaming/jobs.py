@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -74,6 +75,19 @@ def offender_block(denied: DataFrame, limit: int = 5, name: str = "offenders") -
 POSITION_OUT = "peer bigint, seq bigint, ms bigint, x double, y double, z double, yaw double, pitch double, mode string"
 
 
+def in_order(batches: Iterable[pd.DataFrame], names: list[str], order: str, size: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Rows of a key in order of a column, a part at a time.
+
+    What is held whole are Arrow columns, as Python objects for all rows of a key with much input would fill the worker.
+    """
+    parts = [pa.Table.from_pandas(b[names], preserve_index=False) for b in batches]
+    rows = pa.concat_tables(parts, promote_options="permissive").combine_chunks()
+    del parts
+    at = np.argsort(rows[order].to_numpy(), kind="stable")
+    for low in range(0, len(at), size):
+        yield rows.take(at[low : low + size]).to_pandas()
+
+
 def position_delta(positions: DataFrame) -> DataFrame:
     """Positions worth sending, with the last sent one of each peer as state.
 
@@ -83,14 +97,14 @@ def position_delta(positions: DataFrame) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = dict(zip(names, state.get)) if state.exists else None
-        rows = pd.concat(batches).sort_values("seq")
-        kept = []
-        for i, row in enumerate(rows.to_dict("records")):
-            if needs_send(last, row):
-                last = row
-                kept.append(i)
+        for rows in in_order(batches, names, "seq"):
+            kept = []
+            for i, row in enumerate(rows.to_dict("records")):
+                if needs_send(last, row):
+                    last = row
+                    kept.append(i)
+            yield rows.iloc[kept]
         state.update(tuple(_plain(last[n]) for n in names))
-        yield rows.iloc[kept][names]
 
     return positions.groupBy("peer").applyInPandasWithState(step, POSITION_OUT, POSITION_OUT, "append", GroupStateTimeout.NoTimeout)
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from geofold.operators import motion, oplog
@@ -148,3 +150,22 @@ def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
     (tmp_path / "one.parquet").write_bytes(part.read_bytes())
     got = {f: run_to_parquet(parquet_stream(spark, str(tmp_path), f"{f}.parquet"), f).count() for f in ("many", "one")}
     assert got == {"many": 10, "one": spark.read.parquet(str(part)).count()}
+
+
+def test_rows_of_a_hot_key_come_in_parts():
+    """A key with many rows is put in order without a Python object a row; positions were all turned into dicts before."""
+    import tracemalloc
+
+    n = 200_000
+    rnd = np.random.default_rng(3)
+    seq = rnd.permutation(n)
+    df = pd.DataFrame({"seq": seq, "x": seq / 2, "mode": np.where(seq % 2 == 0, "walk", "fly")})
+    tracemalloc.start()
+    got, low = [], 0
+    for part in jobs.in_order((df.iloc[i : i + 10_000] for i in range(0, n, 10_000)), ["seq", "x", "mode"], "seq"):
+        rows = part.to_dict("records")
+        assert len(rows) <= 10_000 and rows[0]["seq"] == low and rows[0]["mode"] == ("walk" if low % 2 == 0 else "fly")
+        low += len(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert low == n and peak < 40 * n
