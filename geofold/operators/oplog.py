@@ -154,16 +154,45 @@ def ops_by_chunk(ops: DataFrame) -> DataFrame:
 def state_catch_up(ops: DataFrame, requests: DataFrame, page_size: int = 100) -> DataFrame:
     """Ops for requested chunks, each op once per request under its first matching chunk, in pages.
 
-    ``requests``: request_id, seq, cx, cy, cz.
+    ``requests``: request_id, seq, cx, cy, cz.  The chunks of an op touch each other, so a requested chunk knows which
+    earlier ones of its request can share an op (26 at most), and an op that also lies in one of these is left to it.
+    Hits are thus never gathered by request and op; only ids that the log repeats are.
     """
-    hits = salted_join(ops_by_chunk(ops), requests, ["cx", "cy", "cz"], ["op_id"])
-    first = hits.groupBy("request_id", "op_id").agg(
-        F.min_by(F.struct("seq", "cx", "cy", "cz", "lamport", "author", "material"), "seq").alias("_h")
-    ).select("request_id", "op_id", "_h.*")
-    ranked = replay_order(first, ["request_id"])
+    chunk = ["cx", "cy", "cz"]
+    ops = ops.withColumn("_in", affected_chunks(*VOXEL))
+    repeats = ops.groupBy(F.col("op_id").alias("_op")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_op")
+    again = ops["op_id"].eqNullSafe(repeats["_op"])
+    wanted = _with_earlier(requests)
+    found = []
+    for part in (ops.join(repeats, again, "left_anti"), ops.join(repeats, again, "left_semi")):
+        fanned = part.withColumn("_c", F.explode("_in")).select("*", *[F.col(f"_c.{x}").alias(c) for x, c in zip("xyz", chunk)]).drop("_c")
+        hits = (salted_join(fanned, wanted, chunk, ["op_id"]) if not found else fanned.join(wanted, chunk)).where(~F.arrays_overlap("_in", "_earlier"))
+        found.append(hits.select("request_id", "op_id", "seq", *chunk, "lamport", "author", "material"))
+    once, more = found
+    body = F.struct("seq", *chunk, "lamport", "author", "material")
+    more = more.groupBy("request_id", "op_id").agg(F.min_by(body, F.struct("seq", *chunk)).alias("_h")).select("request_id", "op_id", "_h.*")
+    ranked = replay_order(once.unionByName(more), ["request_id"])
     return ranked.withColumn("page", big(F.floor((F.col("pos") - 1) / page_size)))
 
 
+def _with_earlier(requests: DataFrame) -> DataFrame:
+    """Each requested chunk once, with ``_earlier``: the chunks beside it (x, y, z) that its request names before it."""
+    chunk = ["cx", "cy", "cz"]
+    rows = requests.groupBy("request_id", *[big(F.col(c)).alias(c) for c in chunk]).agg(F.min("seq").alias("seq"))
+    near = rows.select(F.col("request_id").alias("_r"), F.struct("seq", *chunk).alias("_first"), *chunk)
+    for c in chunk:
+        near = near.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+    near = near.select("_r", "_first", *[F.col(c).alias(f"_{c}") for c in chunk])
+    same = F.col("request_id").eqNullSafe(F.col("_r"))
+    for c in chunk:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    both = rows.join(near, same & (F.col("_first") <= F.struct("seq", *chunk)))
+    names = F.struct(*[F.col(f"_first.{c}").alias(x) for c, x in zip(chunk, "xyz")])
+    # A chunk also meets itself, so each has a row; lists take no nulls.
+    itself = F.col("_first") == F.struct("seq", *chunk)
+    return both.groupBy("request_id", *chunk, "seq").agg(F.collect_list(F.when(~itself, names)).alias("_earlier"))
+
+
 def fill_region(ops: DataFrame, chunk_x: int = CHUNK_X, chunk_z: int = CHUNK_Z) -> DataFrame:
     """Fill ops ``box_min, box_max`` as vertical runs ``vx, vz, y0, y1``, for boxes of any size.
 

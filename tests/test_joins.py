@@ -437,3 +437,31 @@ def test_backing_is_found_without_pairs_of_copies(spark):
     for df in (polys, backed):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "LeftSemi" in plan and "_members" not in plan
+
+
+def test_catch_up_takes_each_op_under_its_first_chunk(spark):
+    """Hits are told from what each requested chunk knows of earlier ones, with repeated ids in the log, a null request and repeated chunks."""
+    import random
+
+    from geofold.operators import oplog
+
+    rnd = random.Random(8)
+    ops = [(i - i % 40 // 39, i % 7, i // 3, rnd.randrange(-40, 70), rnd.randrange(-5, 5), rnd.randrange(-40, 40), "DIRT") for i in range(400)]
+    named = [(r, s, rnd.randrange(-2, 3), rnd.randrange(-1, 1), rnd.randrange(-2, 2)) for r in (1, 2, None) for s in range(12)]
+    chunks = lambda o: {((o[3] + a) // 30, (o[4] + b) // 200, (o[5] + c) // 30) for a in (-1, 0) for b in (-1, 0) for c in (-1, 0)}
+    want = {}
+    for r, s, *c in named:
+        for o in ops:
+            if tuple(c) in chunks(o):
+                want[r, o[0]] = min(want.get((r, o[0]), s), s)
+    requests = spark.createDataFrame(named, "request_id bigint, seq bigint, cx bigint, cy bigint, cz bigint")
+    log = spark.createDataFrame(ops, "op_id bigint, author bigint, lamport bigint, vx bigint, vy bigint, vz bigint, material string")
+    got = oplog.state_catch_up(log, requests).collect()
+    assert {(r["request_id"], r["op_id"]): r["seq"] for r in got if r["request_id"] is not None} == {k: v for k, v in want.items() if k[0] is not None}
+    assert len(got) == len({(r["request_id"], r["op_id"]) for r in got})
+    early = {(r["request_id"], r["seq"]): {tuple(c) for c in r["_earlier"]} for r in oplog._with_earlier(requests).collect()}
+    first = {}
+    for r, s, *c in named:
+        first.setdefault((r, *c), s)
+    near = lambda a, b: all(abs(x - y) <= 1 for x, y in zip(a, b))
+    assert early == {(r, s): {tuple(d) for (q, *d), u in first.items() if q == r and u < s and near(c, d)} for (r, *c), s in first.items()}
