@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from ..functions.geo import big
 from ..functions.geometry import bbox_of_geometry, bbox_overlap
 
 HGT_SIDES = (1201, 3601)
+#: Pixels of a batch of decoded tiles, about.
+BATCH_PIXELS = 200_000
 DEM_SCHEMA = "tile_lat int, tile_lon int, prow int, pcol int, elev_m smallint"
 COAST_SCHEMA = "poly_id bigint, level int, pts array<struct<lat:double,lon:double>>"
 
@@ -41,29 +44,43 @@ def read_dem_hgt(spark: SparkSession, path: str, sides: tuple[int, ...] = HGT_SI
 
 
 def decode_hgt(files: DataFrame, sides: tuple[int, ...] = HGT_SIDES) -> DataFrame:
-    """Pixels of tile files given as ``path, content``."""
+    """Pixels of tile files given as ``path, content``.
+
+    Files are dealt to tasks by their tile, as a table of small ones fits a few splits however many pixels it holds, and
+    small tiles share a batch.
+    """
     files = files.select(tile_corner(F.col("path")).alias("k"), "content")
     files = files.where(F.col("k.lat").isNotNull() & F.col("k.lon").isNotNull()).select("k.lat", "k.lon", "content")
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lat, lon, content in zip(pdf["lat"], pdf["lon"], pdf["content"]):
+    files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lat", "lon")
+
+    def pixels(held: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        lat, lon, top, sizes, widths = (np.array(x) for x in zip(*((y, x, t, part.size, part.shape[1]) for y, x, t, part in held)))
+        rows, cols = np.divmod(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(widths, sizes))
+        rows += np.repeat(top, sizes)
+        places = [x.astype("int32") for x in (np.repeat(lat, sizes), np.repeat(lon, sizes), rows, cols)]
+        elev = np.concatenate([part.ravel() for *_, part in held])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*places, elev)], ["tile_lat", "tile_lon", "prow", "pcol", "elev_m"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: list[tuple[int, int, int, np.ndarray]] = []
+            size = 0
+            for lat, lon, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                content = content.as_py()
                 side = int(round((len(content) / 2) ** 0.5))
                 if side not in sides or side * side * 2 != len(content):
                     raise ValueError(f"elevation tile at {lat}, {lon} has {len(content)} bytes")
                 grid = np.frombuffer(content, dtype=">i2").reshape(side, side).astype("int16")
                 for top in range(0, side, 64):
-                    part = grid[top : top + 64]
-                    rows, cols = np.indices(part.shape)
-                    yield pd.DataFrame(
-                        {
-                            "tile_lat": np.int32(lat), "tile_lon": np.int32(lon),
-                            "prow": (rows + top).ravel().astype("int32"), "pcol": cols.ravel().astype("int32"),
-                            "elev_m": part.ravel(),
-                        }
-                    )
-
-    return files.mapInPandas(decode, DEM_SCHEMA)
+                    held.append((lat, lon, top, grid[top : top + 64]))
+                    size += held[-1][3].size
+                    if size >= BATCH_PIXELS:
+                        yield pixels(held)
+                        held, size = [], 0
+            if held:
+                yield pixels(held)
+
+    return files.mapInArrow(decode, DEM_SCHEMA)
 
 
 ELEMENT_SCHEMA = """version double, generator string, elements array<struct<type:string, id:bigint, lat:double, lon:double,

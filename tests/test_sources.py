@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geofold.operators import elevation as el, features as ft
 from geofold.sources import readers, sinks
@@ -144,3 +145,17 @@ def test_op_chunks_are_clustered(spark, tmp_path):
     assert sum(any((r["cx"], r["cz"]) == hot for r in f) for f in files) > 5
     others = [c for c in seen if c != hot][::40]
     assert sum(holds(i, c) for c in others for i in range(len(files))) < len(others) * len(files) / 4
+
+
+def test_tiles_of_one_split_are_decoded_by_several_tasks(spark, monkeypatch):
+    """A table of small tile files fits one split, but its pixels are dealt to tasks; batches of mixed sizes keep their places."""
+    monkeypatch.setattr(readers, "BATCH_PIXELS", 10_000)
+    rng = np.random.default_rng(5)
+    tiles = {(lat, lon): rng.integers(-500, 500, (side, side)).astype(">i2") for lat in range(-4, 4) for lon, side in ((-3, 33), (7, 33), (9, 130))}
+    name = lambda lat, lon: f"a/{'S' if lat < 0 else 'N'}{abs(lat):02d}{'W' if lon < 0 else 'E'}{abs(lon):03d}.hgt"
+    files = spark.createDataFrame([(name(*k), bytearray(v.tobytes())) for k, v in tiles.items()], "path string, content binary").coalesce(1)
+    px = readers.decode_hgt(files, sides=(33, 130)).withColumn("task", F.spark_partition_id())
+    got = px.toPandas()
+    assert got["task"].nunique() > 1 and len(got) == sum(v.size for v in tiles.values())
+    for k, part in got.groupby(["tile_lat", "tile_lon"]):
+        assert (tiles[k][part["prow"], part["pcol"]] == part["elev_m"]).all() and len(part.drop_duplicates(["prow", "pcol"])) == tiles[k].size
