@@ -465,3 +465,28 @@ def test_catch_up_takes_each_op_under_its_first_chunk(spark):
         first.setdefault((r, *c), s)
     near = lambda a, b: all(abs(x - y) <= 1 for x, y in zip(a, b))
     assert early == {(r, s): {tuple(d) for (q, *d), u in first.items() if q == r and u < s and near(c, d)} for (r, *c), s in first.items()}
+
+
+def test_chunk_features_compares_classes(spark, monkeypatch):
+    """Equal boxes and equal features are compared once; members, also of an id with two shapes, come once each."""
+    from geofold.operators import features as ft
+
+    seen, join = [], ft.salted_join
+
+    def counted(big, small, *rest):
+        seen.append((big.count(), small.count()))
+        return join(big, small, *rest)
+
+    monkeypatch.setattr(ft, "salted_join", counted)
+    at = lambda y, x: [(y, x), (y + 0.001, x + 0.001)]
+    rows = [(i, "water" if i % 2 else "roads", at(10.004 + i % 3 * 0.01, 20.004)) for i in range(30)] + [(1, "water", at(10.005, 20.005)), (7, "roads", at(50.0, 60.0))]
+    chunks = [(i, 10.003 + i % 2 * 0.01, 10.006 + i % 2 * 0.01, 20.003, 20.006) for i in range(40)] + [(0, 10.013, 10.016, 20.003, 20.006), (5, 10.013, 10.016, 20.003, 20.006)]
+    tiled = ft.features_to_tiles(spark.createDataFrame(rows, f"feature_id bigint, layer string, geom {ft.POINTS}"))
+    got = [tuple(r) for r in ft.chunk_features(spark.createDataFrame(chunks, "chunk_id bigint, lat_min double, lat_max double, lon_min double, lon_max double"), tiled).select("chunk_id", "layer", "feature_id").collect()]
+    m, want = ft.CHUNK_MARGIN_DEG, set()
+    for i, layer, ((y, x), (v, u)) in rows:
+        for c, y0, y1, x0, x1 in chunks:
+            if v >= y0 - m and y <= y1 + m and u >= x0 - m and x <= x1 + m:
+                want.add((c, layer, i))
+    assert set(got) == want and len(got) == len(want) > 300
+    assert seen == [(8, 18)]  # eight shapes by layer, a tile each; two boxes with nine tiles each
