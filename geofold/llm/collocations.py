@@ -40,6 +40,8 @@ LOAD, MOST_BUCKETS, BLOCK = 16, 1 << 30, 1 << 16
 HELD_PAIRS = 1 << 22
 #: Phrases a task remembers to have named.
 TOLD = 1_000_000
+#: One text in so many, chosen by hash, is asked first for the names of phrases; the others for what is left.
+EARLY = 16
 STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 CODE = ["length", "hi", "lo"]
 COUNTS, NAMES = "length int, hi bigint, lo bigint, count bigint", "length int, hi bigint, lo bigint, lang string, phrase string"
@@ -217,10 +219,10 @@ def _counts(texts: DataFrame, bits, heavy, closed: int, longest: int) -> DataFra
     return _scan(texts, bits, heavy, longest, COUNTS, tell)
 
 
-def _names(texts: DataFrame, bits, heavy, longest: int) -> DataFrame:
-    """Codes, language and words of the marked phrases and of the languages."""
+def _names(texts: DataFrame, bits, asked, heavy, longest: int) -> DataFrame:
+    """Codes, language and words of the marked phrases that are ``asked`` for (bits as the marks), and of the languages."""
     def tell(told, lang, marks, length, hi, lo, counts, first, at, names) -> Iterator[pa.RecordBatch]:
-        which = np.flatnonzero(_marked(lo, marks)) if length else np.zeros(1, np.int64)
+        which = np.flatnonzero(_marked(lo, np.frombuffer(asked.value, np.uint64))) if length else np.zeros(1, np.int64)
         # A task names a phrase once; past TOLD it may do so again.
         which = which[np.array([c not in told for c in (lo[which] ^ hi[which]).tolist()], bool)]
         if len(told) > TOLD:
@@ -248,8 +250,9 @@ def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     text.  Only bits of marks and buckets (both bounded) and a few numbers reach the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(key, text), F.lit(shards)).cast("int").alias("shard"))
-    held = stored(rows.where(F.length("text") > 0), "shard")
+    early = F.pmod(F.xxhash64(text, key), F.lit(EARLY)) == 0
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(key, text), F.lit(shards)).cast("int").alias("shard"), early.cast("int").alias("early"))
+    held = stored(rows.where(F.length("text") > 0), "shard", "early")
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     marks = np.zeros(1 << max(10, min(MARK_BITS.bit_length() - 7, math.ceil(math.log2(size + 1)) - 8)), np.uint64)
     # A pair takes two words and four bytes at the least.
@@ -282,13 +285,18 @@ def frequent_phrases(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             released(last)
         last, state, step = now, now.where(F.col("length") > (closed or -1)), step + 1
     bits = spark.sparkContext.broadcast(marks.tobytes())
-    names = stored(_names(held, bits, heavy, longest))
-    bits.destroy()
-    heavy.destroy()
-    released(last, held)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    names = stored(_names(held.where("early = 1"), bits, bits, heavy, longest))
+    left = np.zeros_like(marks)
+    _mark(left, out.join(names, CODE, "left_anti"))
+    asked = spark.sparkContext.broadcast(left.tobytes())
+    if left.any():  # each frequent phrase that the early texts lack is in one of the others
+        names = stored(names.unionByName(_names(held.where("early = 0"), bits, asked, heavy, longest)).distinct())
+    for kept in (bits, asked, heavy):
+        kept.destroy()
+    released(last, held)
     return out.join(names, CODE).select("lang", "length", "phrase", "count")
 
 

@@ -110,3 +110,31 @@ def test_query_equals_sql(spark):
 def test_edges(spark):
     df = spark.createDataFrame([(None, None, None, 1)], SCHEMA + ", phrase int")
     assert collocations.mine(df).collect() == [] and collocations.mine(df.where("false")).collect() == []
+
+
+def test_frequent_phrases_are_named_by_few_tasks(spark, monkeypatch):
+    """Rows of the naming scans follow the phrases, not phrases times tasks; what no early text has is named all the same."""
+    rows = [(i, " ".join(f"w{(i * j) % 7} v{j % 5}" for j in range(20)) + ".", "a") for i in range(960)]
+    rows += [(2000 + i, f"only{i} here{i} " * 12, f"l{i}") for i in range(12)]
+    told, scan = [], collocations._scan
+
+    def counted(texts, bits, heavy, longest, schema, tell):
+        out = scan(texts, bits, heavy, longest, schema, tell)
+        if schema == collocations.NAMES:
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "_scan", counted)
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # a task a file
+    try:
+        df = spark.createDataFrame(rows, SCHEMA).repartition(16)
+        got = {(r["lang"], r["phrase"]): r["count"] for r in collocations.frequent_phrases(df, least=10, longest=2, shards=1).where("length > 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = Counter()
+    for _, text, lang in rows:
+        for piece in text.split("."):
+            w = piece.split()
+            want.update((lang, " ".join(w[i:i + k])) for k in (1, 2) for i in range(len(w) - k + 1))
+    assert got == {p: c for p, c in want.items() if c >= 10}
+    assert sum(told) < 8 * len(got)
