@@ -354,6 +354,22 @@ def test_features_to_tiles_unfolds_without_arrays_of_tiles(spark):
     assert "flatten(" not in out._jdf.queryExecution().toString()  # an array of all tiles was built by interpreted code before
 
 
+def test_tiles_of_ways_need_no_geometry(spark):
+    from geofold.operators import features as ft
+    from geofold.plans import catalog
+
+    rnd = random.Random(4)
+    nodes = spark.createDataFrame([(i, rnd.uniform(-0.05, 0.05), rnd.uniform(-0.05, 0.05)) for i in range(40)], "node_id bigint, lat double, lon double")
+    members = [(w, s, rnd.randrange(45)) for w in range(50) for s in range(rnd.randrange(1, 6))]
+    way_nodes = spark.createDataFrame(members, "way_id bigint, seq bigint, node_id bigint")
+    got = ft.each_tile(ft.way_tile_ranges(way_nodes, nodes))
+    want = ft.features_to_tiles(ft.way_geometry(way_nodes, nodes)).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and len(want.select("way_id").distinct().collect()) > 20
+    plan = catalog.queries()["features_to_tiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Before, way nodes were ordered, sorted out by hot nodes and gathered as geometries: eight shuffles.
+    assert plan.count("Exchange hashpartitioning") == 3 and "collect_list" not in plan and "Window" not in plan
+
+
 def test_bbox_features_counts_tiles_of_each_box(spark):
     from geofold.operators import features as ft
 
