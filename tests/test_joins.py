@@ -424,6 +424,18 @@ def test_proximity_pairs_deals_a_crowded_cell_to_many_tasks(spark):
     assert "BroadcastHashJoin" not in plan and "_part" in plan  # the side unfolded to 27 cells was broadcast before, and cells were not dealt
 
 
+def test_proximity_pairs_takes_places_of_observers_once(spark, monkeypatch):
+    monkeypatch.setattr(motion, "PLACE_IDS", 8)  # lists of a place are split
+    rows = [(i, 40.0 * (i % 3), 0.0 if i % 3 else -0.0, 0.0) for i in range(90)] + [(90, 1050.0, 0.0, 0.0), (91, None, 0.0, 0.0), (92, 0.0, 0.0, 1.0 / 3)]
+    peers = spark.createDataFrame(rows, "peer bigint, x double, y double, z double")
+    out = motion.proximity_pairs(peers.where("peer < 60 or peer > 89"), peers, digits=5)
+    dist = lambda a, b: sum((a[k] - b[k]) ** 2 for k in (1, 2, 3)) ** 0.5
+    want = sorted((a[0], b[0], round(dist(a, b), 5)) for a in rows for b in rows if a[0] != b[0] and (a[0] < 60 or a[0] > 89) and 91 not in (a[0], b[0]) and dist(a, b) <= 1000)
+    assert sorted((r["observer"], r["peer"], r["dist_m"]) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(_observers") < plan.index("SQRT") and plan.index("explode(_observers") < plan.index("round(")  # a distance was taken and rounded for each pair
+
+
 def test_pairs_of_equal_polygons_are_unfolded_where_they_are_found(spark, monkeypatch):
     ring = "array(named_struct('lat', y, 'lon', x), named_struct('lat', y, 'lon', x + 0.01D), named_struct('lat', y + 0.01D, 'lon', x))"
     polys = spark.range(60).selectExpr("id poly_id", "double(id % 2) y", "0D x").selectExpr("poly_id", f"{ring} polygon")
